@@ -1,0 +1,49 @@
+"""Written tables that cut lineage and let a result be read more than once."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tidewheel-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where the session names none (tests on one machine) a folder of this
+    process is used, and removed when the process ends.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named.rstrip("/") if named else _own_folder()
+
+
+def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """Writes df to the shared folder and reads it back, so that later steps start from the files.
+
+    The files outlive any executor. They are the application's intermediate data
+    and go with the checkpoint folder.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files behind a table made by cut(), once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
