@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import source_mix
+from tidewheel.llm import source_mix, url_rules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (source_mix,):
+for module in (source_mix, url_rules):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
