@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import near_dedup, source_mix, url_rules
+from tidewheel.llm import near_dedup, source_mix, substring_dedup, url_rules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (near_dedup, source_mix, url_rules):
+for module in (near_dedup, source_mix, substring_dedup, url_rules):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
