@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewheel.operators import aggregates
+from tidewheel.operators import aggregates, joins
 
 FLAGSHIP = "pricing_summary"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (aggregates,):
+for module in (aggregates, joins):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
