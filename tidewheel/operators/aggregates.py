@@ -155,13 +155,13 @@ def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_level_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly partial aggregates rolled up to days: sums and counts add, means come from them."""
+    """Hourly partial aggregates rolled up to days: sums, counts and maxima add up."""
     events = table(spark, sf_dir, "events")
     hourly = events.groupBy("event_type", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("hour")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("top")
     )
     return hourly.groupBy("event_type", F.to_date("hour").cast("string").alias("day")).agg(
-        F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 4).alias("mean"), F.max("top").alias("top")
+        F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"), F.max("top").alias("top")
     )
 
 
@@ -229,6 +229,6 @@ ORACLE_SQL = {
     "merged_sketches": """
         SELECT event_type, count(DISTINCT user_id) AS users, true AS ok FROM events GROUP BY event_type""",
     "two_level_rollup": """
-        SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(value) / count(*), 4) AS mean, max(value) AS top
+        SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(value), 2) AS total, max(value) AS top
         FROM events GROUP BY 1, 2""",
 }
