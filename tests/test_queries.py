@@ -1,0 +1,20 @@
+"""Every query of the library against its SQL."""
+
+import pytest
+from oracle import check, connect
+
+from tidewheel import catalog
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return connect(sf_dir)
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_query(spark, sf_dir, con, name):
+    check(catalog.QUERIES[name](spark, sf_dir), con, catalog.ORACLE_SQL[name])
+
+
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)

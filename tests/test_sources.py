@@ -1,0 +1,18 @@
+import pytest
+
+from tidewheel.sources import formats
+
+
+def test_custom_source_reads_in_parallel(spark):
+    spark.dataSource.register(formats.Squares)
+    df = spark.read.format("squares").option("rows", 10).option("partitions", 3).load()
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, df.collect())) == [(n, n * n) for n in range(10)]
+
+
+def test_custom_sink(spark):
+    spark.dataSource.register(formats.Discard)
+    rows = spark.range(0, 8, 1, 2)
+    rows.write.format("discard").option("least", 4).mode("append").save()
+    with pytest.raises(Exception, match="at least 5"):
+        rows.write.format("discard").option("least", 5).mode("append").save()
