@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.scratch import cut, drop
+from tidewheel.storage import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:

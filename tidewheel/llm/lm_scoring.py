@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import log_bilinear as lb
-from tidewheel.llm.scratch import cut
 from tidewheel.session import table
+from tidewheel.storage import cut
 
 #: Words with classes of their own, shared classes, and characters of a word's ending.
 HEAD, SHARED, ENDING = 512, 128, 2

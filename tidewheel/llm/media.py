@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.scratch import cut
 from tidewheel.session import table
+from tidewheel.storage import cut
 
 FRAME = 192
 RATE = 8000

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import bk_tree
 from tidewheel.llm.components import components
-from tidewheel.llm.scratch import cut
 from tidewheel.session import table
+from tidewheel.storage import cut
 
 SHINGLE = 3
 RADIUS = 3

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewheel.llm.scratch import cut
 from tidewheel.session import table
+from tidewheel.storage import cut
 
 KEY = b"tidewheel"
 #: Entities with attempts beyond the first that are broadcast at most.
