@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -111,7 +112,53 @@ def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_by_batch(totals, ["event_type"])
 
 
-QUERIES = {f"stream_{f.__name__}": f for f in (tumbling, sessions, deduplicated, enriched, paired, stateful, running)}
+def late_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours counted from two files, the second with events from long before: those are too late, and dropped.
+
+    The first file is a batch of its own, so the watermark has passed the old hours when the second comes.
+    """
+    place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/late-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = events.agg(F.max("ts").alias("last")).first()["last"]
+    old = (events.where("event_type = 'view'").withColumn("ts", F.expr("ts - INTERVAL 1 DAY"))).where(F.col("ts") < F.lit(last) - F.expr("INTERVAL 2 DAYS"))
+    events.coalesce(1).write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    counts = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    for _ in range(2):  # the second run starts from the first one's checkpoint
+        query = counts.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        old.coalesce(1).write.mode("append").parquet(f"{place}/in")
+    return spark.read.schema(counts.schema).parquet(f"{place}/rows").select(_plain(F.col("w.start")).alias("begin"), "event_type", "n")
+
+
+class UserTotals(StatefulProcessor):
+    """A count of each user's events by the newer interface to state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.n = handle.getValueState("n", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+        n = (self.n.get()[0] if self.n.exists() else 0) + sum(map(len, rows))
+        self.n.update((n,))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count of each user's events by a stateful processor, whose state is kept by RocksDB."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = event_stream(spark, sf_dir).groupBy("user_id").transformWithStateInPandas(UserTotals(), "user_id long, n long", "Update", "None")
+        return run_by_batch(found, ["user_id"])
+    finally:
+        spark.conf.set(provider, before)
+
+
+QUERIES = {f"stream_{f.__name__}": f for f in (tumbling, sessions, deduplicated, enriched, paired, stateful, running, late_dropped, transformed)}
 ORACLE_SQL = {
     "stream_tumbling": """
         SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2
@@ -130,4 +177,8 @@ ORACLE_SQL = {
         AND p.ts <= c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
     "stream_stateful": "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1",
     "stream_running": "SELECT event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1",
+    "stream_late_dropped": """
+        SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n FROM events GROUP BY 1, 2
+        HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "stream_transformed": "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
 }
