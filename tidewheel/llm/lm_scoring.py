@@ -38,7 +38,7 @@ from tidewheel.storage import cut
 HEAD, SHARED, ENDING = 512, 128, 2
 ROUNDS = 4
 #: Tokens of a piece, about: what has one dictionary.
-PIECE = 1 << 19
+PIECE = 1 << 22
 #: The end of a text as a word; no word holds a line break.
 END = "\n"
 

@@ -190,7 +190,8 @@ def read_back(media: DataFrame, store: DataFrame) -> DataFrame:
         .where("digest is not null")
         .distinct()  # equal files ask once
     )
-    parts = refs.join(store, "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("place", "data")).alias("parts"))
+    # Written, so that the join below stands by itself and Spark can split a group of very many equal files.
+    parts = cut(refs.join(store, "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("place", "data")).alias("parts")), "parts")
     names = ["doc_id", "n_bytes", "media_sha256", "header", "chunks"]
     alone = media.where(~F.col("in_store")).select(*names, F.array().cast("array<struct<place:int,data:binary>>").alias("parts"))
     return alone.unionByName(media.where("in_store").join(parts, "media_sha256").select(*names, "parts"))

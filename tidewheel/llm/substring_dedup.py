@@ -10,7 +10,7 @@ a cell is kept, "more than once", and broadcast: its size is fixed by the parame
 
 Second pass. Only windows whose anchor is estimated repeated go on. Windows met twice
 within a task's piece of rows are known to be repeated at once; of the others one row
-a piece goes to an exact grouping by a 128-bit hash of the window, so a window that
+a piece goes to an exact grouping by a 96-bit hash of the window, so a window that
 a third of all documents share gives a row for each piece, not for each document.
 None is lost: what the sketch passes by occurs once. A corpus too large for the
 largest sketch makes the sketch pass more windows on; the result stays exact.
@@ -44,8 +44,8 @@ DEPTH = 2
 MAX_CELLS = 1 << 28
 #: Cells in one piece of the sketch, as summed by one group.
 RANGE = 1 << 16
-#: Windows worked on at once by a task.
-PIECE = 1 << 20
+#: Words worked on at once by a task, and anchors sketched at once.
+PIECE, SKETCHED = 1 << 17, 1 << 18
 
 #: Bases of the two run hashes: any odd numbers.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -100,16 +100,18 @@ class Piece:
         return tuple(run_hashes(self.words, self.window, base)[self.at[chosen]] for base in BASES)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[tuple[pa.RecordBatch, int, int, Piece]]:
-    """(batch, first row, end row, piece): whole documents of about PIECE words together."""
+def _pieces(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[tuple[pa.RecordBatch, int, Piece]]:
+    """(batch, first row, piece): whole documents of about PIECE words together."""
     for batch in batches:
         texts, docs, words, first = batch.column("text").cast(pa.binary()), [], 0, 0
         for i, text in enumerate(texts):
             docs.append((text.as_py() or b"").split())
             words += len(docs[-1])
             if words >= PIECE or i + 1 == len(texts):
-                yield batch, first, i + 1, Piece(docs, window, anchor)
-                docs, words, first = [], 0, i + 1
+                piece = Piece(docs, window, anchor)
+                docs, words = [], 0
+                yield batch, first, piece
+                first = i + 1
 
 
 def cells_for(n_bytes: int) -> int:
@@ -146,7 +148,7 @@ def sketch(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCH
         for *_, piece in _pieces(batches, window, anchor):
             held.append(piece.anchors())
             size += len(held[-1])
-            if size >= PIECE:
+            if size >= SKETCHED:
                 yield from rows(np.concatenate(held))
                 held, size = [], 0
         if size:
@@ -179,7 +181,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, end, piece in _pieces(batches, window, anchor):
+        for batch, first, piece in _pieces(batches, window, anchor):
             seen = np.ones(len(piece.at), bool)
             anchors = piece.runs[piece.anchor_at]
             for row, cell in zip(bits.value, _cells(anchors, cells), strict=True):
@@ -192,22 +194,29 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             group = np.cumsum(new) - 1
             twice = (np.bincount(group) > 1)[group] if len(group) else new
             doc = piece.doc[at]
-            # Later members of a group that is known to repeat need no grouping: a null hash passes them on.
-            lost = pa.array(~new)
-            rows = batch.slice(first, end - first).take(pa.array(doc))
-            null = pa.scalar(None, pa.int64())
-            hashes = [pa.compute.if_else(lost, null, pa.array(h.view(np.int64))) for h in (one, two)]
+            # Later members of a group that is known to repeat need no grouping: they go
+            # where a hash of their own leads, and are told apart by a null.
+            turn = np.arange(len(at)) - np.flatnonzero(new)[group] if len(at) else at
+            one = np.where(new, one, _mixed(one + turn.astype(np.uint64)))
+            # In the order of places a task's rows compress well.
+            order = np.argsort(at, kind="stable")
+            row = pa.array(first + doc[order])
             yield pa.record_batch(
-                [*hashes, rows.column("doc_id"), rows.column("text_hash"), pa.array((at - piece.begins[doc]).astype(np.int32)), pa.array(twice)],
+                [
+                    pa.array(one[order].view(np.int64)),
+                    pa.array(two[order].view(np.int64).astype(np.int32), mask=~new[order]),
+                    batch.column("doc_id").take(row),
+                    batch.column("text_hash").take(row),
+                    pa.array((at - piece.begins[doc])[order].astype(np.int32)),
+                    pa.array(twice[order]),
+                ],
                 ["one", "two", "doc_id", "text_hash", "place", "known"],
             )
 
-    found = _hashed(docs).mapInArrow(suspects, f"one long, two long, doc_id {kind}, text_hash int, place int, known boolean")
-    # At most one row a piece of a task has any given hash; null ones are dealt evenly.
-    spread = F.coalesce("one", F.xxhash64("doc_id", "place"))
-    copies = Window.partitionBy("key", "one", "two")
-    counted = found.withColumn("key", spread).withColumn("n", F.count(F.lit(1)).over(copies))
-    return counted.where("known or n > 1").select("doc_id", "text_hash", "place")
+    found = _hashed(docs).mapInArrow(suspects, f"one long, two int, doc_id {kind}, text_hash int, place int, known boolean")
+    # At most one row a piece of a task has any given hash.
+    counted = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))
+    return counted.where("known or n > 1 and two is not null").select("doc_id", "text_hash", "place")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
