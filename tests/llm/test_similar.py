@@ -1,0 +1,48 @@
+import corpus_pipeline as cp
+import pytest
+
+from tidewheel.llm import similar
+from tidewheel.session import table
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_set(text):
+    words = [w for w in (text or "").encode().lower().split()]
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_groups(texts):
+    """{id: text} -> {id: smallest reachable id}, by comparing all pairs."""
+    sets = {i: plain_set(t) for i, t in sorted(texts.items())}
+    label = {i: i for i in sets}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("small", [similar.SMALL, 1])
+def test_stage_keeps_one_of_each_group_of_similarity(spark, sf_dir, monkeypatch, small):
+    monkeypatch.setattr(similar, "SMALL", small)
+    docs = table(spark, sf_dir, "documents")
+    want = set(plain_groups({r["doc_id"]: r["text"] for r in docs.collect()}).values())
+    kept = [r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(kept) == sorted(want)
+
+
+def test_texts_on_both_sides_of_the_bound(spark, sf_dir):
+    base = [f"w{i}" for i in range(85)]  # 81 shingles
+    near = [*base[:40], "x", *base[41:]]  # 76 of 86 shared
+    far = [*base[:30], "y", *base[31:55], "z", *base[56:]]  # 71 of 91, below 0.8
+    rows = [(1, " ".join(base), None, None, None), (2, " ".join(near), None, None, None), (3, " ".join(far), None, None, None)]
+    kept = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SHAPE), sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]

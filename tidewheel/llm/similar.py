@@ -1,0 +1,165 @@
+"""Texts alike in at least 0.8 of their distinct 5-word shingles, by min-hashes checked exactly.
+
+SimHash cannot hold this bound: texts of Jaccard similarity 0.83 lie up to 17 of 64 bits
+apart here, where unrelated ones begin. So a text has BANDS buckets, each of ROWS
+min-hashes over the XXH64 hashes (seed 42) of its shingles; texts of similarity s share
+none with probability (1 - s**ROWS)**BANDS, 0.00003 at 0.8. Texts that share a bucket are
+compared by their exact sets of shingle hashes: all pairs in buckets of up to SMALL
+texts, in larger ones every text with four heads, so that no group costs its square.
+
+A text without words, or null, has one shingle, the empty one. A text of fewer than five
+words has one shingle. Nodes are distinct texts, by XXH64.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidewheel.llm.components import components
+from tidewheel.storage import cut
+
+SHINGLE = 5
+SEED = 42
+BANDS = 20
+ROWS = 4
+#: Texts in a bucket up to which all pairs are compared.
+SMALL = 16
+#: Shingles whose min-hashes are taken at once.
+PIECE = 1 << 15
+#: Rows of a batch that are worked on at once.
+SLICE = 256
+#: Bits of the filter before the texts to compare are shuffled; more texts pass more rows and lose none.
+SLOTS = 1 << 23
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_TERMS = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    words = (text or b"").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.r_[0, ends[:-1] + 1][: len(words) - SHINGLE + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[b:e], SEED) for b, e in zip(begins, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def buckets(sets: list[np.ndarray]) -> np.ndarray:
+    """(text, band) -> bucket, bands apart."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    least = np.stack([np.minimum.reduceat(flat * a + b, starts) for a, b in zip(_FACTORS, _TERMS, strict=True)], 1).reshape(-1, BANDS, ROWS)
+    found = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), least.shape[:2]).copy()
+    for row in range(ROWS):
+        found = (found ^ least[:, :, row]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def node(text: str = "text") -> Column:
+    return F.xxhash64(text)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text), each node once a task, few at a time: a worker keeps the memory it once took."""
+    seen: set[int] = set()
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            part = batch.slice(begin, SLICE)
+            first = []
+            for i, n in enumerate(part.column(0).to_pylist()):
+                if n not in seen:
+                    seen.add(n)
+                    first.append(i)
+            if first:
+                yield part.take(pa.array(first, pa.int64()))
+
+
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bit for each of SLOTS hash values that the nodes have; of one size whatever their number."""
+    slot = F.pmod("node", F.lit(SLOTS)) + 1
+    parts = nodes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    found = np.zeros(SLOTS // 8, np.uint8)
+    for row in parts.collect():  # SLOTS / 32768 rows at most
+        part = np.frombuffer(row["bits"], np.uint8)
+        begin = (row["k"] - 1) * 4096
+        found[begin : begin + len(part)] = part
+    return found
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """(node, bucket) of all distinct texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _once(batches):
+            nodes, sets, size = [], [], 0
+            last = batch.num_rows - 1
+            for i, (n, text) in enumerate(zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True)):
+                nodes.append(n.as_py())
+                sets.append(shingles(text.as_py()))
+                size += len(sets[-1])
+                if size >= PIECE or i == last:
+                    of = buckets(sets).view(np.int64)
+                    yield pa.record_batch([pa.array(np.repeat(np.array(nodes, np.int64), BANDS)), pa.array(of.reshape(-1))], ["node", "bucket"])
+                    nodes, sets, size = [], [], 0
+
+    return docs.select(node().alias("node"), "text").mapInArrow(each, "node long, bucket long").distinct()
+
+
+def _pairs(dealt: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts to compare, from the written table of (node, bucket)."""
+    heads = [F.min("node"), F.max("node"), *(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(2))]
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(h.alias(f"h{k}") for k, h in enumerate(heads))).where("n > 1")
+    members = cut(dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "node", "n", F.array(*(f"h{k}" for k in range(len(heads)))).alias("heads")), "members")
+    small = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("node").alias("all"))
+    near = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    far = members.where(F.col("n") > SMALL).select(F.col("node").alias("x"), F.explode("heads").alias("y"))
+    far = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return near.toDF("a", "b").union(far).where("a < b").distinct()
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b): nodes whose exact similarity is 0.8 or more."""
+    pairs = cut(_pairs(cut(_dealt(docs), "dealt")), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                found = shingles(text.as_py()).view(np.int64)
+                yield pa.record_batch([pa.array([n.as_py()], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["node", "set"])
+
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(asked))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passing() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = batch.column(0).to_numpy() % SLOTS
+                bits = sent.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+                for begin in range(0, batch.num_rows, SLICE):
+                    yield batch.slice(begin, SLICE).filter(pa.array(bits[begin : begin + SLICE].astype(bool)))
+
+        return _once(passing())
+
+    texts = docs.select(node().alias("node"), "text").mapInArrow(wanted, "node long, text string")
+    texts = texts.join(asked.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
+    sets = cut(texts.mapInArrow(each, "node long, set array<long>"), "sets")
+    sided = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    # In whole numbers, similarity 0.8 is 4 of 5.
+    return cut(sided.where(5 * both >= 4 * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(node, root) of the texts that have others like them; all other texts stand alone."""
+    return components(links(docs))
