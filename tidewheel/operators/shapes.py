@@ -32,11 +32,13 @@ def unpivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months from the first to the last order, by recursion, with their counts."""
+    """Months from the first to the last order, and at least 0 (January 1995) to 90, by recursion, with their counts."""
     views(spark, sf_dir, ["orders"])
+    # The level covers every month up to the year 9999.
     return spark.sql("""
-        WITH RECURSIVE m(n) AS (SELECT 0 UNION ALL SELECT n + 1 FROM m WHERE n < 90),
-        c AS (SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS n, count(*) AS k FROM orders GROUP BY 1)
+        WITH RECURSIVE c AS (SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS n, count(*) AS k FROM orders GROUP BY 1),
+        m(n, last) MAX RECURSION LEVEL 120000 AS (
+            SELECT least(0, min(n)), greatest(90, max(n)) FROM c UNION ALL SELECT n + 1, last FROM m WHERE n < last)
         SELECT m.n AS month, coalesce(k, 0) AS orders FROM m LEFT JOIN c ON m.n = c.n""")
 
 
