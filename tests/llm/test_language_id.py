@@ -1,3 +1,7 @@
+import math
+import unicodedata
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,16 +35,74 @@ def test_forward_sums_all_cuts():
             assert np.exp(row[k]) == pytest.approx(cuts("▁" + w.decode(), chance[:, k], TOY))
 
 
-def test_long_words_are_scored_in_parts():
-    chance = np.full((len(TOY) + 1, 1), 0.1)
-    word = b"ab" * 40
-    text = "▁" + word.decode()
-    want = sum(np.log(cuts(text[k : k + 12], chance[:, 0], TOY)) for k in range(0, len(text), 12))
-    li_longest, li.LONGEST = li.LONGEST, 12
-    try:
-        assert li.log_chances(li.Pieces(TOY), chance, [word])[0, 0] == pytest.approx(want)
-    finally:
-        li.LONGEST = li_longest
+def plain_log(word, chance, pieces):
+    """Log probability of a long word by the plain recursion over positions, in exact fractions."""
+    text, sums = "▁" + word.decode(), [Fraction(1)]
+    for end in range(1, len(text) + 1):
+        total = Fraction(0)
+        for start in range(max(0, end - 8), end):
+            part = text[start:end]
+            if part in pieces:
+                total += sums[start] * Fraction(chance[pieces.index(part)])
+            elif end - start == 1:
+                total += sums[start] * Fraction(chance[len(pieces)])
+        sums.append(total)
+    last = sums[-1]
+    return math.log(last.numerator) - math.log(last.denominator)
+
+
+@pytest.mark.parametrize("n", [15, 16, 17, 50, 200])
+def test_long_words_are_scored_whole(n):
+    rng = np.random.default_rng(n)
+    chance = rng.random((len(TOY) + 1, 2)) / 1e5
+    words = ["".join(rng.choice(list("abx"), 2 * n)).encode(), b"ab" * n, b"ba" * n]
+    found = li.log_chances(li.Pieces(TOY), chance, words)
+    for w, row in zip(words, found, strict=True):
+        for k in range(2):
+            assert row[k] == pytest.approx(plain_log(w, chance[:, k], TOY))
+
+
+def test_long_words_teach_as_plain_counts():
+    """Expected counts of a word of several stretches, against the change of its log probability."""
+    rng = np.random.default_rng(4)
+    chance, word = rng.random((len(TOY) + 1, 1)) / 10, b"abbab" * 30
+    pieces = li.Pieces(TOY)
+    (own, chars), = li.by_length([word])
+    found = li._expected(pieces, chars, np.ones((1, 1)), chance, [])
+    for i in range(len(TOY) + 1):
+        more = chance.copy()
+        more[i] *= 1 + 1e-6
+        slope = (li.log_chances(pieces, more, [word]) - li.log_chances(pieces, chance, [word]))[0, 0] / 1e-6
+        assert found[i, 0] == pytest.approx(slope, abs=1e-3)
+
+
+def test_whole_texts_by_brute_force():
+    rng = np.random.default_rng(2)
+    chance = rng.random((len(TOY) + 1, 3)) / 4
+    prior = np.log([0.5, 0.3, 0.2])
+    model = li.Model(["x", "y", "z"], prior, li.Pieces(TOY), chance)
+    texts = ["ab abb, axb", "b", "bbab" * 4 + " a 12 ab", None, "1 2", "ab " * 50]
+    answers, scores = model.judge(texts)
+    for text, answer, score in zip(texts, answers, scores, strict=True):
+        words = "".join(c if c.isalpha() else " " for c in text or "").split()
+        if not words:
+            assert (answer, score) == ("und", 0)
+            continue
+        total = [prior[k] + sum(math.log(cuts("▁" + w, chance[:, k], TOY)) for w in words) for k in range(3)]
+        share = np.exp(np.array(total) - max(total))
+        assert answer == "xyz"[int(np.argmax(total))] and score == pytest.approx(share.max() / share.sum())
+
+
+@pytest.mark.parametrize(("text", "want"), [("² ½", False), ("①", False), ("٣ 1_", False), ("", False), ("² é", True), ("漢", True), ("1a", True)])
+def test_letters_are_category_l(text, want):
+    assert li.has_letter(text) is want is any(unicodedata.category(c)[0] == "L" for c in text)
+
+
+def test_a_language_may_have_any_name(spark):
+    rows = [(1, "the cat sat", "word"), (2, "der hund", "n"), (3, "le chat", "lang"), (4, "² ½", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = li.predict(docs, li.train(docs.withColumnRenamed("doc_id", "key")))
+    assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {1: "word", 2: "n", 3: "lang", 4: "und"}
 
 
 def test_fitting_raises_the_likelihood():

@@ -12,13 +12,15 @@ backward pass. They are fitted on a bounded sample of labelled rows: about
 whole texts without any shuffle; each task scores a distinct word once, words of one
 length together in numpy.
 
-Text is lower-cased, and ASCII characters other than letters separate words. Words of
-more than LONGEST characters are scored in parts of that length.
-
-Defined results: a null text, or one without a letter, is "und" with score 0; labels
-that are null teach nothing; without any labelled row everything is "und"; repeated
-rows get equal answers; a null doc_id counts as not held out; an empty table gives an
-empty table; other columns are ignored.
+Text is lower-cased, and ASCII characters other than letters separate words. Words are
+scored whole, however long: the forward algorithm keeps only the positions that a piece
+can still begin at, and scales them so that no probability becomes too small to hold.
+
+Defined results: a null text, or one without a character of Unicode category L, is "und"
+with score 0; labels that are null teach nothing; without any labelled row everything is
+"und"; ties go to the language first in code point order; very long texts and words are
+judged whole; repeated rows get equal answers; a null doc_id counts as not held out; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,18 +44,24 @@ MAX_ROWS = 500
 ROUNDS = 4
 #: Added to every piece's expected count.
 SMOOTHING = 0.1
-LONGEST = 32
 UNKNOWN = "und"
-#: Words looked up together, distinct words scored together, and distinct words that a task remembers.
-PIECE, SCORED, REMEMBERED = 1 << 19, 1 << 14, 1 << 19
+#: Words looked up together, characters of distinct words scored together, and distinct words that a task remembers.
+PIECE, SCORED, REMEMBERED = 1 << 19, 1 << 18, 1 << 19
+#: Positions between two scalings; the least probability of a character to this power is still a number.
+STRETCH = 32
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _START = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def words_of(text: str) -> list[bytes]:
     """The words that are scored: lower case, separated by ASCII characters that are no letters."""
     return text.lower().encode().translate(_SPACED).split()
@@ -99,69 +109,121 @@ class Pieces:
         found = np.where(self.keys[0][one] == key, self.ids[0][one], -1)
         return np.where((self.ids[1][two] >= 0) & (self.keys[1][two] == key), self.ids[1][two], found)
 
-    def lattice(self, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows, pieces): which rows of ``chars`` (words of one length) have a piece there.
+    def lattice(self, chars: np.ndarray, begin: int, until: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, rows, pieces) by end, from begin + 1 to until: which rows of ``chars`` (words of one length) have a piece there.
 
         Characters that are no piece by themselves are the piece numbered ``size``.
         """
+        low = max(begin + 1 - self.longest, 0)
+        chars = chars[:, low:until]
         n = chars.shape[1]
         keys = np.zeros_like(chars)
+        edges = []
         for length in range(1, min(n, self.longest) + 1):
             keys = self.extend(keys[:, : n - length + 1], chars[:, length - 1 :])
             found = self.find(keys)
             if length == 1:
                 found[found < 0] = self.size
-            for start in range(n - length + 1):
-                rows = np.flatnonzero(found[:, start] >= 0)
-                if len(rows):
-                    yield start, start + length, rows, found[rows, start]
+            hit = found >= 0
+            for start in np.flatnonzero(hit.any(0)).tolist():
+                if low + start + length > begin:
+                    rows = np.flatnonzero(hit[:, start])
+                    edges.append((low + start, low + start + length, rows, found[rows, start]))
+        return sorted(edges, key=lambda e: e[1])
+
+
+@cache
+def vocabulary_pieces(path: str) -> Pieces:
+    """The table of a vocabulary's pieces, made once a process."""
+    return Pieces(pieces_of(path))
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word numbers, characters) of words of one length together; long words come in parts."""
-    parts = [(i, text[k : k + LONGEST]) for i, w in enumerate(words) for text in [_START + w.decode()] for k in range(0, len(text), LONGEST)]
-    parts.sort(key=lambda p: len(p[1]))
+    """(word numbers, characters) of words of one length together."""
+    parts = sorted(((i, _START + w.decode()) for i, w in enumerate(words)), key=lambda p: len(p[1]))
     lengths = np.fromiter((len(p) for _, p in parts), np.int64, len(parts))
-    for n in np.unique(lengths):
+    for n in np.unique(lengths).tolist():
         a, b = np.searchsorted(lengths, [n, n + 1])
-        for k in range(a, b, SCORED):
-            own = parts[k : min(k + SCORED, b)]
+        step = max(1, SCORED // n)
+        for k in range(a, b, step):
+            own = parts[k : min(k + step, b)]
             chars = np.frombuffer("".join(p for _, p in own).encode("utf-32-le"), "<u4").astype(np.uint64)
             yield np.fromiter((i for i, _ in own), np.int64, len(own)), chars.reshape(len(own), n)
 
 
-def _forward(edges, rows: int, n: int, chance: np.ndarray) -> np.ndarray:
-    """[position, word, language]: the probability of what stands before the position, over all cuts."""
-    alpha = np.zeros((n + 1, rows, chance.shape[1]))
-    alpha[0] = 1
-    for start, end, at, piece in edges:  # by end: all that lead to a start come before it
-        alpha[end, at] += alpha[start, at] * chance[piece]
-    return alpha
+def _stretches(n: int, reach: int) -> list[tuple[int, int]]:
+    """(begin, until): positions 1 to n in stretches, none shorter than a piece but the last."""
+    step = max(STRETCH, reach)
+    return [(begin, min(begin + step, n)) for begin in range(0, n, step)]
 
 
 def log_chances(pieces: Pieces, chance: np.ndarray, words: list[bytes]) -> np.ndarray:
     """[word, language]: log probability of each word, summed over all cuts into pieces."""
     out = np.zeros((len(words), chance.shape[1]))
     for own, chars in by_length(words):
-        edges = sorted(pieces.lattice(chars), key=lambda e: e[1])
-        np.add.at(out, own, np.log(_forward(edges, *chars.shape, chance)[-1]))
+        rows, n = chars.shape
+        reach = pieces.longest
+        # The probability of what stands before each position of the stretch and of the reach before it.
+        alpha = np.zeros((reach, rows, chance.shape[1]))
+        alpha[-1] = 1
+        scale = np.zeros((rows, chance.shape[1]))
+        for begin, until in _stretches(n, reach):
+            base = begin + 1 - reach  # the position at index 0
+            alpha = np.concatenate([alpha, np.zeros((until - begin, rows, chance.shape[1]))])
+            for start, end, at, piece in pieces.lattice(chars, begin, until):
+                alpha[end - base, at] += alpha[start - base, at] * chance[piece]
+            alpha = alpha[-reach:]
+            most = alpha.max(0)
+            alpha = alpha / most
+            scale += np.log(most)
+        out[own] = scale + np.log(alpha[-1])
     return out
 
 
+def _expected(pieces: Pieces, chars: np.ndarray, weight: np.ndarray, chance: np.ndarray, edges: list) -> np.ndarray:
+    """[piece, language]: how often each piece is expected in the words of one length, weighted.
+
+    Position p is scaled by its stretch: its true value is alpha[p] times the product of
+    the stretches' scales up to its own. edges: those of each stretch, or none to find them anew.
+    """
+    rows, n = chars.shape
+    parts = _stretches(n, pieces.longest)
+    of = np.zeros(n + 1, np.int64)
+    for k, (begin, until) in enumerate(parts):
+        of[begin + 1 : until + 1] = k
+    alpha = np.zeros((n + 1, rows, chance.shape[1]))
+    alpha[0] = 1
+    across = [np.ones((rows, chance.shape[1]))]
+    found = (lambda k: edges[k]) if edges else (lambda k: pieces.lattice(chars, *parts[k]))
+    for k in range(len(parts)):
+        if k:
+            across.append(1 / alpha[parts[k - 1][0] + 1 : parts[k - 1][1] + 1].max(0))
+        for start, end, at, piece in found(k):
+            step = alpha[start, at] * chance[piece]
+            alpha[end, at] += step if of[start] == k else step * across[k][at]
+    beta = np.zeros_like(alpha)
+    beta[n] = weight / alpha[n]
+    total = np.zeros_like(chance)
+    for k in reversed(range(len(parts))):
+        for start, end, at, piece in sorted(found(k), key=lambda e: -e[1]):
+            after = beta[end, at] * chance[piece]
+            after = after if of[start] == k else after * across[k][at]
+            beta[start, at] += after
+            np.add.at(total, piece, alpha[start, at] * after)
+    return total
+
+
 def fit(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
     """[piece, language]: probabilities fitted to counts [word, language]; the last row is any other character."""
     chance = np.full((pieces.size + 1, counts.shape[1]), 1 / (pieces.size + 1))
-    groups = [(counts[own], chars.shape, sorted(pieces.lattice(chars), key=lambda e: e[1])) for own, chars in by_length(words)]
+    groups = []
+    for own, chars in by_length(words):
+        parts = _stretches(chars.shape[1], pieces.longest)
+        groups.append((chars, counts[own], [pieces.lattice(chars, *p) for p in parts] if len(parts) < 3 else []))
     for _ in range(rounds):
         expected = np.full_like(chance, smoothing)
-        for weight, (rows, n), edges in groups:
-            alpha = _forward(edges, rows, n, chance)
-            beta = np.zeros_like(alpha)
-            beta[n] = weight / alpha[n]
-            for start, end, at, piece in sorted(edges, key=lambda e: -e[0]):
-                after = beta[end, at] * chance[piece]
-                beta[start, at] += after
-                np.add.at(expected, piece, alpha[start, at] * after)
+        for chars, weight, edges in groups:
+            expected += _expected(pieces, chars, weight, chance, edges)
         chance = expected / expected.sum(0)
     return chance
 
@@ -184,7 +246,7 @@ class Model:
             return answers, scores
         held, size = [], 0
         for i, text in enumerate(texts):
-            if text is not None and _LETTER.search(text):
+            if text is not None and has_letter(text):
                 held.append((i, words_of(text)))
                 size += len(held[-1][1])
             if held and (size >= PIECE or i + 1 == len(texts)):
@@ -236,11 +298,12 @@ def train(labelled: DataFrame, vocabulary: str | None = None, max_rows: int = MA
                 ["lang", "word", "n"],
             )
 
-    counted = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("word").pivot("lang", languages).sum("n").fillna(0)
-    counted = counted.toArrow()  # the words of the sample
-    words = counted.column("word").to_pylist()
-    counts = np.stack([counted.column(n).to_numpy() for n in counted.column_names[1:]], 1).astype(float)
-    pieces = Pieces(pieces_of(vocabulary))
+    counted = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = counted.toPandas()  # the words of the sample
+    numbers, words = pd.factorize(counted["word"].map(bytes))
+    counts = np.zeros((len(words), len(languages)))
+    counts[numbers, np.searchsorted(np.array(languages, object), counted["lang"].to_numpy(object))] = counted["n"]
+    pieces, words = vocabulary_pieces(vocabulary), list(words)
     total = np.array([rows[n] for n in languages], float)
     return Model(languages, np.log(total / total.sum()), pieces, fit(pieces, words, counts, rounds))
 
