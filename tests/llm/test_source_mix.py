@@ -1,6 +1,7 @@
 from collections import defaultdict
 from fractions import Fraction
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -76,3 +77,25 @@ def test_odd_rows(spark):
     assert sorted((r[0] or 0, r[2]) for r in mixed(docs)) == [(0, 2), (1, 0), (2, 0), (3, 2), (3, 2), (3, 50_000), (7, 2)]
     assert mixed(docs.limit(0)) == [] and sm.mixed_documents(docs.limit(0)).count() == 0
     assert sm.mixed_documents(docs).columns == docs.columns
+
+
+def test_equal_rows_are_taken_one_by_one(spark, tmp_path):
+    rows = [(None, "a b c d e f g h i j", "x")] * 100 + [(5, "one two", "y")] * 30 + [(k, "w " * (k % 7), "y") for k in range(40)] + [(None, "v " * 9, "z")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = mixed(docs)
+    checked(first)
+    assert mixed(docs.repartition(5)) == first
+    for given in (docs, docs.repartition(7)):
+        copies = sm.mixed_documents(given).groupBy("doc_id", "text", "source").count().collect()
+        want = defaultdict(int)
+        for i, source, size, _, _, times in first:
+            want[i, source, size] += times
+        assert {(r["doc_id"], r["source"], len(r["text"].split())): r["count"] for r in copies} == {k: n for k, n in want.items() if n}
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    check(sm.op9_source_mix(spark, str(tmp_path)), connect_documents(tmp_path), sm.ORACLE_SQL["op9_source_mix"])
+
+
+def connect_documents(folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return con

@@ -8,12 +8,18 @@ repetition of the documents that come first in a seeded order, as many as bring
 the source to within about half a document of its target.
 
 Only DataFrame functions are used. The text is read once, to count words; all
-further work is on (doc_id, source, size) and on tables of sources and of buckets
+further work is on (doc_id, source, size, digest) and on tables of sources and of buckets
 of the seeded order, so that a source with most of the rows is never in one task.
 
+A row's place in the order is a hash of its doc_id, source, text and, for rows that are
+equal in all of these, their number among their equals. Numbers are counted by the parts
+of a written table and within them, so that no group of equal rows meets in one task.
+
 Defined results: a null text has size 0; a null source is a source of its own,
-ordered last; rows with equal or null doc_id share a place in the seeded order and
-are taken together; an empty table gives an empty table; other columns are ignored.
+ordered last; equal rows are taken as often as the target asks, one by one, and it does
+not matter which; null and shared doc_ids work like any other; very long texts count
+whole; an empty table gives an empty table; other columns are ignored by the query and
+kept by mixed_documents().
 """
 
 from __future__ import annotations
@@ -37,8 +43,33 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _order_key(seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def identity() -> Column:
+    """A digest of what makes rows equal: doc_id, source and text."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    return F.md5(F.concat_ws("/", told("doc_id"), F.md5(told("source")), F.md5(told("text"))))
+
+
+def _order_key(seed: str, same: Column, number: Column) -> Column:
+    return F.md5(F.concat_ws("/", F.lit(seed), same, number.cast("string")))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``number``, from 0 among the rows of equal ``same``, to a written table of (row, same, ...).
+
+    row: increasing numbers whose bits from 33 on are the part that a row was written in.
+    """
+    again = cut(rows.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "equal")
+    if again.isEmpty():
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    part = F.shiftrightunsigned("row", 33)
+    several = cut(rows.join(again.select("same"), "same", "left_semi").select("row", "same", part.alias("part")), "repeated")
+    parts = several.groupBy("same", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.select("same", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("same", "part").orderBy("row")
+    own = several.withColumn("inside", F.row_number().over(inside) - 1).join(ahead, ["same", "part"])
+    own = own.select("row", (F.col("ahead") + F.col("inside")).alias("own"))
+    return rows.join(own, "row", "left").select(*rows.columns, F.coalesce("own", F.lit(0)).alias("number"))
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -90,16 +121,19 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
+    rows: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Plans a mix of ``docs`` (doc_id, text, source).
+    """Plans a mix of ``docs`` (doc_id, text, source); rows: docs is a written table with numbers of its own in ``row``.
 
-    Returns (sized, plan). sized: doc_id, source, size, order_key for each row. plan, a
+    Returns (sized, plan). sized: doc_id, source, size, row, same, order_key for each row. plan, a
     row for each source: source, source_size, target, whole (repetitions of every
     document) and last_key (documents with an order_key up to it are taken once more;
     null: none). repetitions() turns both into numbers of repetitions.
     """
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    sized = sized.withColumn("order_key", _order_key(seed))
+    row = F.col("row") if rows else F.monotonically_increasing_id()
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.alias("row"), identity().alias("same")), "sizes")
+    sized = numbered(sized)
+    sized = sized.withColumn("order_key", _order_key(seed, F.col("same"), F.col("number"))).drop("number")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     sources = cut(
         ranked_sources(sizes).withColumn(
@@ -158,11 +192,22 @@ def repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED, **params) -> DataFrame:
-    """The mix itself: each row of docs as often as the plan takes it, columns unchanged."""
-    _, plan = mix(docs, seed=seed, **params)
-    rows = repetitions(docs.select(F.struct(*docs.columns).alias("doc"), "source", _order_key(seed).alias("order_key")), plan)
+    """The mix itself: each row of docs as often as the plan takes it, columns unchanged.
+
+    Where no two rows are equal a row's place follows from the row alone; else docs is
+    written with row numbers, by which places come back to the rows.
+    """
+    same = docs.select(identity().alias("same")).groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.struct(*docs.columns).alias("doc")
+    if same.where("n > 1").isEmpty():
+        _, plan = mix(docs, seed=seed, **params)
+        placed = docs.select(kept, "source", _order_key(seed, identity(), F.lit(0)).alias("order_key"))
+    else:
+        held = cut(docs.select(kept, F.monotonically_increasing_id().alias("row")), "numbered")
+        sized, plan = mix(held.select("doc.doc_id", "doc.source", "doc.text", "row"), seed=seed, rows=True, **params)
+        placed = held.join(sized.select("row", "source", "order_key"), "row")
     once = F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int")))
-    return rows.where(F.col("repetitions") > 0).select("doc", once.alias("copy")).select("doc.*")
+    return repetitions(placed, plan).where(F.col("repetitions") > 0).select("doc", once.alias("copy")).select("doc.*")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,11 +221,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_source_mix": op9_source_mix}
 ORACLE_SQL = {
     "op9_source_mix": rf"""
-    WITH d AS (
+    WITH e AS (
         SELECT doc_id, source,
                CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-               md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+               md5(concat_ws('/', coalesce('=' || CAST(doc_id AS VARCHAR), 'null'), md5(coalesce('=' || source, 'null')), md5(coalesce('=' || text, 'null')))) AS same
         FROM documents),
+    d AS (SELECT *, md5('{SEED}/' || same || '/' || (row_number() OVER (PARTITION BY same) - 1)) AS k FROM e),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
     w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
     o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS i FROM w),
@@ -196,8 +242,7 @@ ORACLE_SQL = {
           FROM f, l),
     n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
     c AS (SELECT d.*, n.source_size, n.target, n.whole, n.target - n.whole * n.source_size AS need,
-                 sum(size) OVER (PARTITION BY d.source ORDER BY k) AS upto,
-                 sum(size) OVER (PARTITION BY d.source, k) AS own
+                 sum(size) OVER (PARTITION BY d.source ORDER BY k) AS upto, size AS own
           FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
     SELECT doc_id, size, source_size, target,
            CAST(size * (whole + CASE WHEN need > 0 AND upto - own / 2 <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken
