@@ -1,7 +1,9 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import check
 from pyspark.sql import functions as F
 
 from tidewheel.llm import topk_search as tk
@@ -9,11 +11,11 @@ from tidewheel.session import table
 
 
 def plain(rows, every=50, k=5):
-    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, v in {i: v for i, v in sorted(ok, reverse=True)}.items():
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in ok if j != i)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in ok if j != i)[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -52,7 +54,16 @@ def test_bounds_prune():
 
 
 def test_odd_rows(spark):
-    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [0.2, 0.1]), (None, [1.0, 1.0]), (50, [-1.0, 0.3])]
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [0.2, 0.1]), (None, [1.0, 1.0]), (50, [-1.0, 0.3]), (100, [2.0]), (7, [0.5, -1.0, 3.0]), (150, []), (200, [0.5, 1.0, 2.0, 4.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit("clash"), "terms": F.lit(0)})
     assert got(tk.nearest(vectors, F.col("id") % 50 == 0)) == plain(rows)
     assert tk.nearest(vectors.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_unequal_lengths_against_sql(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(0, 1, int(rng.choice([2, 2, 2, 3, 5, 0]))).tolist()) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    check(tk.op3_topk_blocks(spark, str(tmp_path)), con, tk.ORACLE_SQL["op3_topk_blocks"])

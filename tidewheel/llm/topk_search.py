@@ -13,11 +13,13 @@ Blocks are dealt to routes of bounded size, queries go to every route a bounded
 at a time, and a route's best k for each query are merged: a stated set of queries
 against all rows in blocks, with k rows a query and route in the last shuffle.
 
-Defined results: rows with a null id, null or empty vectors and those with null or
-non-finite components, or of another length than the most common one, take no part;
-repeated rows are vectors of their own, except that a query is asked once and none is
-its own candidate; fewer candidates than k give all; ties go to the smaller id; an
-empty table gives an empty table; other columns are ignored.
+Defined results: rows with a null id, null vectors and those with null or non-finite
+components take no part; vectors of unequal lengths meet in the components that both
+have, so an empty one scores 0; repeated rows are vectors of their own, except that a
+query is asked once (with several vectors, by the least of them) and none is its own
+candidate; fewer candidates than k give all; ties go to the smaller id; very long
+vectors share blocks with their like; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of every component as double; null where any is null or not finite."""
     x = vector.cast("array<double>")
     ok = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return F.when(ok & (F.size(x) > 0), F.transform(x, lambda v: F.floor(v * scale)))
+    return F.when(ok, F.transform(x, lambda v: F.floor(v * scale)))
 
 
 def _code(terms: Column) -> Column:
@@ -55,6 +57,21 @@ def _code(terms: Column) -> Column:
     return F.transform(F.slice(F.array_sort(tagged), 1, CODE), lambda s: s["term"] * 2 + s["sign"].cast("int"))
 
 
+def _cut(vectors: np.ndarray, width: int) -> np.ndarray:
+    """Vectors in the first ``width`` dimensions, with zeros for those they lack."""
+    have = min(width, vectors.shape[1])
+    return vectors[:, :have] if have == width else np.pad(vectors, ((0, 0), (0, width - have)))
+
+
+def _stacked(vectors: list[np.ndarray]) -> np.ndarray:
+    """Vectors of any lengths as rows as long as the longest."""
+    width = max(map(len, vectors), default=0)
+    out = np.zeros((len(vectors), width), np.int64)
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v
+    return out
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T of whole numbers: in doubles, which are faster, wherever those are exact."""
     reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
@@ -123,17 +140,17 @@ def indexed(terms: DataFrame, query: Column, k: int = K) -> DataFrame:
 
     A query in asked comes with a floor: its k-th best score in its own block.
     """
-    rows = terms.withColumns({"code": _code(F.col("terms")), "asks": query})
-    placed = rows.repartitionByRange("code", "id").sortWithinPartitions("code", "id").select("id", "terms", "asks")
+    rows = terms.withColumns({"code": _code(F.col("terms")), "size": F.size("terms"), "asks": query})
+    placed = rows.repartitionByRange("size", "code", "id").sortWithinPartitions("size", "code", "id").select("id", "terms", "asks")
 
     def block(own: pd.DataFrame) -> pd.DataFrame:
-        ids, weights = own["id"].to_numpy(np.int64), np.stack([np.asarray(v, np.int64) for v in own["terms"]])
+        ids, weights = own["id"].to_numpy(np.int64), _stacked([np.asarray(v, np.int64) for v in own["terms"]])
         asks = own["asks"].to_numpy(bool)
         best = Best(int(asks.sum()), k)
         if asks.any():
             best.offer(np.arange(len(best.score)), *_against(weights[asks], ids[asks], weights, ids))
         asked = [{"id": i, "weights": w.tobytes(), "floor": f} for i, w, f in zip(ids[asks], weights[asks], best.last(), strict=True)]
-        return pd.DataFrame({"ids": [ids.tobytes()], "weights": [weights.tobytes()], "asked": [asked]})
+        return pd.DataFrame({"width": [weights.shape[1]], "ids": [ids.tobytes()], "weights": [weights.tobytes()], "asked": [asked]})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -145,7 +162,7 @@ def indexed(terms: DataFrame, query: Column, k: int = K) -> DataFrame:
         if rest is not None and len(rest):
             yield block(rest)
 
-    return cut(placed.mapInPandas(build, "ids binary, weights binary, asked array<struct<id:long,weights:binary,floor:long>>"), "blocks")
+    return cut(placed.mapInPandas(build, "width int, ids binary, weights binary, asked array<struct<id:long,weights:binary,floor:long>>"), "blocks")
 
 
 def nearest(vectors: DataFrame, query: Column, k: int = K) -> DataFrame:
@@ -156,28 +173,31 @@ def nearest(vectors: DataFrame, query: Column, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     terms = vectors.select(F.col("vec_id").cast("long").alias("id"), whole_numbers(F.col("embedding")).alias("terms"))
     terms = cut(terms.where("id is not null and terms is not null"), "terms")
-    sizes = terms.groupBy(F.size("terms").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    rows, size = (sizes["n"], sizes["size"]) if sizes else (0, 1)
-    blocks = indexed(terms.where(F.size("terms") == size), query, k)
+    rows = terms.count()
+    blocks = indexed(terms, query, k)
     # A query with several rows is asked once; with several vectors, by the least of them.
     queries = blocks.select(F.explode("asked").alias("q")).groupBy("q.id").agg(F.min(F.struct("q.weights", "q.floor")).alias("q"))
     queries = cut(queries.select("id", "q.weights", "q.floor"), "queries")
     turns = max(1, -(-queries.count() // TURN))
     routes = max(4 * spark.sparkContext.defaultParallelism, -(-rows // ROUTE))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = blocks.select(F.pmod(F.xxhash64("ids"), F.lit(routes)).cast("int").alias("route"), every(turns).alias("turn"), "ids", "weights")
+    left = blocks.select(F.pmod(F.xxhash64("ids"), F.lit(routes)).cast("int").alias("route"), every(turns).alias("turn"), "width", "ids", "weights")
     right = queries.select(every(routes).alias("to_route"), F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("of_turn"), "id", "weights", "floor")
 
     def answer(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
-        parts = [(np.frombuffer(i, np.int64), np.frombuffer(w, np.int64).reshape(-1, size)) for i, w in zip(own["ids"], own["weights"], strict=True)]
-        for first in range(0, len(asked) if parts else 0, ASKED):
+        by_width = {}
+        for width, i, w in zip(own["width"], own["ids"], own["weights"], strict=True):
+            i = np.frombuffer(i, np.int64)
+            by_width.setdefault(width, []).append((i, np.frombuffer(w, np.int64).reshape(len(i), width)))
+        for first in range(0, len(asked) if by_width else 0, ASKED):
             some = asked[first : first + ASKED]
-            ids = some["id"].to_numpy(np.int64)
-            weights = np.stack([np.frombuffer(w, np.int64) for w in some["weights"]])
-            best, _ = search(weights, ids, some["floor"].to_numpy(np.int64), parts, k)
-            found = best.id != NOBODY
-            out.append(pd.DataFrame({"query_id": np.repeat(ids, found.sum(1)), "vec_id": best.id[found], "score": best.score[found]}))
+            ids, floor = some["id"].to_numpy(np.int64), some["floor"].to_numpy(np.int64)
+            weights = _stacked([np.frombuffer(w, np.int64) for w in some["weights"]])
+            for width, parts in by_width.items():
+                best, _ = search(_cut(weights, width), ids, floor, parts, k)
+                found = best.id != NOBODY
+                out.append(pd.DataFrame({"query_id": np.repeat(ids, found.sum(1)), "vec_id": best.id[found], "score": best.score[found]}))
         return pd.concat(out, ignore_index=True)
 
     merged = left.groupBy("turn", "route").cogroup(right.groupBy("of_turn", "to_route")).applyInPandas(answer, "query_id long, vec_id long, score long")
@@ -200,7 +220,7 @@ ORACLE_SQL = {
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (
         SELECT q.vec_id AS query_id, c.vec_id,
-               CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+               CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
         FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
