@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     round is a written table, so a lost executor costs no earlier round.
     Self links and repeated links are harmless; no links give an empty table.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
+    both = cut(links.select(ways).select("w.a", "w.b").distinct(), "links")  # links is run once
     labels = cut(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")),
         "labels",
