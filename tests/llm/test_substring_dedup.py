@@ -28,11 +28,34 @@ def got(docs, **params):
     return sorted(map(tuple, substring_dedup.remove_repeats(docs, **params).select("doc_id", "n_words", "n_removed", "text").collect()), key=repr)
 
 
-@pytest.mark.parametrize("cells", [None, 1 << 16])
-def test_documents(spark, sf_dir, cells):
+@pytest.mark.parametrize(("cells", "hot"), [(None, substring_dedup.HOT), (1 << 16, 3), (None, 2)])
+def test_documents(spark, sf_dir, cells, hot):
     docs = table(spark, sf_dir, "documents")
     want = plain([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert got(docs, cells=cells) == want
+    assert got(docs, cells=cells, hot=hot) == want
+
+
+def test_a_window_in_every_document_is_spread(spark, monkeypatch):
+    """Every piece holds one document, and all share a window: no task gets over twice the median of its rows."""
+    monkeypatch.setattr(substring_dedup, "PIECE", 1)
+    line = " ".join(f"w{i}" for i in range(35))
+    rows = [(i, f"a{i} {line} b{i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = docs.select(F.lit(1).cast("long").alias("one"), F.lit(2).alias("two"), "doc_id", F.xxhash64("text").alias("text_key"), F.hash("text").alias("text_hash"), F.lit(1).alias("place"), F.lit(False).alias("known"))
+    salted = substring_dedup._hot(found)
+    assert salted.count() == 2000
+    spread = [r["n"] for r in found.groupBy(F.pmod(F.xxhash64("text_key", "place"), F.lit(substring_dedup.SALTS)).alias("s")).agg(F.count("*").alias("n")).collect()]
+    assert len(spread) == substring_dedup.SALTS and max(spread) <= 2 * sorted(spread)[len(spread) // 2]
+    assert got(docs, hot=100) == plain(rows)
+
+
+def test_null_and_shared_ids_with_equal_hashes(spark, monkeypatch):
+    """Texts of one id, or of none, whose 32-bit hashes are equal stay apart."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"{passage} end"), (None, "short"), (7, f"x {passage}"), (7, "one two"), (None, None), (7, "")]
+    real = substring_dedup._hashed
+    monkeypatch.setattr(substring_dedup, "_hashed", lambda d: real(d).withColumn("text_hash", F.lit(0)))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
 
 
 def test_digest(spark, sf_dir):

@@ -5,8 +5,9 @@ smallest hash (the leftmost of equals). Equal windows have equal anchors at equa
 places, so an anchor occurs at least as often as any window it stands for, and far
 fewer anchors than windows need counting. Each task sketches the anchors it meets
 (count-min: several rows of counters, one cell of each row an anchor); the sketches
-are summed by ranges of cells, which gives counts that are never too low. Only one bit
-a cell is kept, "more than once", and broadcast: its size is fixed by the parameters.
+are summed by ranges of cells, which gives counts that are never too low. Two bits a
+cell are kept, "more than once" and "more than HOT times", and broadcast: their size is
+fixed by the parameters.
 
 Second pass. Only windows whose anchor is estimated repeated go on. Windows met twice
 within a task's piece of rows are known to be repeated at once; of the others one row
@@ -15,12 +16,18 @@ a third of all documents share gives a row for each piece, not for each document
 None is lost: what the sketch passes by occurs once. A corpus too large for the
 largest sketch makes the sketch pass more windows on; the result stays exact.
 
-Last, each document's repeated windows meet its text, and words they cover are removed.
+Since the sketch never counts too low, a window whose anchor is not hot has HOT rows at
+most, and a task can hold them. Windows with hot anchors (a licence line in a very large
+corpus) are counted by partial sums instead, and the repeated ones joined back by salt.
+
+Last, each text's repeated windows meet the documents of that text, and words they cover
+are removed. Texts are known by 96 bits of two hashes, so neither null nor shared doc_ids
+confuse them.
 
 Defined results: a null text has no words; fewer words than a window are all kept;
-repeated rows (equal doc_id and text) repeat each other's windows and are each
-reduced; a null doc_id works like any other value; an empty table gives an empty
-table; other columns are ignored.
+repeated rows repeat each other's windows and are each reduced; null and shared doc_ids
+work like any other; very long texts are worked on whole, one at a time; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +43,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.session import table
+from tidewheel.storage import cut
 
 WINDOW = 35
 ANCHOR = 20
-#: Rows of the sketch, and the most cells of a row. A row's bits are broadcast: 32 MB at most.
+#: Rows of the sketch, and the most cells of a row. A row's two bits a cell are broadcast: 64 MB at most.
 DEPTH = 2
 MAX_CELLS = 1 << 28
 #: Cells in one piece of the sketch, as summed by one group.
@@ -47,6 +55,9 @@ RANGE = 1 << 16
 #: Words worked on at once by a task, and anchors sketched at once.
 PIECE, SKETCHED = 1 << 17, 1 << 18
 
+#: Occurrences of an anchor, by the sketch, above which its windows are counted by partial sums; and salts of their join.
+HOT, SALTS = 1 << 16, 64
+
 #: Bases of the two run hashes: any odd numbers.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -124,14 +135,18 @@ def _cells(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
     return [_mixed(anchors + np.uint64(i)) & np.uint64(cells - 1) for i in range(DEPTH)]
 
 
-def sketch(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
-    """Bits [DEPTH, cells / 8]: which cells the merged sketch counts more than one anchor in."""
+def sketch(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> tuple[np.ndarray, np.ndarray | None]:
+    """Bits [DEPTH, cells / 8], twice: in which cells the merged sketch counts more than one anchor, and more than ``hot``.
+
+    The second is None where no cell is hot.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
             for depth, cell in enumerate(_cells(anchors, cells)):
                 cell, count = np.unique(cell, return_counts=True)
                 number, first = np.unique(cell // np.uint64(RANGE), return_index=True)
+                # 255 at most a batch: more than the batch has pieces, so still no fewer than the rows of a window.
                 low, count = (cell % np.uint64(RANGE)).astype(np.uint16), np.minimum(count, 255).astype(np.uint8)
                 parts = list(zip(first, np.r_[first[1:], len(cell)], strict=True))
                 yield pa.record_batch(
@@ -154,42 +169,51 @@ def sketch(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCH
         if size:
             yield from rows(np.concatenate(held))
 
+    names = ["depth", "range", "more", "hot"]
+
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(RANGE, np.uint32)
+        total = np.zeros(RANGE, np.uint64)
         for cell, n in zip(part["cell"], part["n"], strict=True):
             total[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.uint8)
-        return pd.DataFrame({"depth": part["depth"][:1], "range": part["range"][:1], "bits": [np.packbits(total > 1, bitorder="little").tobytes()]})
+        return pd.DataFrame({"depth": part["depth"][:1], "range": part["range"][:1], **{f"over{k}": [np.packbits(total > k, bitorder="little").tobytes() if (total > k).any() else None] for k in (1, hot)}}).set_axis(names, axis=1)
 
     merged = (
         docs.select("text")
         .mapInArrow(partial, "depth int, range long, cell binary, n binary")
         .groupBy("depth", "range")
-        .applyInPandas(merge, "depth int, range long, bits binary")
+        .applyInPandas(merge, "depth int, range long, more binary, hot binary")
     )
-    bits = np.zeros((DEPTH, cells // RANGE, RANGE // 8), np.uint8)
-    for row in merged.collect():  # cells / 8 bytes a row of the sketch, whatever the corpus
-        bits[row["depth"], row["range"]] = np.frombuffer(row["bits"], np.uint8)
-    return bits.reshape(DEPTH, -1)
+    bits = np.zeros((2, DEPTH, cells // RANGE, RANGE // 8), np.uint8)
+    for row in merged.where("more is not null").collect():  # cells / 4 bytes a row of the sketch, whatever the corpus
+        for k, name in enumerate(("more", "hot")):
+            if row[name] is not None:
+                bits[k, row["depth"], row["range"]] = np.frombuffer(row[name], np.uint8)
+    more, hot_ = bits.reshape(2, DEPTH, -1)
+    return more, hot_ if hot_.any() else None
+
 
+def _told(bits: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
+    """For each anchor, given by its cell in each row of the sketch, whether all its bits are set."""
+    return np.logical_and.reduce([row[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1 > 0 for row, c in zip(bits, cells, strict=True)])
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, place) of every window that starts anywhere else as well; place counts words from 0."""
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT) -> DataFrame:
+    """(text_key, text_hash, place) of every window that starts anywhere else as well; place counts words from 0."""
     spark = docs.sparkSession
     if cells is None:
         cells = cells_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bits = spark.sparkContext.broadcast(sketch(docs, cells, window, anchor))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    more, often = sketch(docs, cells, window, anchor, hot)
+    sent = spark.sparkContext.broadcast((more, often))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more, often = sent.value
         for batch, first, piece in _pieces(batches, window, anchor):
-            seen = np.ones(len(piece.at), bool)
-            anchors = piece.runs[piece.anchor_at]
-            for row, cell in zip(bits.value, _cells(anchors, cells), strict=True):
-                seen &= (row[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            chosen = np.flatnonzero(seen)
+            anchors = _cells(piece.runs[piece.anchor_at], cells)
+            chosen = np.flatnonzero(_told(more, anchors))
+            is_hot = _told(often, [c[chosen] for c in anchors]) if often is not None else np.zeros(len(chosen), bool)
             one, two = piece.hashes(chosen)
             order = np.lexsort((two, one))
-            one, two, at = one[order], two[order], piece.at[chosen][order]
+            one, two, at, is_hot = one[order], two[order], piece.at[chosen][order], is_hot[order]
             new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.empty(0, bool)
             group = np.cumsum(new) - 1
             twice = (np.bincount(group) > 1)[group] if len(group) else new
@@ -205,31 +229,45 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                 [
                     pa.array(one[order].view(np.int64)),
                     pa.array(two[order].view(np.int64).astype(np.int32), mask=~new[order]),
-                    batch.column("doc_id").take(row),
+                    batch.column("text_key").take(row),
                     batch.column("text_hash").take(row),
                     pa.array((at - piece.begins[doc])[order].astype(np.int32)),
                     pa.array(twice[order]),
+                    pa.array(is_hot[order]),
                 ],
-                ["one", "two", "doc_id", "text_hash", "place", "known"],
+                ["one", "two", "text_key", "text_hash", "place", "known", "hot"],
             )
 
-    found = _hashed(docs).mapInArrow(suspects, f"one long, two int, doc_id {kind}, text_hash int, place int, known boolean")
+    found = _hashed(docs).mapInArrow(suspects, "one long, two int, text_key long, text_hash int, place int, known boolean, hot boolean")
+    names = ["text_key", "text_hash", "place"]
     # At most one row a piece of a task has any given hash.
-    counted = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))
-    return counted.where("known or n > 1 and two is not null").select("doc_id", "text_hash", "place")
+    counted = found.drop("hot") if often is None else found.where("not hot").drop("hot")
+    counted = counted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))
+    usual = counted.where("known or n > 1 and two is not null").select(*names)
+    return usual if often is None else usual.union(_hot(found.where("hot").drop("hot")).select(*names))
+
+
+def _hot(found: DataFrame) -> DataFrame:
+    """The rows of windows that repeat, of windows that may have very many rows each."""
+    found = cut(found, "hot")
+    again = found.where("two is not null").groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = found.where("not known").withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(again.withColumn("salt", every), ["one", "two", "salt"], "left_semi")
+    return found.where("known").unionByName(joined.drop("salt"))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.hash("text").alias("text_hash"))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.hash("text").alias("text_hash"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, text, n_words, n_removed): the words no repeated window covers, joined by one space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     places = (
-        repeated_windows(docs, window, anchor, cells)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list("place").alias("places"))  # no more than the document has words
+        repeated_windows(docs, window, anchor, cells, hot)
+        .groupBy("text_key", "text_hash")
+        .agg(F.collect_set("place").alias("places"))  # no more than the text has words
     )
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 ["doc_id", "text", "n_words", "n_removed"],
             )
 
-    d, p = _hashed(docs).alias("d"), places.hint("shuffle_hash").alias("p")
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash"))
-    joined = d.join(p, same, "left").select("d.doc_id", "d.text", "places")
+    joined = _hashed(docs).join(places.hint("shuffle_hash"), ["text_key", "text_hash"], "left").select("doc_id", "text", "places")
     return joined.mapInArrow(strip, f"doc_id {kind}, text string, n_words long, n_removed long")
 
 
