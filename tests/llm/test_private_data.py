@@ -1,5 +1,5 @@
-import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,10 +29,49 @@ def test_detection(text, want):
     assert [(k, text[a:b]) for a, b, k in pd_.detect(text)] == want
 
 
-def test_permutation_is_one_to_one():
-    for n in (1, 2, 3):
-        made = {pd_.permuted(str(i).zfill(n), b"k", "t") for i in range(10**n)}
-        assert len(made) == 10**n and all(len(m) == n for m in made)
+@pytest.mark.parametrize(("left", "right"), [(1, 1), (1, 7), (10, 1), (2, 2), (3, 5), (26, 26), (90, 156)])
+def test_permutation_is_one_to_one_and_leaves_none(left, right):
+    n = left * right
+    made = [pd_.moved(k, left, right, b"k", "t") for k in range(n)]
+    assert sorted(made) == list(range(n)) and (n < 2 or all(a != b for a, b in enumerate(made)))
+    assert n < 50 or made != [pd_.moved(k, left, right, b"j", "t") for k in range(n)]
+
+
+def shape(text):
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", text)))
+
+
+@pytest.mark.parametrize(
+    ("kind", "every"),
+    [
+        ("email", [f"{a}@{b}.co" for a in string.ascii_lowercase for b in string.ascii_lowercase]),
+        ("ip", [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]),
+        ("ip", [f"{a}.0{b}.00{c}.{d}" for a in range(98, 101) for b in range(10) for c in range(10) for d in range(250, 256)]),
+        ("ssn", [f"{a:09d}" for a in range(3000)]),
+        ("card", [f"{a:013d}" for a in range(3000)]),
+        ("secret", [f"{a}{b}{c}9" for a in "Ab" for b in "xY" for c in string.ascii_lowercase]),
+    ],
+)
+def test_short_formats_hold_all_their_entities(kind, every):
+    made = [pd_.surrogate(kind, e) for e in every]
+    assert len(set(made)) == len(every) and all(m != e for m, e in zip(made, every, strict=True))
+    assert kind == "ip" or [shape(m) for m in made] == [shape(e) for e in every]
+    assert kind != "ip" or all([len(x) for x in m.split(".")] == [len(x) for x in e.split(".")] and all(int(x) < 256 for x in m.split(".")) for m, e in zip(made, every, strict=True))
+    assert kind != "card" or all(pd_._luhn_ok(m) == pd_._luhn_ok(e) for m, e in zip(made, every, strict=True))
+    if kind in ("email", "ip") and len(every) in (676, 10_000):
+        assert set(made) == set(every)
+
+
+def test_other_scripts_keep_theirs():
+    for mention, pattern in [("ñandú7", "[à-þ][a-z]{3}[à-þ][0-9]"), ("Жук1", "[А-Я][а-я]{2}[0-9]"), ("漢字x", "漢字[a-z]"), ("٣1", "[٠-٩][0-9]")]:
+        made = pd_.surrogate("secret", mention)
+        assert re.fullmatch(pattern, made) and made != mention
+
+
+def test_all_addresses_of_a_short_format(spark):
+    rows = [(k, f"write {a}@{b}.co or 1.2.3.{k % 10}") for k, (a, b) in enumerate((a, b) for a in string.ascii_lowercase for b in string.ascii_lowercase)]
+    found = pd_.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["text"].split()[1] for r in found}) == 676 and len({r["text"].split()[3] for r in found}) == 10
 
 
 @pytest.mark.parametrize("mention", ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"])
@@ -52,9 +91,8 @@ def test_formats_are_kept():
     mail = pd_.rendered("email", "Ab.72@Mail3.example.com", pd_.surrogate("email", "ab.72@mail3.example.com"))
     assert re.fullmatch(r"[A-Z][a-z]\.\d\d@[A-Z][a-z]{3}\d\.[a-z]{7}\.com", mail)
     for name, (script, gender) in [("Mary Smith", ("latin", "f")), ("Иван Петров", ("cyrillic", "m"))]:
-        first, last = pd_.surrogate("person", name).split()
+        first, last = pd_.Surrogates(pd_.KEY).of("person", name, name, {}).split()
         assert first in pd_.FIRST[script, gender] and last != name.split()[1]
-    assert pd_.surrogate("person", "John Smith").split()[1] == pd_.surrogate("person", "Smith")
 
 
 def test_documents(spark, sf_dir):
@@ -66,7 +104,8 @@ def test_documents(spark, sf_dir):
         for s in r["entities"]:
             mention = text[s["start"] : s["start"] + s["length"]]
             entity = (s["kind"], pd_.canonical(s["kind"], mention))
-            made = pd_.canonical(s["kind"], s["surrogate"])
+            made = s["surrogate"].removeprefix(mention.split(" ")[0] + " ") if s["kind"] == "person" and mention.split(" ")[0].rstrip(".") in pd_.TITLES else s["surrogate"]
+            made = made if s["kind"] == "person" else pd_.canonical(s["kind"], made)
             assert mapping.setdefault(entity, made) == made and mention != s["surrogate"]
             out += [text[at : s["start"]], s["surrogate"]]
             at, n = s["start"] + s["length"], n + 1
@@ -77,35 +116,64 @@ def test_documents(spark, sf_dir):
     assert n > 5 and len({(k[0], v) for k, v in mapping.items()}) == len(mapping)
 
 
+def plain_numbers(text):
+    """Runs of nine digits and more that stand alone, and addresses of four numbers up to 255, found without regular expressions."""
+    out = set()
+    for word in "".join(c if c.isalnum() or c in "._" else " " for c in text).split():
+        bare = word.strip(".")
+        if bare.isdigit() and bare.isascii() and len(bare) >= 9 and word in (bare, bare + "."):
+            out.add(bare)
+        parts = bare.split(".")
+        if word in (bare, bare + ".") and len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) < 4 and int(p) < 256 for p in parts):
+            out.add(bare)
+    return out
+
+
+def test_against_another_detector(spark, sf_dir):
+    """What a plain search finds is gone, unless it is a surrogate that another entity was given."""
+    docs = table(spark, sf_dir, "documents")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found, n = pd_.replaced(docs).collect(), 0
+    for r in found:
+        for number in plain_numbers(before[r["doc_id"]]):
+            spans = [before[r["doc_id"]][s["start"] : s["start"] + s["length"]] for s in r["entities"]]
+            assert any(number in s for s in spans), number
+            n += 1
+    assert n > 3
+
+
 @pytest.mark.parametrize("sent", [100_000, 0])
-def test_collisions_are_resolved(spark, monkeypatch, sent):
-    # few first surrogates: nearly all entities meet
+def test_names_that_meet_are_parted(spark, monkeypatch, sent):
+    """Few surrogates at first: nearly all surnames meet; each keeps one, with and without a first name."""
     real = pd_.surrogate
-    rng = random.Random(1)
-    rows = [(i, f"mail x{rng.randrange(60)}@a.example.com twice x{rng.randrange(60)}@a.example.com") for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    first = spark.createDataFrame([("email", f"x{i}@a.example.com") for i in range(60)], "kind string, entity string")
+    monkeypatch.setattr(pd_, "surrogate", lambda kind, entity, attempt=0, key=pd_.KEY: real(kind, entity, attempt, key) if attempt > 1 else "Same")
+    names = [f"K{chr(97 + i)}{chr(97 + i // 2)}mer" for i in range(26)]
+    rows = [(i, f"Mr {n} saw John {n} and Mary {n}") for i, n in enumerate(names)]
+    made = {}
+    for r in pd_.replaced(spark.createDataFrame(rows, "doc_id long, text string"), sent=sent).collect():
+        surnames = [s["surrogate"].split()[-1] for s in r["entities"]]
+        firsts = [s["surrogate"].split()[0] for s in r["entities"]]
+        assert len(surnames) == 3 and len(set(surnames)) == 1 and firsts[0] == "Mr" and firsts[1] != "John" and firsts[2] != "Mary"
+        made[rows[r["doc_id"]][1]] = surnames[0]
+    assert len(set(made.values())) == 26
 
-    def poor(kind, entity, attempt=0, key=pd_.KEY):
-        return real(kind, entity, attempt, key) if attempt > 1 else f"s{len(entity)}@a.example.com"
 
-    monkeypatch.setattr(pd_, "surrogate", poor)
-    late = {(r["kind"], r["entity"]): r["attempt"] for r in pd_.attempts(first).collect()}
-    assert len(late) == 58
-    made = {}
-    for r in pd_.replaced(docs, sent=sent).collect():
-        for s in r["entities"]:
-            mention = rows[r["doc_id"]][1][s["start"] : s["start"] + s["length"]]
-            assert made.setdefault(mention, s["surrogate"]) == s["surrogate"]
-    assert len(set(made.values())) == len(made)
+def test_the_session_names_the_key(spark):
+    docs = spark.createDataFrame([(1, "at 12.13.14.15")], "doc_id long, text string")
+    before = pd_.replaced(docs).first()["text"]
+    spark.conf.set("tidewheel.surrogate.key", "other")
+    try:
+        assert pd_.replaced(docs).first()["text"] != before
+    finally:
+        spark.conf.unset("tidewheel.surrogate.key")
 
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "clean words only"), (4, "x@y.example.com " * 5_000), (None, "x@y.example.com"), (4, "x@y.example.com " * 5_000), (5, "a" * 200_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kind": F.lit("clash"), "entities": F.lit(0)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kind": F.lit("clash"), "entities": F.lit(0), "spans_": F.lit("x"), "late_": F.lit("y")})
     found = pd_.replaced(docs).collect()
     by_id = {r["doc_id"]: r for r in found}
     assert len(found) == 7 and by_id[1]["text"] is None and by_id[2]["text"] == "" and by_id[3]["text"] == "clean words only"
     assert by_id[4]["n_entities"] == 5_000 and set(by_id[4]["text"].split()) == {by_id[None]["text"]} != {"x@y.example.com"}
-    assert by_id[5]["text"] == rows[-1][1] and by_id[1]["kind"] == "clash"
+    assert by_id[5]["text"] == rows[-1][1] and (by_id[1]["kind"], by_id[1]["spans_"], by_id[1]["late_"]) == ("clash", "x", "y")
     assert pd_.replaced(docs.limit(0)).count() == 0

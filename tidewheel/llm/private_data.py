@@ -3,30 +3,44 @@
 Detected: e-mail and IPv4 addresses, telephone, social security, card and other long
 numbers, bank accounts (IBAN), secrets (long hex strings, well-known key formats,
 values assigned to names such as token or password), and people named with a title or
-a well-known first name.
+a well-known first name (the lists are short: a name without either is not found).
 
 An entity's surrogate is a keyed function of its kind and canonical form, so an entity
 gets one surrogate everywhere, in the format of each mention: digits for digits,
-letters for letters with their case, separators as they stand, valid check digits
-where the original's are valid, a first name of the same gender and script, and a
-surname spelled in the same script. Digit strings go through a keyed permutation of
-strings of their length, so two never share a surrogate.
+letters for letters of the same alphabet with their case, separators as they stand, valid
+check digits where the original's are valid, a first name of the same gender and script,
+and a surname spelled in the same script.
 
-Where two entities still meet in one surrogate, Spark finds it by grouping all
-distinct entities by surrogate: all but the smallest take their next attempt, until
-none meet. The entities that needed one are few and are broadcast if a count shows
-that they are; beyond that they are joined to their documents.
+All but surnames go through a keyed permutation of the strings of their format that
+leaves none in place (a Feistel network, one step on, and back), so two entities never
+share a surrogate however few strings a format has. Surnames have no such domain: theirs
+are spelled by a keyed hash. A surname's surrogate is the same with and without a first
+name or title beside it.
+
+Spark checks that no two meet, by grouping all distinct entities by surrogate: of
+surnames that do, all but the smallest take their next attempt, each longer than the
+last, until none meet. The entities that needed one are few and are broadcast if a count
+shows that they are; beyond that they are joined to their documents.
+
+Texts are searched once: what is found is written beside them and read for the rest.
+
+The key is the session's ``tidewheel.surrogate.key``; without it, one that is public and
+fit for tests only.
 
 Defined results: a null text stays null with no entities; an empty or clean text stays
-as it is; repeated rows are replaced alike; a null doc_id works like any other value;
-an empty table gives an empty table; other columns are kept by replaced().
+as it is; very long texts are searched whole; of overlapping entities the kind first in
+PATTERNS wins, then the earlier; an entity whose format has one string only (no letter
+or digit that could change) stays; repeated rows are replaced alike; null and shared
+doc_ids work like any other; an empty table gives an empty table; other columns are kept
+by replaced().
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +50,12 @@ from pyspark.sql.types import StructType
 from tidewheel.session import table
 from tidewheel.storage import cut
 
+#: The key where the session names none: public, for tests.
 KEY = b"tidewheel"
 #: Entities with attempts beyond the first that are broadcast at most.
 SENT = 100_000
-ATTEMPTS = 32
+#: Letters that are exchanged for one another; others stay.
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 
 _UPPER = r"[^\W\d_a-zà-öø-ÿа-я]"
 #: Titles that go before a name, with the gender they tell.
@@ -143,61 +159,123 @@ def _number(key: bytes, *parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=key, digest_size=32).digest(), "big")
 
 
-def permuted(digits: str, key: bytes, *tweak: object) -> str:
-    """A keyed permutation of the digit strings of one length (a Feistel network with sums modulo powers of ten)."""
-    if len(digits) < 2:
-        return str((int(digits) + _number(key, *tweak, "one")) % 10) if digits else digits
-    half = len(digits) // 2
-    left, right = digits[:half], digits[half:]
-    for step in range(8):
-        n = len(left)
-        total = (int(left) + _number(key, *tweak, len(digits), step, right)) % 10**n
-        left, right = right, str(total).zfill(n)
-    return left + right
+def moved(at: int, left: int, right: int, key: bytes, *tweak: object) -> int:
+    """A keyed permutation of 0 to left * right - 1 that leaves no number in place, if there are two.
 
+    A Feistel network over pairs (below left, below right), then some steps on, then the network back.
+    """
+    if left * right < 2:
+        return at
+    sizes = (left, right)
 
-def _lettered(text: str, stream: Iterator[int]) -> str:
-    """ASCII letters for letters and digits for digits, by the stream; lower case."""
-    return "".join(chr(97 + next(stream) % 26) if c.isalpha() else chr(48 + next(stream) % 10) if c.isdigit() else c for c in text)
+    def turned(n: int, way: int) -> int:
+        half = list(divmod(n, right))
+        for step in range(8)[::way]:
+            side = step % 2
+            if sizes[side] > 1:
+                half[side] = (half[side] + way * _number(key, *tweak, *sizes, step, half[1 - side])) % sizes[side]
+        return half[0] * right + half[1]
 
+    steps = 1 + _number(key, *tweak, *sizes, "steps") % (left * right - 1)
+    return turned((turned(at, 1) + steps) % (left * right), -1)
 
-def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The canonical surrogate of a canonical entity."""
-    stream = _bytes(key, kind, entity, attempt)
-    if kind == "card" and _luhn_ok(entity):
-        body = permuted(entity[:-1], key, kind, "luhn", attempt)
-        return next(body + str(d) for d in range(10) if _luhn_ok(body + str(d)))
-    if kind in ("phone", "ssn", "card", "number"):
-        return permuted(entity, key, kind, attempt)
+
+Slot = tuple[Sequence[str], int]  # choices for a part of an entity, and which it has; a part with one choice stays
+
+
+def _octet(text: str) -> Slot:
+    """An octet among those of its length and leading zeros."""
+    rest = text.lstrip("0") or "0"
+    zeros = text[: len(text) - len(rest)]
+    least, most = 10 ** (len(rest) - 1) if len(rest) > 1 else 0, 256 if len(rest) == 3 else 10 ** len(rest)
+    return [zeros + str(n) for n in range(least, most)], int(rest) - least
+
+
+def _char(c: str, hexed: bool = False) -> Slot:
+    """A character among the digits or letters it can be exchanged for."""
+    if hexed:
+        choices = "0123456789ABCDEF" if hexed == "upper" else "0123456789abcdef"
+    elif c.isdecimal():
+        choices = [chr(ord(c) - unicodedata.decimal(c) + n) for n in range(10)]
+    else:
+        choices = next((a if c in a else a.upper() for a in ALPHABETS if c in a or c in a.upper()), c)
+    return choices, choices.index(c)
+
+
+def _slots(kind: str, entity: str) -> list[Slot]:
     if kind == "ip":
-        low, span = {1: 0, 2: 10, 3: 100}, {1: 10, 2: 90, 3: 156}
-        return ".".join(str(low[len(x)] + _number(key, kind, entity, attempt, k) % span[len(x)]) for k, x in enumerate(entity.split(".")))
+        return [slot for octet in entity.split(".") for slot in (_octet(octet), (["."], 0))][:-1]
+    if kind == "email":  # the last label stays
+        head, dot, last = entity.rpartition(".")
+        return [*map(_char, head), ([dot + last], 0)]
+    if kind == "secret" and len(entity) >= 32 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity):
+        hexed = "upper" if entity == entity.upper() else "lower"
+        return [_char(c, hexed) for c in entity]
+    known = re.match(r"AKIA|gh[pousr]_|sk-", entity) if kind == "secret" else None
+    head = known[0] if known else ""
+    return [([head], 0), *map(_char, entity[len(head) :])]
+
+
+def exchanged(slots: list[Slot], key: bytes, *tweak: object) -> str:
+    """The parts that the place of these among all of their format is moved to."""
+    middle = len(slots) // 2
+    sides = [slots[:middle], slots[middle:]]
+    at, sizes = [], []
+    for side in sides:
+        n, size = 0, 1
+        for choices, place in side:
+            n, size = n * len(choices) + place, size * len(choices)
+        at.append(n)
+        sizes.append(size)
+    shape = "".join(f"{len(c)}{c[0]}" for c, _ in slots)
+    both = divmod(moved(at[0] * sizes[1] + at[1], *sizes, key, *tweak, shape), sizes[1])
+    out = []
+    for side, n in zip(reversed(sides), reversed(both), strict=True):
+        for choices, _ in reversed(side):
+            n, place = divmod(n, len(choices))
+            out.append(choices[place])
+    return "".join(reversed(out))
+
+
+def _check_digit(body: str) -> int:
+    return next(d for d in range(10) if _luhn_ok(f"{body}{d}"))
+
+
+def _checks(country: str, body: str) -> list[str]:
+    """The check digits that make an IBAN of a country and a body valid."""
+    return [f"{n:02d}" for n in range(100) if _iban_ok(f"{country}{n:02d}{body}")]
+
+
+def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
+    """The canonical surrogate of a canonical entity; of a part of a name for the kind ``name``."""
+    if kind == "name":
+        script = "cyrillic" if re.search("[Ѐ-ӿ]", entity) else "latin"
+        stream = _bytes(key, kind, entity, attempt)
+        return "".join(SYLLABLES[script][next(stream) % len(SYLLABLES[script])] for _ in range(3 + attempt)).capitalize()
+    if kind == "card":  # the last digit is as far from the valid one as before
+        body, last = entity[:-1], entity[-1]
+        made = exchanged(_slots(kind, body), key, kind, attempt)
+        digit = (int(last) - _check_digit(body) + _check_digit(made)) % 10
+        return made + _char(last)[0][digit]
     if kind == "iban":
-        body = "".join(chr(48 + next(stream) % 10) if c.isdigit() else chr(65 + next(stream) % 26) for c in entity[4:])
-        return next(t for n in range(2, 99) if _iban_ok(t := f"{entity[:2]}{n:02d}{body}"))
-    if kind == "email":
-        head, _, last = entity.rpartition(".")
-        return f"{_lettered(head, stream)}.{last}"
-    if kind == "person":
-        return _named(entity, attempt, key)
-    if all(c in "0123456789abcdef" for c in entity.lower()):
-        return "".join("0123456789abcdef"[next(stream) % 16] for _ in entity)
-    kept = re.match(r"AKIA|gh[pousr]_|sk-|", entity)[0]
-    return kept + _lettered(entity[len(kept) :], stream)
+        country, check, body = entity[:2], entity[2:4], entity[4:]
+        made = exchanged(_slots(kind, body), key, kind, country, attempt)
+        valid = _checks(country, made)
+        return country + valid[min(_checks(country, body).index(check), len(valid) - 1)] + made
+    return exchanged(_slots(kind, entity), key, kind, attempt)
 
 
-def _named(entity: str, attempt: int, key: bytes) -> str:
+def parts(kind: str, entity: str) -> list[tuple[str, str]]:
+    """The (kind, entity) that have surrogates of their own: of a person, all words but a known first name."""
+    if kind != "person":
+        return [(kind, entity)]
     words = entity.split(" ")
-    script = "cyrillic" if re.search("[Ѐ-ӿ]", entity) else "latin"
-    out = []
-    for k, word in enumerate(words):
-        if k + 1 < len(words) and word in _GENDER:
-            pool = FIRST[_GENDER[word]]
-            out.append(pool[_number(key, "first", word, attempt) % len(pool)])
-        else:  # a surname's surrogate does not depend on the first name beside it
-            stream = _bytes(key, "surname", word, attempt)
-            out.append("".join(SYLLABLES[script][next(stream) % len(SYLLABLES[script])] for _ in range(3 + attempt // 8)).capitalize())
-    return " ".join(out)
+    return [("name", w) for w in (words[1:] if len(words) > 1 and words[0] in _GENDER else words)]
+
+
+def _first_name(name: str, key: bytes) -> str:
+    pool = FIRST[_GENDER[name]]
+    return pool[moved(pool.index(name), len(pool), 1, key, "first", *_GENDER[name])]
 
 
 def rendered(kind: str, mention: str, made: str) -> str:
@@ -213,105 +291,156 @@ def rendered(kind: str, mention: str, made: str) -> str:
     return "".join(m.upper() if c.isupper() else m for c, m in zip(mention, made, strict=True))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, entity) of all texts."""
+_SPANS = "array<struct<kind:string,start:int,length:int>>"
+_ATTEMPTS = "array<struct<kind:string,entity:string,attempt:int>>"
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that no column has."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def searched(docs: DataFrame, spans: str) -> DataFrame:
+    """docs with a column ``spans``: (kind, start, length) of the entities of text, in order; a written table."""
+    names = docs.columns
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(kind, canonical(kind, t[a:b])) for text in batch.column(0) if (t := text.as_py()) for a, b, kind in detect(t)}
+            found = [[{"kind": k, "start": a, "length": b - a} for a, b, k in detect(t)] if (t := text.as_py()) else [] for text in batch.column("text")]
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(found, kind)], [*names, spans])
+
+    return cut(docs.mapInArrow(each, StructType([*docs.schema, *StructType.fromDDL(f"{spans} {_SPANS}")])), "searched")
+
+
+def entities(held: DataFrame, spans: str) -> DataFrame:
+    """Distinct (kind, entity) of all texts; of persons, the parts of their names."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {part for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, kind, name in _mentions(text, own) for part in parts(kind, name)}
             kinds, names = zip(*found, strict=True) if found else ((), ())
             yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(names, pa.string())], ["kind", "entity"])
 
-    return docs.select("text").mapInArrow(each, "kind string, entity string").distinct()
+    return held.where(F.size(spans) > 0).select("text", spans).mapInArrow(each, "kind string, entity string").distinct()
+
+
+def _mentions(text: str, spans: list[dict]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, entity) of the spans of a text."""
+    for s in spans:
+        end = s["start"] + s["length"]
+        yield s["start"], end, s["kind"], canonical(s["kind"], text[s["start"] : end])
 
 
 def attempts(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, entity, attempt) of the entities whose first surrogate another one holds, or is themselves."""
+    """(kind, entity, attempt) of the entities whose first surrogate another one holds, or is themselves.
+
+    An entity that can only be itself is let be. Each attempt at a name is longer than the last, so the rounds end.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(n).to_pylist() for n in ("kind", "entity", "attempt")), strict=True)
+            rows = list(zip(*(batch.column(n).to_pylist() for n in ("kind", "entity", "attempt")), strict=True))
             yield pa.record_batch([*batch.columns, pa.array([surrogate(*r, key) for r in rows], pa.string())], [*batch.schema.names, "made"])
 
     schema = "kind string, entity string, attempt int, made string"
     given = cut(found.withColumn("attempt", F.lit(0)).mapInArrow(made, schema), "surrogates")
-    for _ in range(ATTEMPTS):
+    while True:
         first = given.groupBy("kind", "made").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n"))
         met = first.where("n > 1").select("kind", "made", F.col("first.entity").alias("holder"))
         late = given.join(met, ["kind", "made"]).where(F.col("entity") != F.col("holder")).select("kind", "entity", "attempt")
-        late = cut(late.union(given.where(F.col("made") == F.col("entity")).select("kind", "entity", "attempt")).distinct(), "late")
+        late = cut(late.union(given.where("made = entity and kind = 'name'").select("kind", "entity", "attempt")).distinct(), "late")
         if late.isEmpty():
             return given.where("attempt > 0").select("kind", "entity", "attempt")
         again = late.withColumn("attempt", F.col("attempt") + 1).mapInArrow(made, schema)
         given = cut(given.join(late, ["kind", "entity"], "left_anti").select("kind", "entity", "attempt", "made").union(again), "surrogates")
-    raise ValueError(f"some entities still share a surrogate after {ATTEMPTS} attempts: their format has too few values")
 
 
-def replaced(docs: DataFrame, key: bytes = KEY, sent: int = SENT) -> DataFrame:
+def session_key(docs: DataFrame) -> bytes:
+    named = docs.sparkSession.conf.get("tidewheel.surrogate.key", None)
+    return hashlib.blake2b(named.encode(), digest_size=32).digest() if named else KEY
+
+
+class Surrogates:
+    """Surrogates of mentions, remembered up to a number of entities."""
+
+    def __init__(self, key: bytes, most: int = 100_000):
+        self.key, self.most, self.known = key, most, {}
+
+    def of(self, kind: str, entity: str, mention: str, late: dict[tuple[str, str], int]) -> str:
+        if kind != "person":
+            return rendered(kind, mention, self._part(kind, entity, late))
+        words = entity.split(" ")
+        first = [_first_name(words[0], self.key)] if len(words) > 1 and words[0] in _GENDER else []
+        return rendered(kind, mention, " ".join([*first, *(self._part(k, w, late) for k, w in parts(kind, entity))]))
+
+    def _part(self, kind: str, entity: str, late: dict[tuple[str, str], int]) -> str:
+        asked = (kind, entity, late.get((kind, entity), 0))
+        if asked not in self.known:
+            if len(self.known) > self.most:
+                self.known.clear()
+            self.known[asked] = surrogate(*asked, self.key)
+        return self.known[asked]
+
+
+def replaced(docs: DataFrame, key: bytes | None = None, sent: int = SENT) -> DataFrame:
     """docs with surrogates in text, and added columns n_entities and entities (kind, start, length, surrogate).
 
     start and length count characters of the original text.
     """
     docs = docs.drop("n_entities", "entities")
-    spark = docs.sparkSession
-    late = cut(attempts(entities(docs), key), "attempts")
-    names = docs.columns
+    key = key or session_key(docs)
+    spark, names = docs.sparkSession, docs.columns
+    spans, own_late = _free("spans_", names), _free("late_", names)
+    held = searched(docs, spans)
+    late = cut(attempts(entities(held, spans), key), "attempts")
     few = late.limit(sent + 1).count() <= sent
-    if few:
-        told = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in late.collect()})
-        rows = docs.withColumn("late_", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
-    else:
-        told = spark.sparkContext.broadcast({})
-        rows = _with_attempts(docs, late)
+    told = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in late.collect()} if few else {})
+    rows = held.withColumn(own_late, F.lit(None).cast(_ATTEMPTS)) if few else _with_attempts(held, late, spans, own_late)
     rest = [c for c in names if c != "text"]
     added = StructType.fromDDL("n_entities bigint, entities array<struct<kind:string,start:int,length:int,surrogate:string>>")
     schema = StructType([*(docs.schema[c] for c in rest), docs.schema["text"], *added])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, str, int], str] = {}
-        spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("surrogate", pa.string())]))
+        made = Surrogates(key)
+        kind_ = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("surrogate", pa.string())]))
         for batch in batches:
             texts, all_spans = [], []
-            for text, own in zip(batch.column("text"), batch.column("late_"), strict=True):
-                t = text.as_py()
+            for text, found, own in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist(), batch.column(own_late), strict=True):
                 late_here = {(x["kind"], x["entity"]): x["attempt"] for x in own.as_py()} if own.is_valid else told.value
-                spans, parts, at = [], [], 0
-                for a, b, kind in detect(t) if t else ():
-                    name = canonical(kind, t[a:b])
-                    asked = (kind, name, late_here.get((kind, name), 0))
-                    if asked not in memo:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[asked] = surrogate(*asked, key)
-                    made = rendered(kind, t[a:b], memo[asked])
-                    parts += [t[at:a], made]
-                    spans.append({"kind": kind, "start": a, "length": b - a, "surrogate": made})
+                out, pieces, at = [], [], 0
+                for a, b, kind, name in _mentions(text, found):
+                    new = made.of(kind, name, text[a:b], late_here)
+                    pieces += [text[at:a], new]
+                    out.append({"kind": kind, "start": a, "length": b - a, "surrogate": new})
                     at = b
-                texts.append("".join([*parts, t[at:]]) if spans else t)
-                all_spans.append(spans)
+                texts.append("".join([*pieces, text[at:]]) if out else text)
+                all_spans.append(out)
             yield pa.record_batch(
-                [*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(s) for s in all_spans], pa.int64()), pa.array(all_spans, spans_type)],
+                [*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(s) for s in all_spans], pa.int64()), pa.array(all_spans, kind_)],
                 [*rest, "text", "n_entities", "entities"],
             )
 
     return rows.mapInArrow(each, schema)
 
 
-def _with_attempts(docs: DataFrame, late: DataFrame) -> DataFrame:
-    """docs with late_: the attempts that its own entities need, joined by entity and then by text."""
+def _with_attempts(held: DataFrame, late: DataFrame, spans: str, own_late: str) -> DataFrame:
+    """held with the attempts that each text's entities need, joined by entity and then by text."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, kind, name) for text, h in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) if (t := text.as_py()) for kind, name in {(k, canonical(k, t[a:b])) for a, b, k in detect(t)}]
-            hashes, kinds, found = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(hashes, pa.string()), pa.array(kinds, pa.string()), pa.array(found, pa.string())], ["text_hash", "kind", "entity"])
+            texts, found, hashes = (batch.column(k).to_pylist() for k in range(3))
+            rows = [(h, *part) for text, own, h in zip(texts, found, hashes, strict=True) for part in {p for _, _, kind, name in _mentions(text, own) for p in parts(kind, name)}]
+            hashes, kinds, names = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(hashes, pa.string()), pa.array(kinds, pa.string()), pa.array(names, pa.string())], ["text_hash", "kind", "entity"])
 
     text_hash = F.sha2("text", 256)
-    pairs = docs.select("text", text_hash.alias("h")).mapInArrow(own, "text_hash string, kind string, entity string").distinct()
-    needed = pairs.join(late, ["kind", "entity"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("late_"))
-    d, n = docs.alias("d"), needed.alias("n")
-    empty = F.array().cast("array<struct<kind:string,entity:string,attempt:int>>")
-    return d.join(n, text_hash == F.col("n.text_hash"), "left").select("d.*", F.coalesce("late_", empty).alias("late_"))
+    pairs = held.where(F.size(spans) > 0).select("text", spans, text_hash.alias("h")).mapInArrow(own, "text_hash string, kind string, entity string").distinct()
+    needed = pairs.join(late, ["kind", "entity"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("attempts_"))
+    d, n = held.alias("d"), needed.alias("n")
+    return d.join(n, text_hash == F.col("n.text_hash"), "left").select("d.*", F.coalesce("n.attempts_", F.array().cast(_ATTEMPTS)).alias(own_late))
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
