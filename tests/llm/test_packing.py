@@ -1,7 +1,8 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -76,13 +77,52 @@ def test_groups_hold_exactly_the_items(counts, capacity):
     assert held == counts
 
 
-def test_near_the_bound():
+def random_counts(kind, n=20_000, capacity=2048):
     rng = random.Random(2)
+    draw = {
+        "even": lambda: rng.randrange(1, capacity),
+        "short": lambda: 1 + int(rng.expovariate(1 / 300)) % (capacity - 1),
+        "thirds": lambda: rng.choice([1100, 700, 690, 683, 400]) * capacity // 2048,
+        "long": lambda: rng.randrange(900, 1400) * capacity // 2048,
+    }
+    return dict(Counter(draw[kind]() for _ in range(n)))
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "thirds", "long"])
+def test_the_program_is_solved(kind):
+    """Within 1 % of the best: the solution holds every item, and prices give a bound from below."""
     counts = defaultdict(int)
-    for _ in range(20_000):
-        counts[rng.randrange(1, 2048)] += 1
-    bound = -(-sum(n * k for n, k in counts.items()) // 2048)
-    assert sum(m for m, _ in configurations.pack(counts, 2048)) <= bound * 1.02
+    for n, k in random_counts(kind).items():
+        counts[configurations._class(n, 8)] += k
+    solved, bound = configurations.fractional(counts, 256)
+    held = defaultdict(float)
+    for amount, taken in solved:
+        assert amount > 0 and sum(n * k for n, k in taken.items()) <= 256
+        for n, k in taken.items():
+            held[n] += amount * k
+    assert held == pytest.approx(counts)
+    assert bound <= sum(a for a, _ in solved) + 1e-6 and sum(a for a, _ in solved) <= 1.01 * bound
+
+
+def test_configurations_place_the_documents():
+    """On real lengths nearly all items are placed by configurations, in no more bins than best-fit takes."""
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    counts = Counter(n for (t,) in texts if (n := (len(packing.token_ids(t or "")) + 1) % 2048))
+    for times in (1, 10):
+        own = {n: k * times for n, k in counts.items()}
+        alone = sum(m for m, _ in configurations.best_fit(configurations._Stock(own), [], 2048))
+        made = [configurations.rounded(own, 2048, reserve) for reserve in configurations.RESERVES]
+        bins, placed = min(made, key=lambda x: sum(m for m, _ in x[0]))
+        assert sum(m for m, _ in bins) <= alone and placed > 0.95 * sum(own.values())
+        assert sum(m for m, _ in configurations.pack(own, 2048)) == sum(m for m, _ in bins)
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "thirds", "long"])
+def test_no_more_bins_than_best_fit(kind):
+    counts = random_counts(kind, 2_000, 512)
+    alone = sum(m for m, _ in configurations.best_fit(configurations._Stock(counts), [], 512))
+    used = sum(m for m, _ in configurations.pack(counts, 512, classes=64))
+    assert -(-sum(n * k for n, k in counts.items()) // 512) <= used <= alone
 
 
 def test_knapsack_is_exact():
@@ -98,6 +138,7 @@ def test_knapsack_is_exact():
             for j in range(k, len(sizes)):
                 if used + sizes[j] <= 20:
                     stack.append((j, worth + price[j], used + sizes[j]))
-        taken = configurations.best_configuration(sizes, price, 20)
+        taken, worth = configurations.best_configuration(sizes, price, 20)
+        assert worth == pytest.approx(best)
         assert sum(n * k for n, k in taken.items()) <= 20
         assert sum(price[list(sizes).index(n)] * k for n, k in taken.items()) == pytest.approx(best)

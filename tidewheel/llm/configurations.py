@@ -2,31 +2,43 @@
 
 A configuration is a multiset of lengths that fit in one bin. The program asks for
 the fewest bins, in fractions, whose configurations hold as many items of each length
-as there are. Multiplicative weights solve it: every length carries a price, at first
-its share of the bin; the configuration worth most at these prices (an unbounded
-knapsack, by dynamic programming over the capacity) enters the solution; the prices of
-lengths covered beyond the average fall exponentially, those of others rise.
-
-The program runs over classes of lengths, at most CLASSES of them. Rounding returns to
-the lengths themselves: a configuration's bins take lengths of its classes, and their
-last item is the longest there is that fits the room left; only full bins are kept. What
-no configuration takes is packed best-fit decreasing. Bins stay groups of equal bins throughout, so the work
+as there are. Multiplicative weights solve it: every length carries a price, its share
+of the bin times a weight that grows exponentially with the part of its demand that is
+still open; the configuration worth most at these prices (an unbounded knapsack, by
+dynamic programming over the capacity) takes its part of the open demand, until none is
+left. Prices divided by what that configuration is worth bound the program from below,
+so every solution comes with its distance from the best.
+
+The program runs over classes of lengths, at most CLASSES of them, each length in the
+nearest. Rounding returns to the lengths themselves: a configuration's bins take lengths
+of its classes such that each wastes no more than the configuration itself does. What is
+left is solved and rounded again, with a little more waste allowed each time. The
+shortest items are kept back for the end: with the few that no configuration took they
+are packed best-fit, into the room of the bins there are. Where best-fit alone needs
+fewer bins, its packing counts. Bins stay groups of equal bins throughout, so the work
 depends on the capacity and the rounds, not on the number of items.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
+from math import ceil
 
 import numpy as np
 
-#: Most classes of lengths, rounds of the solver, and the rate at which prices follow coverage.
+#: Most classes of lengths, rounds of the solver, and the rate at which prices follow open demand.
 CLASSES = 256
-ROUNDS = 2000
-RATE = 1.0
-#: The part of its scarcest length's demand that a configuration covers in a round.
-PORTION = 0.25
+ROUNDS = 4000
+RATE = 0.1
+#: Passes of the solver at most, and the part that the best may be above the bound to be good enough.
+PASSES, NEAR = 12, 0.005
+#: The part of its scarcest length's open demand that a configuration takes in a round; all of it once it is below LAST.
+PORTION, LAST = 0.5, 0.02
+#: The parts of the items, the shortest, that are kept for the room that configurations leave: each is tried.
+RESERVES = (0.015, 0.03)
+#: Waste of a bin beyond its configuration's, in each turn of solving and rounding, and combinations of lengths tried for a bin.
+WASTE, TRIES = (0, 0, 0, 1, 2, 4, 8), 2000
 
 #: {length: number}
 Counts = dict[int, int]
@@ -34,8 +46,8 @@ Counts = dict[int, int]
 Bins = tuple[int, tuple[int, ...]]
 
 
-def best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> Counts:
-    """The multiset of sizes within the capacity whose prices sum to the most; sizes ascend."""
+def best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[Counts, float]:
+    """The multiset of sizes within the capacity whose prices sum to the most, and that sum; sizes ascend."""
     value = np.zeros(capacity + 1)
     last = np.zeros(capacity + 1, np.int64)
     upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
@@ -54,27 +66,60 @@ def best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> C
         taken[int(last[c])] += 1
         c -= max(int(last[c]), 1)
     taken.pop(0, None)
-    return dict(taken)
+    return dict(taken), float(value[capacity])
 
 
-def fractional(counts: Counts, capacity: int, rounds: int = ROUNDS) -> list[tuple[float, Counts]]:
-    """[(bins, configuration)] that together cover the counts in near the fewest bins, fractions allowed."""
-    sizes = np.array(sorted(counts), np.int64)
-    demand = np.array([counts[int(n)] for n in sizes], float)
-    share = sizes / capacity
-    covered = np.zeros(len(sizes))
+def _pass(sizes: np.ndarray, demand: np.ndarray, base: np.ndarray, capacity: int, rounds: int) -> tuple[dict[tuple, float], float, float]:
+    """(bins of each configuration, bound, worth of the best one) of a pass that fills all demand, at prices about ``base``."""
+    left, bound = demand.copy(), 0.0
+    top = best_configuration(sizes, base, capacity)[1]
     used: dict[tuple, float] = defaultdict(float)
     for _ in range(rounds):
-        if covered.min(initial=1) >= 1:
+        on = np.flatnonzero(left > 0)
+        if not len(on):
             break
-        price = share * np.exp(RATE * (min(covered.mean(), 1) - covered))
-        taken = best_configuration(sizes, price, capacity)
-        index = np.searchsorted(sizes, list(taken))
+        open_ = left[on] / demand[on]
+        mean = (left[on] * sizes[on]).sum() / (demand[on] * sizes[on]).sum()
+        price = base[on] * np.exp(RATE * np.clip(open_ / mean - 1, -5, 5))
+        taken, worth = best_configuration(sizes[on], price, capacity)
+        # Prices of the open lengths bound what these alone need, and so the whole.
+        bound = max(bound, float((price * demand[on]).sum()) / worth)
+        index = on[np.searchsorted(sizes[on], list(taken))]
         number = np.array(list(taken.values()), float)
-        amount = PORTION * (demand[index] / number).min()
-        covered[index] += number * amount / demand[index]
+        amount = (left[index] / number).min()
+        if (left[index] > LAST * demand[index]).all():
+            amount *= PORTION
+        left[index] -= number * amount
+        left[left < 1e-9 * demand] = 0
         used[tuple(sorted(taken.items(), reverse=True))] += amount
-    return [(amount, dict(taken)) for taken, amount in used.items()]
+    return used, max(bound, float((base * demand).sum()) / top), top
+
+
+def fractional(counts: Counts, capacity: int, rounds: int = ROUNDS, passes: int = PASSES) -> tuple[list[tuple[float, Counts]], float]:
+    """([(bins, configuration)], bound): configurations that together hold the counts exactly, and a bound that no solution is below.
+
+    A pass fills all demand. After it, lengths that went into bins worth less than the best
+    configuration get dearer, by the factor that their bins were short of it, so the next
+    pass serves them while there is still something to go with them. It ends as soon as the
+    best pass is within NEAR of the bound.
+    """
+    sizes = np.array(sorted(counts), np.int64)
+    demand = np.array([counts[int(n)] for n in sizes], float)
+    base, bound, best = sizes / capacity, 0.0, None
+    for _ in range(passes):
+        used, low, top = _pass(sizes, demand, base, capacity, rounds)
+        bound = max(bound, low)
+        if best is None or sum(used.values()) < sum(best.values()):
+            best = used
+        if sum(best.values()) <= (1 + NEAR) * bound:
+            break
+        dearer = np.zeros(len(sizes))
+        for taken, amount in used.items():
+            index = np.searchsorted(sizes, [n for n, _ in taken])
+            number = np.array([k for _, k in taken], float)
+            dearer[index] += amount * number / demand[index] * np.log(top / (number * base[index]).sum())
+        base = base * np.exp(dearer)
+    return [(amount, dict(taken)) for taken, amount in best.items()], bound
 
 
 class _Stock:
@@ -92,45 +137,67 @@ class _Stock:
             self.order.remove(length)
         return number
 
-    def give_back(self, number: int, held: tuple[int, ...]) -> None:
-        for length in held:
-            if length not in self.left:
-                self.left[length] = 0
-                insort(self.order, length)
-            self.left[length] += number
+    def put(self, length: int, number: int) -> None:
+        if length not in self.left:
+            self.left[length] = 0
+            insort(self.order, length)
+        self.left[length] += number
+
+    def within(self, low: int, high: int) -> list[int]:
+        """The lengths left from low to high, those with most items first."""
+        found = self.order[bisect_left(self.order, low) : bisect_right(self.order, high)]
+        return sorted(found, key=lambda n: (-self.left[n], n))
 
-    def longest(self, room: int, above: int = 0) -> int:
-        """The longest length left that is within the room and above a bound; 0 for none."""
+    def longest(self, room: int) -> int:
+        """The longest length left that is within the room; 0 for none."""
         i = bisect_right(self.order, room)
-        return self.order[i - 1] if i and self.order[i - 1] > above else 0
+        return self.order[i - 1] if i else 0
 
 
-def _filled(stock: _Stock, slots: list[int], bins: int, width: int, capacity: int) -> list[Bins]:
-    """Up to so many full bins of one configuration.
+def _class(length: int, width: int) -> int:
+    return max(1, (length + width // 2) // width)
 
-    slots: its classes, longest first; the last slot takes the longest that fits. Bins
-    that lengths of the right classes run out for, or that do not come out full, are
-    undone: rounding keeps only what wastes nothing.
-    """
-    open_bins: list[Bins] = [(bins, ())]
-    for k, slot in enumerate(slots):
-        following: list[Bins] = []
-        for number, held in open_bins:
-            while number:
-                room = capacity - sum(held)
-                final = k + 1 == len(slots)
-                length = stock.longest(room if final else min(room, slot * width), 0 if final else (slot - 1) * width)
-                if not length:
-                    stock.give_back(number, held)
-                    break
-                got = stock.take(length, number)
-                following.append((got, (*held, length)))
-                number -= got
-        open_bins = following
-    for number, held in open_bins:
-        if sum(held) < capacity:
-            stock.give_back(number, held)
-    return [(number, held) for number, held in open_bins if sum(held) == capacity]
+
+def _combination(stock: _Stock, slots: list[int], width: int, capacity: int, waste: int) -> list[int] | None:
+    """Lengths, one for each slot's class, that fill a bin but for the waste; the last may be of any class."""
+    offers = {s: stock.within(s * width - width // 2 if s > 1 else 1, s * width + width - width // 2 - 1) for s in set(slots)}
+    tried = 0
+
+    def extend(k: int, room: int, held: list[int]) -> list[int] | None:
+        nonlocal tried
+        tried += 1
+        if tried > TRIES:
+            return None
+        if k + 1 == len(slots):
+            length = stock.longest(room)
+            while length and room - length <= waste:
+                if stock.left[length] > held.count(length):
+                    return [*held, length]
+                length = stock.longest(length - 1)
+            return None
+        for length in offers[slots[k]]:
+            if length < room and stock.left[length] > held.count(length):
+                found = extend(k + 1, room - length, [*held, length])
+                if found or tried > TRIES:
+                    return found
+        return None
+
+    return extend(0, capacity, [])
+
+
+def _filled(stock: _Stock, slots: list[int], wanted: int, width: int, capacity: int, waste: int) -> list[Bins]:
+    """Up to so many bins of one configuration (its classes, longest first), as the stock has lengths for them."""
+    bins: list[Bins] = []
+    while wanted:
+        held = _combination(stock, slots, width, capacity, waste)
+        if not held:
+            break
+        number = min(wanted, *(stock.left[n] // held.count(n) for n in set(held)))
+        for length in held:
+            stock.take(length, number)
+        bins.append((number, tuple(held)))
+        wanted -= number
+    return bins
 
 
 def best_fit(stock: _Stock, bins: list[Bins], capacity: int) -> list[Bins]:
@@ -166,16 +233,42 @@ def best_fit(stock: _Stock, bins: list[Bins], capacity: int) -> list[Bins]:
     return [x for room in rooms for x in by_room[room]]
 
 
-def pack(counts: Counts, capacity: int, rounds: int = ROUNDS, classes: int = CLASSES) -> list[Bins]:
-    """Groups of equal bins that hold exactly the items of ``counts``; all lengths from 1 to capacity."""
+def by_configurations(stock: _Stock, capacity: int, rounds: int = ROUNDS, classes: int = CLASSES) -> list[Bins]:
+    """Bins of the program's configurations, rounded, taken out of the stock."""
     width = -(-capacity // classes)
-    grouped: Counts = defaultdict(int)
-    for length, number in counts.items():
-        grouped[-(-length // width)] += number
-    stock = _Stock(counts)
+    units = capacity // width
     bins: list[Bins] = []
-    for amount, taken in sorted(fractional(grouped, capacity // width, rounds), key=lambda x: -x[0]):
-        slots = [size for size, number in sorted(taken.items(), reverse=True) for _ in range(number)]
-        if round(amount):
-            bins += _filled(stock, slots, round(amount), width, capacity)
-    return best_fit(stock, bins, capacity)
+    for turn, waste in enumerate(WASTE):
+        grouped: Counts = defaultdict(int)
+        for length, number in stock.left.items():
+            grouped[min(_class(length, width), units)] += number
+        if not grouped:
+            break
+        solved, _ = fractional(grouped, units, rounds, 1 if turn else PASSES)
+        for amount, taken in sorted(solved, key=lambda x: (-max(x[1]), -x[0], sorted(x[1].items()))):
+            slots = [size for size, number in sorted(taken.items(), reverse=True) for _ in range(number)]
+            own = capacity - sum(slots) * width  # what the configuration itself leaves
+            bins += _filled(stock, slots, ceil(amount - 1e-6), width, capacity, max(own - width // 2, 0) + waste)
+    return bins
+
+
+def rounded(counts: Counts, capacity: int, reserve: float, rounds: int = ROUNDS, classes: int = CLASSES) -> tuple[list[Bins], int]:
+    """(bins, items that configurations placed): the program's bins, with the shortest part of the items and what is left in their room."""
+    stock, kept, room = _Stock(counts), {}, int(reserve * sum(counts.values()))
+    for length in list(stock.order):
+        if room <= 0:
+            break
+        kept[length] = stock.take(length, room)
+        room -= kept[length]
+    bins = by_configurations(stock, capacity, rounds, classes)
+    placed = sum(number * len(held) for number, held in bins)
+    for length, number in kept.items():
+        stock.put(length, number)
+    return best_fit(stock, bins, capacity), placed
+
+
+def pack(counts: Counts, capacity: int, rounds: int = ROUNDS, classes: int = CLASSES) -> list[Bins]:
+    """Groups of equal bins that hold exactly the items of ``counts``; all lengths from 1 to capacity."""
+    tried = [rounded(counts, capacity, reserve, rounds, classes)[0] for reserve in RESERVES]
+    tried.append(best_fit(_Stock(counts), [], capacity))
+    return min(tried, key=lambda held: sum(number for number, _ in held))

@@ -12,7 +12,8 @@ The histogram and the plan are bounded by the sequence length and are broadcast;
 pieces are a written table and never meet in one task.
 
 Defined results: a null text is empty and packs its end id alone; repeated rows are
-packed each; a null doc_id works like any other value; an empty table gives an empty
+packed each; pieces that tie in rank take any order; null and shared doc_ids work like
+any other; very long texts are encoded whole and cut; an empty table gives an empty
 table; other columns are ignored.
 """
 
