@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm import lm_scoring as lm
 from tidewheel.llm import log_bilinear as lb
 from tidewheel.session import table
+from tidewheel.storage import cut
 
 
 def tokens(text):
@@ -55,6 +57,59 @@ def test_better_than_the_base_on_held_out_texts(small):
     assert all(r["score"] < 0 for r in small)
 
 
+def test_training_gains_over_untrained_weights(spark, small):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", lm.held_out().alias("held_out"), "text")
+    plain = {r["doc_id"]: r["score"] for r in lm.scored(docs, rounds=0).collect()}
+    held = [r for r in small if r["held_out"]]
+    gain = sum(r["score"] - plain[r["doc_id"]] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.02
+
+
+def test_scores_do_not_depend_on_partitions(spark, small):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", lm.held_out().alias("held_out"), "text")
+    again = {r["doc_id"]: r["score"] for r in lm.scored(docs.repartition(7)).collect()}
+    assert all(again[r["doc_id"]] == pytest.approx(r["score"], rel=1e-3) for r in small)
+
+
+def test_scores_by_brute_force(spark, monkeypatch):
+    """Scores from the trained weights by summing over all classes for every token."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "a", "of", "cat", "dog", "sat", f"x{rng.randrange(9)}ing", f"y{rng.randrange(9)}er"]) for _ in range(rng.randrange(1, 60)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", lm.held_out().alias("held_out"))
+    monkeypatch.setattr(lm, "CHAIN", 300)
+    args = {"head": 5, "shared": 3, "rounds": 2, "size": 6}
+    found = {r["doc_id"]: r["score"] for r in lm.scored(docs, **args).collect()}
+    numbered = cut(lm.numbered(docs), "test")
+    words, counts = lm.counted(numbered, 5, 3)
+    weights = lm.trained(cut(lm.classified(numbered, words, counts), "test"), counts, 2, 6)
+    c = Counter(t for i, text in rows if not is_held(i) for t in tokens(text))
+    name = lambda t: "\n" if t is None else t
+    head = sorted(c, key=lambda t: (-c[t], name(t)))[:5]
+    of = lambda t: head.index(t) if t in head else 5 + zlib.crc32(name(t)[-2:].encode()) % 3
+    n, v = Counter(), Counter()
+    for t in c:
+        n[of(t)] += c[t]
+        v[of(t)] += 1
+    for i, text in rows:
+        total, before = 0.0, [8, 8]
+        for t in tokens(text):
+            k = of(t)
+            r = weights.one * weights.R[before[0]] + weights.two * weights.R[before[1]]
+            scores = (weights.Q @ r + weights.bias).astype(float)
+            total += (scores[k] - np.log(np.exp(scores).sum())) / np.log(10)
+            total += 0 if k < 5 else log10((c[t] + 1) / (n[k] + v[k] + 1))
+            before = [before[1], k]
+        assert found[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_hot_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", 10)
+    rows = [(None, b"ab")] * 400 + [(i, b"cd") for i in range(50)]
+    dealt = lm._dealt(spark.createDataFrame(rows, "doc_id long, classes binary"), 2, 8)
+    per = [r["count"] for r in dealt.groupBy("round", "chain").count().collect()]
+    assert sum(per) == 450 and len(per) == 16 and max(per) < 80
+
+
 def test_normalised():
     rng = np.random.default_rng(0)
     frequency = rng.random(20)

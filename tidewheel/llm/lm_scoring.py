@@ -1,7 +1,9 @@
 """Language-model scores of texts by a log-bilinear neural model over words.
 
-Tokens are the words, in ASCII lower case, and one end a text. The most frequent words
-are classes of their own, other words share classes by their endings. The model
+Tokens are the words, in ASCII lower case, and one end a text. The HEAD most frequent words
+are classes of their own, other words share SHARED classes by their endings, as words to be
+predicted and as context; their number is bounded since probabilities are normalised over
+every pair of context classes once. The model
 (log_bilinear.py) gives the class after the two before it; within a shared class a word
 has its add-one share, with one more share for all words never seen. A text's score is
 the sum of log10 probabilities over its tokens, normalised over all words.
@@ -10,18 +12,22 @@ All training texts count, and each is trained on once. Tasks write every text as
 numbers into their piece's own dictionary, so a word goes to the count once a piece,
 not once an occurrence; counts come back to the pieces by the same key. Neither a word
 that is everywhere nor a vocabulary that grows with the corpus meets in one task or in
-the driver. Training runs in rounds: in each, every partition trains on its part of
-the round's texts from the same weights, and the weights are averaged by tokens.
+the driver. Training runs in rounds, and in chains of about CHAIN tokens: a text's round
+and chain follow from a hash of it and its doc_id, every chain trains in the order of that
+hash from the round's weights, and weights are averaged by tokens, a level of chains at a
+time. So scores depend on the rows and not on how they are partitioned. Texts whose hash
+has very many rows (copies under one doc_id, or under none) are spread over the chains.
 
 Defined results: a null text is empty and has its end alone; without any training text
-the counts are zero and every token has probability 1 in the base score; repeated rows
-are counted and scored each; a null doc_id is not held out; an empty table gives an
-empty table; other columns are ignored.
+the counts are zero and every token has probability 1 in the base score; equally frequent
+words take classes in code point order; repeated rows are counted and scored each; very
+long texts are scored whole; a null doc_id is not held out; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,10 +41,12 @@ from tidewheel.session import table
 from tidewheel.storage import cut
 
 #: Words with classes of their own, shared classes, and characters of a word's ending.
-HEAD, SHARED, ENDING = 512, 128, 2
+HEAD, SHARED, ENDING = 1792, 256, 2
 ROUNDS = 4
 #: Tokens of a piece, about: what has one dictionary.
-PIECE = 1 << 22
+PIECE = 1 << 20
+#: Tokens of a chain, about; chains averaged together; rows of one hash above which they are spread.
+CHAIN, TOGETHER, HOT = 1 << 20, 64, 1 << 10
 #: The end of a text as a word; no word holds a line break.
 END = "\n"
 
@@ -164,37 +172,56 @@ def _texts(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u2") for x in column]
 
 
+def _dealt(training: DataFrame, rounds: int, chains: int) -> DataFrame:
+    """(round, chain, h, classes): where each training text is trained on, and when."""
+    rows = training.withColumn("h", F.xxhash64("classes", "doc_id"))
+    often = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "hot")
+    if not often.isEmpty():
+        salt = F.when(F.col("n").isNotNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(0)
+        rows = rows.join(often, "h", "left").withColumn("h", F.col("h").bitwiseXOR(salt))
+    return rows.select(F.pmod("h", F.lit(rounds)).alias("round"), F.pmod(F.xxhash64("h"), F.lit(chains)).alias("chain"), "h", "classes")
+
+
+def _mean(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("part")
+    total, tokens = np.zeros(1), rows["tokens"].sum()
+    for n, w in zip(rows["tokens"], rows["weights"], strict=True):
+        total = total + n / tokens * np.frombuffer(w, np.float32)
+    return pd.DataFrame({"part": rows["part"][:1] // TOGETHER, "tokens": [tokens], "weights": [total.astype(np.float32).tobytes()]})
+
+
+def _chain(sent, turn: int, classes: int, frequency: np.ndarray, size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What trains the weights that were sent on the texts of one chain."""
+
+    def local(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["h", "classes"])
+        number = int(own["chain"].iloc[0])
+        mine = lb.Weights.unpack(sent.value, classes, size)
+        a, b, w = lb.contexts([np.frombuffer(x, "<u2") for x in own["classes"]], classes)
+        lb.train(mine, a, b, w, frequency, np.random.default_rng([turn, number]))
+        return pd.DataFrame({"part": [number], "tokens": [len(w)], "weights": [mine.pack()]})
+
+    return local
+
+
 def trained(texts: DataFrame, counts: Counts, rounds: int = ROUNDS, size: int = lb.SIZE) -> lb.Weights:
     """Weights trained on classified training texts, each in one of the rounds."""
     spark = texts.sparkSession
     classes, frequency = counts.classes, counts.frequency()
     weights = lb.start(frequency, size)
-    training = texts.where(~F.col("held_out")).select("classes", F.pmod(F.xxhash64("classes", "doc_id"), F.lit(rounds)).alias("round"))
+    chains = max(1, -(-counts.tokens // (max(rounds, 1) * CHAIN)))
+    training = _dealt(texts.where(~F.col("held_out")).select("doc_id", "classes"), rounds, chains) if rounds else None
+    schema = "part long, tokens long, weights binary"
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(weights.pack())
-
-        def local(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            part = TaskContext.get().partitionId()
-            rng = np.random.default_rng([turn, part])
-            mine, tokens = lb.Weights.unpack(sent.value, classes, size), 0
-            for batch in batches:
-                a, b, w = lb.contexts(_texts(batch.column(0)), classes)
-                lb.train(mine, a, b, w, frequency, rng)
-                tokens += len(w)
-            if tokens:
-                yield pa.record_batch([pa.array([part % 16], pa.int32()), pa.array([tokens], pa.int64()), pa.array([mine.pack()], pa.binary())], ["part", "tokens", "weights"])
-
-        def mean(rows: pd.DataFrame) -> pd.DataFrame:
-            total, tokens = np.zeros(1), rows["tokens"].sum()
-            for n, w in zip(rows["tokens"], rows["weights"], strict=True):
-                total = total + n / tokens * np.frombuffer(w, np.float32)
-            return pd.DataFrame({"part": rows["part"][:1], "tokens": [tokens], "weights": [total.astype(np.float32).tobytes()]})
-
-        schema = "part int, tokens long, weights binary"
-        given = training.where(F.col("round") == turn).select("classes").mapInArrow(local, schema)
-        means = given.groupBy("part").applyInPandas(mean, schema).toPandas()  # 16 rows at most
-        if len(means):
-            weights = lb.Weights.unpack(mean(means)["weights"][0], classes, size)
+        local = _chain(sent, turn, classes, frequency, size)
+        means = training.where(F.col("round") == turn).select("chain", "h", "classes").groupBy("chain").applyInPandas(local, schema)
+        left = chains
+        while left > 1:
+            means, left = means.groupBy((F.col("part") / TOGETHER).cast("long").alias("to")).applyInPandas(_mean, schema), -(-left // TOGETHER)
+        found = means.toPandas()  # one row
+        if len(found):
+            weights = lb.Weights.unpack(found["weights"][0], classes, size)
     return weights
 
 
@@ -206,12 +233,12 @@ def all_totals(spark: SparkSession, weights: lb.Weights, counts: Counts, size: i
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lb.Weights.unpack(sent.value, n - 1, size)
         for batch in batches:
-            a = batch.column(0).to_numpy()
-            yield pa.record_batch([pa.array(np.repeat(a, n)), pa.array(lb.log_totals(own, np.repeat(a, n), np.tile(np.arange(n), len(a))))], ["a", "total"])
+            for a in batch.column(0).to_pylist():
+                totals = lb.log_totals(own, np.full(n, a), np.arange(n)).astype(np.float32)
+                yield pa.record_batch([pa.array([a]), pa.array([totals.tobytes()], pa.binary())], ["a", "totals"])
 
-    rows = spark.range(n).mapInArrow(each, "a long, total double").toArrow()
-    order = np.argsort(rows.column("a").to_numpy(), kind="stable")
-    return rows.column("total").to_numpy()[order]
+    rows = sorted(spark.range(n).mapInArrow(each, "a long, totals binary").collect())
+    return np.concatenate([np.frombuffer(r["totals"], np.float32) for r in rows])
 
 
 def scored(docs: DataFrame, head: int = HEAD, shared: int = SHARED, rounds: int = ROUNDS, size: int = lb.SIZE) -> DataFrame:

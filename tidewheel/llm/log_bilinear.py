@@ -112,13 +112,16 @@ def predicted(weights: Weights, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return weights.one * weights.R[a] + weights.two * weights.R[b]
 
 
-def log_totals(weights: Weights, a: np.ndarray, b: np.ndarray, batch: int = 4096) -> np.ndarray:
+def log_totals(weights: Weights, a: np.ndarray, b: np.ndarray, batch: int = 128) -> np.ndarray:
     """The log of the sum of exp(score) over all classes, for each context."""
     out = np.empty(len(a))
     for k in range(0, len(a), batch):
-        scores = predicted(weights, a[k : k + batch], b[k : k + batch]) @ weights.Q.T + weights.bias
-        top = scores.max(1, keepdims=True)
-        out[k : k + batch] = top[:, 0] + np.log(np.exp(scores - top).sum(1, dtype=np.float64))
+        scores = predicted(weights, a[k : k + batch], b[k : k + batch]) @ weights.Q.T
+        scores += weights.bias
+        top = scores.max(1)
+        scores -= top[:, None]
+        np.exp(scores, out=scores)
+        out[k : k + batch] = top + np.log(scores.sum(1, dtype=np.float64))
     return out
 
 
