@@ -3,8 +3,8 @@ from collections import Counter
 import corpus_pipeline as cp
 import pytest
 from pyspark.sql import functions as F
-from test_near_dedup import plain_components, plain_print
 from test_packing import EXACT
+from test_wide_prints import plain_groups
 
 from tidewheel.llm import language_id
 from tidewheel.session import table
@@ -37,7 +37,7 @@ def test_language_keeps_clean_documents(stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = by_id(stages[1]), by_id(stages[2])
-    want = set(plain_components({i: plain_print(r["text"]) for i, r in before.items()}).values())
+    want = set(plain_groups({i: r["text"] for i, r in before.items()}).values())
     assert set(after) == want and stages[2].count() == len(want)
     assert all(after[i] == before[i] for i in after)
 

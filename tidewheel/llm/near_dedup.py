@@ -12,6 +12,9 @@ with more than ``hot`` fingerprints, cut into trees of bounded size and sent a
 bounded block at a time to searches that stay where they are. More documents take
 more and narrower choices (5 or 6 blocks), so that shards stay small.
 
+near_texts() is the same operator for five words and a similarity of 0.8, which takes wider
+fingerprints and an exact comparison (wide_prints.py).
+
 A shard gives each member one link to the lowest of its part, never all pairs;
 connected components over those links follow in Spark.
 
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bk_tree
+from tidewheel.llm import bk_tree, wide_prints
 from tidewheel.llm.components import components
 from tidewheel.session import table
 from tidewheel.storage import cut
@@ -231,6 +234,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT, shing
     return rows.join(ids, "print").select("doc_id", "print", "component_id")
 
 
+def near_texts(docs: DataFrame) -> DataFrame:
+    """(node, root): distinct texts, by their XXH64, alike in 0.8 of their 5-word shingles; those alone are left out."""
+    return wide_prints.groups(docs)
+
+
 def op1_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
