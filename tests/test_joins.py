@@ -5,7 +5,7 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tidewheel.operators import joins
+from tidewheel.operators import aggregates, joins
 
 DAY = dt.datetime(2024, 1, 1)
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -44,3 +44,30 @@ def test_salted(spark):
     small = spark.createDataFrame([("hot", 1), ("k0", 2), ("none", 3)], "k string, v int")
     want = sorted(map(tuple, large.join(small, "k").select("k", "n", "v").collect()))
     assert sorted(map(tuple, joins.salted_join(large, small, "k", 7).select("k", "n", "v").collect())) == want
+
+
+@quick
+@given(st.lists(st.tuples(moments, st.integers(0, 9)), max_size=12), st.lists(st.tuples(moments, st.integers(1, 50)), max_size=10), st.sampled_from([60, 900, 86400]))
+def test_interval_totals(spark, points, spans, width):
+    p = spark.createDataFrame([(t, float(v)) for t, v in points], "t timestamp_ntz, v double")
+    ends = [(n, a, a + dt.timedelta(minutes=m)) for n, (a, m) in enumerate(spans)]
+    s = spark.createDataFrame(ends, "s int, a timestamp_ntz, b timestamp_ntz")
+    found = {r["s"]: (r["n"], r["total"]) for r in joins.interval_totals(p, s, "t", "v", "s", "a", "b", width).collect()}
+    want = {n: (sum(a <= t < b for t, _ in points), float(sum(v for t, v in points if a <= t < b))) for n, a, b in ends}
+    assert found == {n: x for n, x in want.items() if x[0]}
+
+
+def test_not_in_by_the_rules_for_nulls(spark):
+    rows = spark.createDataFrame([(1,), (2,), (None,), (2,)], "k int")
+    for listed in ([], [(2,), (2,)], [(3,)], [(None,)], [(1,), (None,)]):
+        values = spark.createDataFrame(listed, "v int")
+        rows.createOrReplaceTempView("rows_")
+        values.createOrReplaceTempView("values_")
+        want = sorted(map(tuple, spark.sql("SELECT k FROM rows_ WHERE k NOT IN (SELECT v FROM values_)").collect()), key=repr)
+        assert sorted(map(tuple, joins.not_in_list(rows, "k", values, "v").collect()), key=repr) == want
+
+
+def test_exact_quantiles(spark):
+    values = [("a", float(v)) for v in (5, 1, 4, 2, 3, 3)] + [("b", 7.0), (None, 1.0), (None, 2.0), ("a", None)]
+    found = aggregates.exact_quantiles(spark.createDataFrame(values, "g string, v double"), "g", "v", {"low": 0.1, "mid": 0.5, "top": 1.0})
+    assert {r["g"]: (round(r["low"], 9), r["mid"], r["top"]) for r in found.collect()} == {"a": (1.5, 3.0, 5.0), "b": (7.0, 7.0, 7.0), None: (1.1, 1.5, 2.0)}

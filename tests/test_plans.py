@@ -44,3 +44,26 @@ def test_no_cartesian_products(spark, sf_dir):
 def test_partition_filter(spark, sf_dir):
     df = table(spark, sf_dir, "orders").where("o_totalprice > 2000").select("o_orderkey")
     assert "GreaterThan(o_totalprice,2000.0)" in inspect.pushed_filters(df)[0]
+
+
+def test_not_in_broadcasts_no_list(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = inspect.text(plan(spark, sf_dir, "not_in"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in found and "SortMergeJoin LeftAnti" in found
+
+
+def test_shuffled_hash_join(spark, sf_dir):
+    assert inspect.nodes(plan(spark, sf_dir, "shuffled_hash"))["ShuffledHashJoin"] == 1
+
+
+def test_interval_totals_form_no_pairs(spark, sf_dir):
+    found = inspect.nodes(plan(spark, sf_dir, "orders_in_campaigns"))
+    assert not found["BroadcastNestedLoopJoin"] and not found["Generate"]
+
+
+def test_quantiles_need_no_buffer_of_a_group(spark, sf_dir):
+    assert "percentile" not in inspect.text(plan(spark, sf_dir, "quantiles"))

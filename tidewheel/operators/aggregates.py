@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.session import table, views
+from tidewheel.storage import cut
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +89,44 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact interpolated quantiles."""
-    p = lambda q: F.round(F.percentile("o_totalprice", q), 4)
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.99).alias("p99"), F.round(F.median("o_totalprice"), 4).alias("median")
-    )
+    """Exact interpolated quantiles of groups of any size."""
+    found = exact_quantiles(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99, "median": 0.5})
+    return found.select("o_orderpriority", *(F.round(c, 4).alias(c) for c in ("p10", "p50", "p99", "median")))
+
+
+def exact_quantiles(rows: DataFrame, group: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """(group, a column for each of wanted): exact interpolated quantiles; nulls take no part.
+
+    A row's rank in its group is counted by a written range partitioning, the partitions'
+    own counts and row numbers within them, so no task and no buffer holds a group.
+    """
+    held = rows.select(group, value).where(F.col(value).isNotNull())
+    dealt = cut(held.repartitionByRange(group, value).sortWithinPartitions(group, value).select(group, value, F.spark_partition_id().alias("part_")), "ranges")
+    before = Window.partitionBy(group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(group, "part_").agg(F.count(F.lit(1)).alias("n_"))
+    parts = parts.select(group, "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("ahead_"), F.sum("n_").over(Window.partitionBy(group)).alias("size_"))
+    inside = Window.partitionBy(group, "part_").orderBy(value)
+    d, p = dealt.withColumn("rank_", F.row_number().over(inside) - 1).alias("d"), parts.alias("p")
+    ranked = d.join(p, F.col(f"d.{group}").eqNullSafe(F.col(f"p.{group}")) & (F.col("d.part_") == F.col("p.part_")))
+    rank, aggregates = F.col("rank_") + F.col("ahead_"), []
+    for name, q in wanted.items():
+        at = F.lit(q) * (F.col("size_") - 1)
+        # The ranks on both sides of the place, each by how near it is.
+        share = F.greatest(F.lit(0.0), 1 - F.abs(rank - at))
+        aggregates.append(F.sum(F.when(share > 0, share * F.col(value))).alias(name))
+    return ranked.groupBy(F.col(f"d.{group}").alias(group)).agg(*aggregates)
+
+
+def more_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists as texts and sets, the most frequent value, shape of a distribution, any value of a column that has one a group."""
+    views(spark, sf_dir, ["customer", "nation"])
+    return spark.sql("""
+        SELECT n_name, listagg(DISTINCT c_mktsegment, '|') WITHIN GROUP (ORDER BY c_mktsegment) AS segments,
+               CAST(size(collect_set(c_mktsegment)) AS BIGINT) AS n_segments, any_value(n_regionkey) AS region,
+               mode(c_mktsegment, true) AS most, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY c_acctbal), 4) AS q1,
+               round(percentile_disc(0.75) WITHIN GROUP (ORDER BY c_acctbal), 4) AS q3,
+               round(skewness(c_acctbal), 6) AS skew, round(kurtosis(c_acctbal), 6) AS tail
+        FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 
 
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +202,7 @@ def two_level_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pricing_summary, filtered_revenue, distinct_counts, order_cube, order_rollup, grouping_sets, conditional_counts, moments, quantiles,
+        pricing_summary, filtered_revenue, distinct_counts, order_cube, order_rollup, grouping_sets, conditional_counts, moments, quantiles, more_aggregates,
         collected, extremes, bits, histogram, having, approximate_distinct, merged_sketches, two_level_rollup,
     )
 }
@@ -209,6 +243,15 @@ ORACLE_SQL = {
         SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.5), 4) AS p50,
                round(quantile_cont(o_totalprice, 0.99), 4) AS p99, round(median(o_totalprice), 4) AS median
         FROM orders GROUP BY o_orderpriority""",
+    "more_aggregates": """
+        WITH c AS (SELECT *, avg(c_acctbal) OVER (PARTITION BY n_name) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        m AS (SELECT n_name, min(c_mktsegment) AS most FROM (SELECT n_name, c_mktsegment, rank() OVER (PARTITION BY n_name ORDER BY count(*) DESC) AS r FROM c GROUP BY 1, 2) WHERE r = 1 GROUP BY 1)
+        SELECT n_name, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS segments, count(DISTINCT c_mktsegment) AS n_segments,
+               any_value(n_regionkey) AS region, any_value(most) AS most, round(quantile_cont(c_acctbal, 0.25), 4) AS q1,
+               round(quantile_disc(c_acctbal, 0.75), 4) AS q3,
+               round(avg(pow(c_acctbal - mean, 3)) / pow(avg(pow(c_acctbal - mean, 2)), 1.5), 6) AS skew,
+               round(avg(pow(c_acctbal - mean, 4)) / pow(avg(pow(c_acctbal - mean, 2)), 2) - 3, 6) AS tail
+        FROM c JOIN m USING (n_name) GROUP BY n_name""",
     "collected": """
         SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS names, count(*) AS n
         FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",

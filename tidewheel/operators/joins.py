@@ -116,12 +116,62 @@ def hot_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("event_type").agg(F.count_if(F.col("value") > F.col("mean")).alias("above"), F.count(F.lit(1)).alias("n"))
 
 
+def interval_totals(points: DataFrame, spans: DataFrame, at: str, value: str, key: str, begin: str, end: str, width: int) -> DataFrame:
+    """(key, n, total): number and sum of the points with begin <= at < end of each span that has any.
+
+    No pair is formed: a span's totals are those up to its end less those up to its begin.
+    Points and both ends of spans are ordered within buckets of ``width`` seconds, and what
+    went before a bucket comes from a running sum over buckets, a row each.
+    """
+    rows = points.select(F.col(at).alias("t_"), F.lit(1).alias("side_"), F.col(value).alias("v_"), F.lit(None).cast(spans.schema[key].dataType).alias(key))
+    for sign, edge in ((-1, begin), (1, end)):  # an end of a span goes before points of its time
+        rows = rows.unionByName(spans.select(F.col(edge).alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast("double").alias("v_"), key).withColumn("sign_", F.lit(sign)), allowMissingColumns=True)
+    rows = rows.withColumn("bucket_", F.floor(_seconds(F.col("t_")) / width))
+    before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.where("side_ = 1").groupBy("bucket_").agg(F.count(F.lit(1)).alias("n_"), F.sum("v_").alias("s_"))
+    sums = rows.select("bucket_").distinct().join(sums, "bucket_", "left").select("bucket_", F.sum("n_").over(before).alias("n0_"), F.sum("s_").over(before).alias("s0_"))
+    inside = Window.partitionBy("bucket_").orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumns({"n_": F.count("v_").over(inside), "s_": F.sum("v_").over(inside)}).where("side_ = 0").join(sums, "bucket_")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    n, total = F.col("n_") + F.coalesce("n0_", F.lit(0)), zero(F.col("s_")) + zero(F.col("s0_"))
+    return running.groupBy(key).agg(F.sum(n * F.col("sign_")).alias("n"), F.sum(total * F.col("sign_")).alias("total")).where("n > 0")
+
+
 def orders_in_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events within half an hour after each sign-up, of any user: a join on intervals."""
+    """Purchases within half an hour after each sign-up, of any user: totals over intervals without their pairs."""
     events = table(spark, sf_dir, "events")
     spans = events.where("event_type = 'signup'").select(F.col("event_id").alias("signup"), F.col("ts").alias("begin"), F.expr("ts + INTERVAL 30 MINUTES").alias("end"))
-    points = events.where("event_type = 'purchase'").select("event_id", "ts", "value")
-    return interval_join(points, spans, "ts", "begin", "end", 1800).groupBy("signup").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    found = interval_totals(events.where("event_type = 'purchase'"), spans, "ts", "value", "signup", "begin", "end", 3600)
+    return found.select("signup", "n", F.round("total", 4).alias("total"))
+
+
+def clicks_before_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the same user's clicks of the half hour after which it came: a join on a key and an interval."""
+    events = table(spark, sf_dir, "events")
+    spans = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("begin"), F.expr("ts + INTERVAL 30 MINUTES").alias("end"))
+    points = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    return interval_join(points, spans, "ts", "begin", "end", 1800, ["user_id"]).select("user_id", "click_id", "event_id")
+
+
+def shuffled_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of two large sides where the smaller one's partitions fit in memory: no sort."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    met = line.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return met.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+def right_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right side kept: every nation, with its rich customers."""
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9900").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("rich"))
+    nations = table(spark, sf_dir, "nation")
+    return rich.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "right").select("n_name", F.coalesce("rich", F.lit(0)).alias("rich"))
+
+
+def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join on an inequality: a nested loop, for sides of a fixed size only (here regions and nations)."""
+    views(spark, sf_dir, ["region", "nation"])
+    return spark.sql("SELECT r_name, count(*) AS n FROM region JOIN nation ON length(n_name) > length(r_name) AND n_regionkey <> r_regionkey GROUP BY r_name")
 
 
 def last_view_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +200,23 @@ def above_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NOT IN, which keeps nothing where the list has a null: here it has none."""
-    views(spark, sf_dir, ["part", "lineitem"])
-    return spark.sql("SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+    """NOT IN, which keeps nothing where the list has a null.
+
+    Spark's own NOT IN broadcasts the list, whatever its size; here an anti join by the key
+    and one row that tells whether the list has a null or is empty.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    listed = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey")
+    return not_in_list(part, "p_partkey", listed, "l_partkey")
+
+
+def not_in_list(rows: DataFrame, key: str, listed: DataFrame, value: str) -> DataFrame:
+    """rows whose key is NOT IN listed's values, by SQL's rules for nulls: a null in the list keeps none, a null key only an empty list."""
+    told = listed.agg(F.count_if(F.col(value).isNull()).alias("nulls_"), F.count(F.lit(1)).alias("size_"))
+    names = rows.columns
+    apart = rows.join(listed.where(F.col(value).isNotNull()).distinct(), F.col(key) == F.col(value), "left_anti")
+    kept = (F.col("size_") == 0) | (F.col("nulls_") == 0) & F.col(key).isNotNull()
+    return apart.join(F.broadcast(told), kept).select(*names)  # told: one row
 
 
 def same_day_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         revenue_by_nation, orders_per_customer, orders_with_returns, orders_without_lines, full_outer, null_safe, hot_key_join,
-        orders_in_campaigns, last_view_before_purchase, lateral_top, above_average, not_in, same_day_pairs,
+        orders_in_campaigns, clicks_before_purchases, shuffled_hash, right_join, theta_join, last_view_before_purchase, lateral_top, above_average, not_in, same_day_pairs,
     )
 }
 ORACLE_SQL = {
@@ -200,6 +264,17 @@ ORACLE_SQL = {
         SELECT s.event_id AS signup, count(*) AS n, round(sum(p.value), 4) AS total FROM events s JOIN events p
         ON p.ts >= s.ts AND p.ts < s.ts + INTERVAL 30 MINUTE AND p.event_type = 'purchase'
         WHERE s.event_type = 'signup' GROUP BY 1""",
+    "clicks_before_purchases": """
+        SELECT p.user_id, c.event_id AS click_id, p.event_id FROM events c JOIN events p
+        ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts < c.ts + INTERVAL 30 MINUTE
+        WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
+    "shuffled_hash": """
+        SELECT o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
+    "right_join": """
+        SELECT n_name, coalesce(rich, 0) AS rich FROM (SELECT c_nationkey, count(*) AS rich FROM customer WHERE c_acctbal > 9900 GROUP BY 1)
+        RIGHT JOIN nation ON c_nationkey = n_nationkey""",
+    "theta_join": """
+        SELECT r_name, count(*) AS n FROM region JOIN nation ON length(n_name) > length(r_name) AND n_regionkey <> r_regionkey GROUP BY r_name""",
     "last_view_before_purchase": """
         SELECT p.user_id, p.event_id, p.ts, coalesce(v.event_id, -1) AS view_id, coalesce(v.value, -1) AS view_value
         FROM (SELECT * FROM events WHERE event_type = 'purchase') p

@@ -69,9 +69,29 @@ def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of item texts as rows, with their places, counted."""
+    """Words of item texts as rows, with their places: how often each occurs, and how far in at first."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("place", "word"))
-    return words.where("place < 5").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("place").cast("long").alias("first"))
+
+
+def lateral_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of structs as rows: LATERAL VIEW of inline, and of an empty array's one row by OUTER."""
+    views(spark, sf_dir, ["nation"])
+    return spark.sql("""
+        SELECT n_name, v.part, v.size FROM nation
+        LATERAL VIEW OUTER inline(filter(array(named_struct('part', 'name', 'size', length(n_name)), named_struct('part', 'key', 'size', n_nationkey)), x -> x.size > 6)) v AS part, size""")
+
+
+def grouped_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GROUP BY ALL and ORDER BY ALL: by all columns that are no aggregates."""
+    views(spark, sf_dir, ["orders"])
+    return spark.sql("SELECT o_orderstatus, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL ORDER BY ALL")
+
+
+def ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated rows, joined: how many orders each of the first customers has, those without any too."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return spark.range(0, 400, 2).join(orders, F.col("id") == F.col("o_custkey"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +159,7 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        projected, sorted_top, pivoted, unpivoted, recursive, inline_values, piped, scripted, exploded, sampled, stratified,
+        projected, sorted_top, pivoted, unpivoted, recursive, inline_values, piped, scripted, exploded, lateral_view, grouped_by_all, ranged, sampled, stratified,
         union_all, union_distinct, intersected, intersected_all, excepted, excepted_all, union_by_name,
     )
 }
@@ -170,7 +190,15 @@ ORACLE_SQL = {
         WHERE c_acctbal > 0 GROUP BY c_mktsegment HAVING count(*) > 10""",
     "scripted": "SELECT p_brand, count(*) AS n FROM part WHERE p_size >= 40 GROUP BY p_brand",
     "exploded": """
-        SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')[1:5]) AS word FROM benchmark) GROUP BY word""",
+        SELECT word, count(*) AS n, CAST(min(place) AS BIGINT) AS first FROM (
+            SELECT unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS place FROM benchmark) GROUP BY word""",
+    "lateral_view": """
+        SELECT n_name, part, size FROM nation LEFT JOIN (
+            SELECT n_nationkey AS k, 'name' AS part, CAST(length(n_name) AS INTEGER) AS size FROM nation WHERE length(n_name) > 6
+            UNION ALL SELECT n_nationkey, 'key', n_nationkey FROM nation WHERE n_nationkey > 6) ON k = n_nationkey""",
+    "grouped_by_all": "SELECT o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY ALL ORDER BY ALL",
+    "ranged": """
+        SELECT id, count(o_orderkey) AS n FROM range(0, 400, 2) t(id) LEFT JOIN orders ON id = o_custkey GROUP BY id""",
     "sampled": """
         SELECT o_orderkey, o_totalprice FROM orders
         WHERE CAST('0x' || substr(md5('s1/' || CAST(o_orderkey AS VARCHAR)), 1, 4) AS INTEGER) < 6554""",

@@ -34,8 +34,8 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases by day and hour of one user group, with zeros where there were none."""
-    events = table(spark, sf_dir, "events").where("event_type = 'purchase' AND user_id < 20")
+    """Purchases by user and day, with zeros where there were none."""
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     hourly = events.groupBy("user_id", _plain(F.date_trunc("DAY", "ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     ends = hourly.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     every = ends.select("user_id", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
@@ -43,18 +43,18 @@ def gap_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily mean values of an event type, days without one filled on the line between their neighbours."""
-    events = table(spark, sf_dir, "events").where("event_type = 'error' AND user_id < 15")
-    daily = events.groupBy(F.to_date("ts").alias("day")).agg(F.max("value").alias("v"))
-    ends = daily.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    every = ends.select(F.explode(F.sequence("a", "b")).alias("day")).join(daily, "day", "left")
-    w = Window.orderBy("day")  # a row for each day: small whatever the events are
+    """The largest value of each user's errors by day, days without one filled on the line between their neighbours."""
+    events = table(spark, sf_dir, "events").where("event_type = 'error'")
+    daily = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("v"))
+    ends = daily.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    every = ends.select("user_id", F.explode(F.sequence("a", "b")).alias("day")).join(daily, ["user_id", "day"], "left")
+    w = Window.partitionBy("user_id").orderBy("day")  # a row for each day of a user
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("v").isNotNull(), F.struct("day", "v"))
     sided = every.withColumns({"l": F.last(known, ignorenulls=True).over(back), "r": F.first(known, ignorenulls=True).over(ahead)})
     part = F.try_divide(F.datediff("day", "l.day"), F.datediff("r.day", "l.day"))
     value = F.coalesce(F.col("l.v") + (F.col("r.v") - F.col("l.v")) * part, F.col("l.v"))
-    return sided.select(F.col("day").cast("string").alias("day"), F.round(value, 3).alias("value"))
+    return sided.select("user_id", F.col("day").cast("string").alias("day"), F.round(value, 7).alias("value"))
 
 
 def time_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,18 +103,18 @@ ORACLE_SQL = {
         SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
     "time_gap_filled": """
         WITH h AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM events
-                   WHERE event_type = 'purchase' AND user_id < 20 GROUP BY 1, 2),
+                   WHERE event_type = 'purchase' GROUP BY 1, 2),
         e AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM h GROUP BY user_id)
         SELECT user_id, CAST(day AS TIMESTAMP) AS day, coalesce(n, 0) AS n FROM e LEFT JOIN h USING (user_id, day)""",
     "time_interpolated": """
-        WITH d AS (SELECT CAST(ts AS DATE) AS day, max(value) AS v FROM events WHERE event_type = 'error' AND user_id < 15 GROUP BY 1),
-        e AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d),
-        j AS (SELECT e.day, v, last_value(CASE WHEN v IS NOT NULL THEN e.day END IGNORE NULLS) OVER b AS ld, last_value(v IGNORE NULLS) OVER b AS lv,
+        WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) AS v FROM events WHERE event_type = 'error' GROUP BY 1, 2),
+        e AS (SELECT user_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY user_id),
+        j AS (SELECT e.user_id, e.day, v, last_value(CASE WHEN v IS NOT NULL THEN e.day END IGNORE NULLS) OVER b AS ld, last_value(v IGNORE NULLS) OVER b AS lv,
                      first_value(CASE WHEN v IS NOT NULL THEN e.day END IGNORE NULLS) OVER a AS rd, first_value(v IGNORE NULLS) OVER a AS rv
-              FROM e LEFT JOIN d ON e.day = d.day
-              WINDOW b AS (ORDER BY e.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-                     a AS (ORDER BY e.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-        SELECT CAST(day AS VARCHAR) AS day, round(coalesce(lv + (rv - lv) * ((day - ld) / nullif(CAST(rd - ld AS DOUBLE), 0)), lv), 3) AS value FROM j""",
+              FROM e LEFT JOIN d ON e.user_id = d.user_id AND e.day = d.day
+              WINDOW b AS (PARTITION BY e.user_id ORDER BY e.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                     a AS (PARTITION BY e.user_id ORDER BY e.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+        SELECT user_id, CAST(day AS VARCHAR) AS day, round(coalesce(lv + (rv - lv) * ((day - ld) / nullif(CAST(rd - ld AS DOUBLE), 0)), lv), 7) AS value FROM j""",
     "time_time_weighted": """
         WITH s AS (SELECT user_id, value, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS stood FROM events)
         SELECT user_id, round(sum(value * stood) / sum(stood), 4) AS mean FROM s WHERE stood IS NOT NULL GROUP BY user_id""",

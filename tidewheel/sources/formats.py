@@ -66,11 +66,11 @@ def partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables bucketed by their key in the warehouse, joined without a shuffle of either."""
+    """Two tables bucketed by their key, joined without a shuffle of either; their files go with the shared folder."""
     names = []
     for source, key, columns in (("orders", "o_custkey", ["o_custkey", "o_totalprice"]), ("customer", "c_custkey", ["c_custkey", "c_mktsegment"])):
         names.append(f"bucketed_{source}_{uuid.uuid4().hex}")
-        table(spark, sf_dir, source).select(columns).repartition(8, key).write.bucketBy(8, key).sortBy(key).saveAsTable(names[-1])
+        table(spark, sf_dir, source).select(columns).repartition(8, key).write.bucketBy(8, key).sortBy(key).option("path", _place(spark, names[-1])).saveAsTable(names[-1])
     orders, customers = (spark.table(n) for n in names)
     joined = orders.join(customers.hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,11 +22,15 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a folder of this
-    process is used, and removed when the process ends.
+    Only where the session names none and runs on one machine a folder of this process
+    is used, and removed when the process ends; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else _own_folder()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", master := spark.sparkContext.master):
+        raise ValueError(f"spark.checkpoint.dir is not set, and {master} has no folder that all its machines share")
+    return _own_folder()
 
 
 def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:

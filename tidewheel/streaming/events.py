@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -20,6 +22,10 @@ from tidewheel.session import table
 from tidewheel.storage import shared_folder
 
 
+#: Milliseconds of event time after which a user's state times out.
+QUIET = 2 * 86_400_000
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream, with event time that watermarks accept; the pattern lets one file or a folder be the input."""
     schema = table(spark, sf_dir, "events").schema
@@ -113,24 +119,65 @@ def running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours counted from two files, the second with events from long before: those are too late, and dropped.
+    """Hours counted from two folders, the second with events from long before: those are too late, and dropped.
 
-    The first file is a batch of its own, so the watermark has passed the old hours when the second comes.
+    The first folder is read by a run of its own, so the watermark has passed the old hours when the second comes.
     """
     place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/late-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     last = events.agg(F.max("ts").alias("last")).first()["last"]
     old = (events.where("event_type = 'view'").withColumn("ts", F.expr("ts - INTERVAL 1 DAY"))).where(F.col("ts") < F.lit(last) - F.expr("INTERVAL 2 DAYS"))
-    events.coalesce(1).write.parquet(f"{place}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    events.write.parquet(f"{place}/in/run=1")
+    stream = spark.readStream.schema(events.schema).parquet(f"{place}/in/*")
     counts = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    for _ in range(2):  # the second run starts from the first one's checkpoint
+    for turn in range(2):  # the second run starts from the first one's checkpoint
         query = counts.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
         query.awaitTermination()
-        old.coalesce(1).write.mode("append").parquet(f"{place}/in")
+        if not turn:
+            old.write.parquet(f"{place}/in/run=2")
     return spark.read.schema(counts.schema).parquet(f"{place}/rows").select(_plain(F.col("w.start")).alias("begin"), "event_type", "n")
 
 
+def hopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two hours, every hour, of the windows that the watermark has passed."""
+    w = event_stream(spark, sf_dir).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "2 hours", "1 hour").alias("w"))
+    out = run_to_files(w.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("bought")))
+    return out.select(_plain(F.col("w.start")).alias("begin"), "n", "bought")
+
+
+def timed_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who have been quiet for two days of event time, by a timeout of their state: their last event, and the number up to it.
+
+    Two runs: the first reads the events, and the second, of one later event, moves the watermark on.
+    """
+    place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/quiet-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(f"{place}/in/run=1")
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, last = state.get
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [pd.Timestamp(last, unit="ms", tz="UTC")]})
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for batch in batches:
+            n, last = n + len(batch), max(last, batch["ts"].max().value // 10**6)
+        state.update((n, last))
+        state.setTimeoutTimestamp(last + QUIET)
+
+    stream = spark.readStream.schema(events.schema).parquet(f"{place}/in/*").withWatermark("ts", "1 minute")
+    found = stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, last timestamp", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    for turn in range(2):
+        query = found.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not turn:
+            late = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.expr("ts + INTERVAL 1 HOUR").alias("ts"))
+            late.write.parquet(f"{place}/in/run=2")
+    rows = spark.read.schema(found.schema).parquet(f"{place}/rows")
+    return rows.select("user_id", "n", _plain(F.col("last")).alias("last"))
+
+
 class UserTotals(StatefulProcessor):
     """A count of each user's events by the newer interface to state."""
 
@@ -146,23 +193,133 @@ class UserTotals(StatefulProcessor):
         pass
 
 
-def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The count of each user's events by a stateful processor, whose state is kept by RocksDB."""
+class Reminders(StatefulProcessor):
+    """For each user, a timer a day of event time after each purchase; it fires with the purchases so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.n = handle, handle.getValueState("n", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+        n = self.n.get()[0] if self.n.exists() else 0
+        for batch in rows:
+            n += len(batch)
+            for at in batch["ts"]:
+                self.handle.registerTimer(at.value // 10**6 + 86_400_000)
+        self.n.update((n,))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        yield pd.DataFrame({"user_id": [key[0]], "due": [expiredTimerInfo.getExpiryTimeInMs()], "n": [self.n.get()[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocks_db(spark: SparkSession) -> Iterator[None]:
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
+def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count of each user's events by a stateful processor, whose state is kept by RocksDB."""
+    with _rocks_db(spark):
         found = event_stream(spark, sf_dir).groupBy("user_id").transformWithStateInPandas(UserTotals(), "user_id long, n long", "Update", "None")
         return run_by_batch(found, ["user_id"])
+
+
+def reminded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timers of a stateful processor that the watermark has passed, a day after each purchase; of one millisecond, one."""
+    with _rocks_db(spark):
+        bought = event_stream(spark, sf_dir).where("event_type = 'purchase'").select("user_id", "ts").withWatermark("ts", "1 minute")
+        found = bought.groupBy("user_id").transformWithStateInPandas(Reminders(), "user_id long, due long, n long", "Append", "EventTime")
+        return run_to_files(found)
+
+
+class Ticks(DataSource):
+    """A stream of numbers from 0, some at a time. Options: rows (in all), step (a batch)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ticks"
+
+    def schema(self) -> str:
+        return "n bigint"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  Spark's name
+        return TicksReader(int(self.options.get("rows", "100")), int(self.options.get("step", "40")))
+
+
+class Stretch(InputPartition):
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, end
+
+
+class TicksReader(DataSourceStreamReader):
+    """Offsets are the numbers given so far; a stretch reads the same again after a failure."""
+
+    def __init__(self, rows: int, step: int):
+        self.rows, self.step, self.at = rows, step, 0
+
+    def initialOffset(self) -> dict:  # noqa: N802  Spark's name
+        return {"n": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802  Spark's name
+        self.at = min(self.at + self.step, self.rows)
+        return {"n": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        middle = (start["n"] + end["n"]) // 2
+        return [Stretch(start["n"], middle), Stretch(middle, end["n"])]
+
+    def read(self, partition: Stretch) -> Iterator[tuple[int]]:
+        return ((n,) for n in range(partition.first, partition.end))
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream source of our own: numbers by their last digit, when all have come."""
+    spark.dataSource.register(Ticks)
+    stream = spark.readStream.format("ticks").option("rows", 95).option("step", 40).load()
+    counts = stream.groupBy((F.col("n") % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+    place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/ticks-{uuid.uuid4().hex}"
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+
+    query = counts.writeStream.foreachBatch(save).outputMode("complete").option("checkpointLocation", f"{place}/state").start()
+    try:
+        query.processAllAvailable()
     finally:
-        spark.conf.set(provider, before)
+        query.stop()
+    rows = spark.read.schema("digit long, n long, batch int").parquet(f"{place}/rows")
+    return rows.groupBy("digit").agg(F.max_by("n", "batch").alias("n"))
 
 
-QUERIES = {f"stream_{f.__name__}": f for f in (tumbling, sessions, deduplicated, enriched, paired, stateful, running, late_dropped, transformed)}
+QUERIES = {f"stream_{f.__name__}": f for f in (tumbling, hopping, sessions, deduplicated, enriched, paired, stateful, timed_out, running, late_dropped, transformed, reminded, custom_source)}
 ORACLE_SQL = {
     "stream_tumbling": """
         SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2
         HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "stream_hopping": """
+        SELECT b AS begin, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS bought
+        FROM (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS b FROM events) GROUP BY 1
+        HAVING b + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "stream_timed_out": """
+        SELECT user_id, count(*) AS n, make_timestamp(epoch_us(max(ts)) // 1000 * 1000) AS last FROM events GROUP BY 1
+        HAVING epoch_us(max(ts)) // 1000 + 2 * 86400000 < epoch_us((SELECT max(ts) + INTERVAL 1 HOUR - INTERVAL 1 MINUTE FROM events)) // 1000""",
+    "stream_reminded": """
+        WITH p AS (SELECT user_id, epoch_us(ts) // 1000 + 86400000 AS due FROM events WHERE event_type = 'purchase')
+        SELECT user_id, due, any_value(k) AS n FROM p JOIN (SELECT user_id, count(*) AS k FROM p GROUP BY 1) USING (user_id)
+        WHERE due <= (SELECT max(due) - 86400000 - 60000 FROM p) GROUP BY 1, 2""",
+    "stream_custom_source": "SELECT n % 10 AS digit, count(*) AS n FROM range(95) t(n) GROUP BY 1",
     "stream_sessions": """
         WITH m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS start FROM events
                    WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
