@@ -137,18 +137,18 @@ def shard_links(rows: Iterator[pd.DataFrame], radius: int = RADIUS) -> Iterator[
         yield solve(rest)
 
 
-def hot_links(members: DataFrame, radius: int = RADIUS, hot: int = HOT, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """(a, b) links within shards too large for one task.
-
-    members: (choice, bits, print, n), n the shard's size. The shard is cut by a hash of
-    the fingerprint into trees of about hot / 2 nodes, each with the links within it.
-    The trees then go out in broadcasts of about block_nodes nodes, each searched by all
-    members of the shards it has trees of; a search gives a link for each part of a tree
-    that it meets, not for each node.
+def hot_links(members: DataFrame, radius: int = RADIUS, tree_nodes: int = HOT // 2, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(a, b) links within shards by broadcast trees.
+
+    members: (choice, bits, print, n), n the shard's size. A shard is cut by a hash of the
+    fingerprint into trees of about tree_nodes nodes, each with the links within it. The
+    trees then go out in broadcasts of about block_nodes nodes, each searched by all members
+    of the shards it has trees of and by no others; a search gives a link for each part of a
+    tree that it meets, not for each node.
     """
     spark = members.sparkSession
     salted = cut(
-        members.withColumn("salt", F.pmod(F.xxhash64("print"), F.ceil(F.col("n") / (hot // 2))))
+        members.withColumn("salt", F.pmod(F.xxhash64("print"), F.ceil(F.col("n") / max(tree_nodes, 1))))
         .withColumn("block", F.pmod(F.xxhash64("choice", "bits", "salt"), F.lit(_blocks(members, block_nodes)))),
         "hot",
     )
@@ -169,17 +169,17 @@ def hot_links(members: DataFrame, radius: int = RADIUS, hot: int = HOT, block_no
     )
     links = None
     for row in sorted(trees.select("block").distinct().collect()):
-        sent = spark.sparkContext.broadcast(
-            [(t["choice"], t["bits"], bytes(t["prints"]), bytes(t["child"]), bytes(t["label"])) for t in trees.where(F.col("block") == row["block"]).collect()]
-        )
+        own = trees.where(F.col("block") == row["block"])
+        held: dict[tuple[int, int], list[tuple[bytes, bytes, bytes]]] = {}
+        for t in own.collect():  # block_nodes nodes, about
+            held.setdefault((t["choice"], t["bits"]), []).append((bytes(t["prints"]), bytes(t["child"]), bytes(t["label"])))
+        sent = spark.sparkContext.broadcast(held)
 
         def ask(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for part in parts:
-                for (choice, bits), own in part.groupby(["choice", "bits"], sort=False):
+                for shard, own in part.groupby(["choice", "bits"], sort=False):
                     asked = own["print"].to_numpy(np.int64).view(np.uint64)
-                    for c, k, prints, child, label in sent.value:
-                        if (c, k) != (choice, bits):
-                            continue
+                    for prints, child, label in sent.value[shard]:
                         prints = np.frombuffer(prints, np.uint64)
                         root = np.zeros(len(prints), np.int64)
                         forest = bk_tree.Forest(prints, root, np.frombuffer(child, np.int32).reshape(-1, bk_tree.BITS + 1))
@@ -189,8 +189,8 @@ def hot_links(members: DataFrame, radius: int = RADIUS, hot: int = HOT, block_no
                         if len(found):
                             yield found
 
-        part = salted.select("choice", "bits", "print").mapInPandas(ask, "a long, b long")
-        part = cut(part, "hot-links")
+        searching = salted.join(F.broadcast(own.select("choice", "bits").distinct()), ["choice", "bits"], "left_semi")  # no more than the block's trees
+        part = cut(searching.select("choice", "bits", "print").mapInPandas(ask, "a long, b long"), "hot-links")
         links = part if links is None else links.union(part)
     return links
 
@@ -217,7 +217,7 @@ def print_links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Data
         .sortWithinPartitions("choice", "bits", "print")
         .mapInPandas(lambda rows: shard_links(rows, radius), "a long, b long")
     )
-    return links.union(hot_links(cut(dealt.join(large, ["choice", "bits"]), "members"), radius, hot)) if some else links
+    return links.union(hot_links(cut(dealt.join(large, ["choice", "bits"]), "members"), radius, max(hot // 2, 1))) if some else links
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT, shingle: int = SHINGLE) -> DataFrame:
