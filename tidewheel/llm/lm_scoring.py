@@ -44,7 +44,7 @@ from tidewheel.storage import cut
 HEAD, SHARED, ENDING = 1792, 256, 2
 ROUNDS = 4
 #: Tokens of a piece, about: what has one dictionary.
-PIECE = 1 << 20
+PIECE = 1 << 21
 #: Tokens of a chain, about; chains averaged together; rows of one hash above which they are spread.
 CHAIN, TOGETHER, HOT = 1 << 20, 64, 1 << 10
 #: The end of a text as a word; no word holds a line break.
