@@ -4,6 +4,7 @@ import random
 import wave
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,17 @@ def test_a_damaged_store_is_noticed(spark):
         media.inspected(media.read_back(rows, bad)).collect()
 
 
+def test_slices_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(media, "TOGETHER", 100)
+    monkeypatch.setattr(media, "ROWS", 4)
+    sizes = [60, 30, 20, None, 500, 1, 1, 1, 1, 1, 99, 2]
+    batch = pa.record_batch([pa.array(range(len(sizes)))], ["n"])
+    parts = [p.column(0).to_pylist() for p in media._slices(batch, pa.array(sizes))]
+    assert sum(parts, []) == list(range(len(sizes)))
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(sizes[k] or 0 for k in p) <= 100) for p in parts)
+    assert list(media._slices(batch.slice(0, 0), pa.array([], pa.int64()))) == []
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "é" * 96), (4, "long text " * 50_000), (None, "x"), (4, "long text " * 50_000), (6, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "chunks": F.lit(0)})

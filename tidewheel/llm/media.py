@@ -16,8 +16,9 @@ Only lists with digests, and only one of each group of equal files, meet the sto
 a shuffle; unique chunks move nowhere.
 
 Defined results: a null text is an empty one; an empty payload is one frame of spaces;
-repeated rows and equal texts give equal values; a null doc_id works like any other
-value; an empty table gives an empty table; other columns are ignored.
+repeated rows and equal texts give equal values; very long texts are cut and read back
+whole; null and shared doc_ids work like any other; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,8 @@ LEAST, AVERAGE, MOST = 512, 2048, 8192
 SPAN = 32
 #: log2 of the bits that tell repeating digests, and of those in one group: 16 MB broadcast.
 BITS, GROUP = 27, 16
-#: Rows given to Spark at once.
-ROWS = 1000
+#: Bytes of texts, and rows, given to Spark at once, about; a longer text goes alone.
+TOGETHER, ROWS = 1 << 23, 1000
 
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=4).digest(), "little") for i in range(256)], np.uint32)
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
@@ -73,6 +75,18 @@ def wav_samples(file: bytes) -> bytes:
     return file[44:]
 
 
+def _slices(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded bytes and rows; sizes: the bytes of each row, null for none."""
+    first = size = 0
+    for k, n in enumerate(sizes.to_pylist()):
+        if k > first and (size + (n or 0) > TOGETHER or k - first == ROWS):
+            yield batch.slice(first, k - first)
+            first, size = k, 0
+        size += n or 0
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks of a payload."""
     n = len(data)
@@ -157,8 +171,7 @@ def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
+            for batch in _slices(whole, pc.binary_length(whole.column("text"))):
                 sizes, digests, headers, lists, stores = [], [], [], [], []
                 for text in batch.column("text"):
                     payload, n = padded(text.as_py())
@@ -203,8 +216,7 @@ def inspected(rows: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
+            for batch in _slices(whole, whole.column("n_bytes")):
                 out = []
                 for header, named, parts, said in zip(*(batch.column(n) for n in ("header", "chunks", "parts", "media_sha256")), strict=True):
                     fetched = {p["place"]: p["data"] for p in parts.as_py()}
