@@ -269,6 +269,10 @@ def rounded(counts: Counts, capacity: int, reserve: float, rounds: int = ROUNDS,
 
 def pack(counts: Counts, capacity: int, rounds: int = ROUNDS, classes: int = CLASSES) -> list[Bins]:
     """Groups of equal bins that hold exactly the items of ``counts``; all lengths from 1 to capacity."""
-    tried = [rounded(counts, capacity, reserve, rounds, classes)[0] for reserve in RESERVES]
-    tried.append(best_fit(_Stock(counts), [], capacity))
-    return min(tried, key=lambda held: sum(number for number, _ in held))
+    size = lambda held: sum(number for number, _ in held)
+    least, tried = -(-sum(n * k for n, k in counts.items()) // capacity), []
+    for reserve in RESERVES:
+        tried.append(rounded(counts, capacity, reserve, rounds, classes)[0])
+        if size(tried[-1]) == least:  # no packing takes fewer
+            return tried[-1]
+    return min([*tried, best_fit(_Stock(counts), [], capacity)], key=size)
