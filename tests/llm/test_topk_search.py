@@ -13,9 +13,9 @@ from tidewheel.session import table
 def plain(rows, every=50, k=5):
     ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, v in {i: v for i, v in sorted(ok, reverse=True)}.items():
+    for at, (i, v) in enumerate(ok):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in ok if j != i)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for to, (j, w) in enumerate(ok) if to != at)[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -44,7 +44,7 @@ def test_bounds_prune():
     blocks = [(np.arange(64) + 64 * i, (c + rng.normal(0, 3, (64, 16))).astype(np.int64)) for i, c in enumerate(centres)]
     queries = np.stack([w[0] for _, w in blocks])
     own = np.array([ids[0] for ids, _ in blocks])
-    best, scored = tk.search(queries, own, np.full(20, tk.NONE), blocks, 5)
+    best, scored = tk.search(queries, own, np.full(20, tk.NONE), [(ids, ids, w) for ids, w in blocks], 5)
     ids, all_ = np.concatenate([i for i, _ in blocks]), np.concatenate([w for _, w in blocks])
     for q in range(20):
         s = all_ @ queries[q]
@@ -67,3 +67,13 @@ def test_unequal_lengths_against_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     check(tk.op3_topk_blocks(spark, str(tmp_path)), con, tk.ORACLE_SQL["op3_topk_blocks"])
+
+
+def test_repeated_queries_against_sql(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 60)), rng.normal(0, 1, 4).tolist()) for _ in range(200)] + [(50, [1.0] * 4)] * 3
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    check(tk.op3_topk_blocks(spark, str(tmp_path)), con, tk.ORACLE_SQL["op3_topk_blocks"])
+    assert got(tk.op3_topk_blocks(spark, str(tmp_path))) == plain([tuple(r) for r in table(spark, str(tmp_path), "embeddings").collect()])

@@ -51,19 +51,19 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
     return F.when(ok, F.transform(x, lambda v: F.floor(v * scale)))
 
 
-def _code(terms: Column) -> Column:
+def code(terms: Column) -> Column:
     """The dimensions of the largest weights with their signs, largest first."""
     tagged = F.transform(terms, lambda v, i: F.struct((-F.abs(v)).alias("size"), i.alias("term"), (v < 0).alias("sign")))
     return F.transform(F.slice(F.array_sort(tagged), 1, CODE), lambda s: s["term"] * 2 + s["sign"].cast("int"))
 
 
-def _cut(vectors: np.ndarray, width: int) -> np.ndarray:
+def trimmed(vectors: np.ndarray, width: int) -> np.ndarray:
     """Vectors in the first ``width`` dimensions, with zeros for those they lack."""
     have = min(width, vectors.shape[1])
     return vectors[:, :have] if have == width else np.pad(vectors, ((0, 0), (0, width - have)))
 
 
-def _stacked(vectors: list[np.ndarray]) -> np.ndarray:
+def stacked(vectors: list[np.ndarray]) -> np.ndarray:
     """Vectors of any lengths as rows as long as the longest."""
     width = max(map(len, vectors), default=0)
     out = np.zeros((len(vectors), width), np.int64)
@@ -72,7 +72,7 @@ def _stacked(vectors: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T of whole numbers: in doubles, which are faster, wherever those are exact."""
     reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if reach < 2**53:
@@ -99,25 +99,25 @@ class Best:
         self.id[q] = np.take_along_axis(names, order, 1)
 
 
-def _against(queries: np.ndarray, own: np.ndarray, block: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of queries against a block; a query's own rows come last of all."""
-    score = _products(queries, block)
+def _against(queries: np.ndarray, own: np.ndarray, block: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of queries against a block; a query's own row comes last of all."""
+    score = products(queries, block)
     names = np.broadcast_to(ids, score.shape).copy()
-    self_ = own[:, None] == ids
+    self_ = own[:, None] == rows
     score[self_], names[self_] = NONE, NOBODY
     return score, names
 
 
-def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[Best, int]:
-    """(best, blocks scored): the best of all blocks (ids, weights) for each query.
+def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[Best, int]:
+    """(best, blocks scored): the best of all blocks (ids, rows, weights) for each query.
 
-    floor: for each query, a score that at least k candidates reach somewhere; blocks whose
+    own: the queries' rows. floor: for each query, a score that at least k candidates reach somewhere; blocks whose
     bound is lower cannot matter.
     """
     best = Best(len(queries), k)
-    most = np.stack([w.max(0) for _, w in blocks])
-    least = np.stack([w.min(0) for _, w in blocks])
-    bound = _products(np.maximum(queries, 0), most) + _products(np.minimum(queries, 0), least)
+    most = np.stack([w.max(0) for *_, w in blocks])
+    least = np.stack([w.min(0) for *_, w in blocks])
+    bound = products(np.maximum(queries, 0), most) + products(np.minimum(queries, 0), least)
     order = np.argsort(-bound, axis=1, kind="stable")
     going, scored = np.arange(len(queries)), 0
     for turn in range(len(blocks)):
@@ -129,28 +129,29 @@ def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list
             break
         for b in np.unique(at):
             q = going[at == b]
-            ids, weights = blocks[b]
-            best.offer(q, *_against(queries[q], own[q], weights, ids))
+            ids, rows, weights = blocks[b]
+            best.offer(q, *_against(queries[q], own[q], weights, ids, rows))
             scored += len(q)
     return best, scored
 
 
 def indexed(terms: DataFrame, query: Column, k: int = K) -> DataFrame:
-    """Blocks of vectors (id, terms), a written table: ids, weights, and asked, the block's queries.
+    """Blocks of vectors (id, row, terms), a written table: ids, rows, weights, and asked, the block's queries.
 
     A query in asked comes with a floor: its k-th best score in its own block.
     """
-    rows = terms.withColumns({"code": _code(F.col("terms")), "size": F.size("terms"), "asks": query})
-    placed = rows.repartitionByRange("size", "code", "id").sortWithinPartitions("size", "code", "id").select("id", "terms", "asks")
+    rows = terms.withColumns({"code": code(F.col("terms")), "size": F.size("terms"), "asks": query})
+    order = ("size", "code", "id", "row")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "row", "terms", "asks")
 
     def block(own: pd.DataFrame) -> pd.DataFrame:
-        ids, weights = own["id"].to_numpy(np.int64), _stacked([np.asarray(v, np.int64) for v in own["terms"]])
+        ids, at, weights = own["id"].to_numpy(np.int64), own["row"].to_numpy(np.int64), stacked([np.asarray(v, np.int64) for v in own["terms"]])
         asks = own["asks"].to_numpy(bool)
         best = Best(int(asks.sum()), k)
         if asks.any():
-            best.offer(np.arange(len(best.score)), *_against(weights[asks], ids[asks], weights, ids))
-        asked = [{"id": i, "weights": w.tobytes(), "floor": f} for i, w, f in zip(ids[asks], weights[asks], best.last(), strict=True)]
-        return pd.DataFrame({"width": [weights.shape[1]], "ids": [ids.tobytes()], "weights": [weights.tobytes()], "asked": [asked]})
+            best.offer(np.arange(len(best.score)), *_against(weights[asks], at[asks], weights, ids, at))
+        asked = [{"id": i, "row": r, "weights": w.tobytes(), "floor": f} for i, r, w, f in zip(ids[asks], at[asks], weights[asks], best.last(), strict=True)]
+        return pd.DataFrame({"width": [weights.shape[1]], "ids": [ids.tobytes()], "rows": [at.tobytes()], "weights": [weights.tobytes()], "asked": [asked]})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -162,7 +163,7 @@ def indexed(terms: DataFrame, query: Column, k: int = K) -> DataFrame:
         if rest is not None and len(rest):
             yield block(rest)
 
-    return cut(placed.mapInPandas(build, "width int, ids binary, weights binary, asked array<struct<id:long,weights:binary,floor:long>>"), "blocks")
+    return cut(placed.mapInPandas(build, "width int, ids binary, rows binary, weights binary, asked array<struct<id:long,row:long,weights:binary,floor:long>>"), "blocks")
 
 
 def nearest(vectors: DataFrame, query: Column, k: int = K) -> DataFrame:
@@ -172,36 +173,34 @@ def nearest(vectors: DataFrame, query: Column, k: int = K) -> DataFrame:
     """
     spark = vectors.sparkSession
     terms = vectors.select(F.col("vec_id").cast("long").alias("id"), whole_numbers(F.col("embedding")).alias("terms"))
-    terms = cut(terms.where("id is not null and terms is not null"), "terms")
+    terms = cut(terms.where("id is not null and terms is not null").withColumn("row", F.monotonically_increasing_id()), "terms")
     rows = terms.count()
     blocks = indexed(terms, query, k)
-    # A query with several rows is asked once; with several vectors, by the least of them.
-    queries = blocks.select(F.explode("asked").alias("q")).groupBy("q.id").agg(F.min(F.struct("q.weights", "q.floor")).alias("q"))
-    queries = cut(queries.select("id", "q.weights", "q.floor"), "queries")
+    queries = cut(blocks.select(F.explode("asked").alias("q")).select("q.*"), "queries")
     turns = max(1, -(-queries.count() // TURN))
     routes = max(4 * spark.sparkContext.defaultParallelism, -(-rows // ROUTE))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = blocks.select(F.pmod(F.xxhash64("ids"), F.lit(routes)).cast("int").alias("route"), every(turns).alias("turn"), "width", "ids", "weights")
-    right = queries.select(every(routes).alias("to_route"), F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("of_turn"), "id", "weights", "floor")
+    left = blocks.select(F.pmod(F.xxhash64("ids"), F.lit(routes)).cast("int").alias("route"), every(turns).alias("turn"), "width", "ids", "rows", "weights")
+    right = queries.select(every(routes).alias("to_route"), F.pmod(F.xxhash64("row"), F.lit(turns)).cast("int").alias("of_turn"), "id", "row", "weights", "floor")
 
     def answer(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        out = [pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
         by_width = {}
-        for width, i, w in zip(own["width"], own["ids"], own["weights"], strict=True):
+        for width, i, r, w in zip(own["width"], own["ids"], own["rows"], own["weights"], strict=True):
             i = np.frombuffer(i, np.int64)
-            by_width.setdefault(width, []).append((i, np.frombuffer(w, np.int64).reshape(len(i), width)))
+            by_width.setdefault(width, []).append((i, np.frombuffer(r, np.int64), np.frombuffer(w, np.int64).reshape(len(i), width)))
         for first in range(0, len(asked) if by_width else 0, ASKED):
             some = asked[first : first + ASKED]
-            ids, floor = some["id"].to_numpy(np.int64), some["floor"].to_numpy(np.int64)
-            weights = _stacked([np.frombuffer(w, np.int64) for w in some["weights"]])
+            ids, rows, floor = (some[c].to_numpy(np.int64) for c in ("id", "row", "floor"))
+            weights = stacked([np.frombuffer(w, np.int64) for w in some["weights"]])
             for width, parts in by_width.items():
-                best, _ = search(_cut(weights, width), ids, floor, parts, k)
+                best, _ = search(trimmed(weights, width), rows, floor, parts, k)
                 found = best.id != NOBODY
-                out.append(pd.DataFrame({"query_id": np.repeat(ids, found.sum(1)), "vec_id": best.id[found], "score": best.score[found]}))
+                out.append(pd.DataFrame({"row": np.repeat(rows, found.sum(1)), "query_id": np.repeat(ids, found.sum(1)), "vec_id": best.id[found], "score": best.score[found]}))
         return pd.concat(out, ignore_index=True)
 
-    merged = left.groupBy("turn", "route").cogroup(right.groupBy("of_turn", "to_route")).applyInPandas(answer, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    merged = left.groupBy("turn", "route").cogroup(right.groupBy("of_turn", "to_route")).applyInPandas(answer, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -214,14 +213,14 @@ QUERIES = {"op3_topk_blocks": op3_topk_blocks}
 ORACLE_SQL = {
     "op3_topk_blocks": """
     WITH e AS (
-        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
         FROM embeddings
         WHERE embedding IS NOT NULL
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (
-        SELECT q.vec_id AS query_id, c.vec_id,
+        SELECT q.n, q.vec_id AS query_id, c.vec_id,
                CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
-        FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        FROM e q JOIN e c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 }
