@@ -94,7 +94,8 @@ def test_trees_prune():
     top = (own * own).sum(1)
     asked = bt.Queries(own, np.arange(0, 4000, 100), labels[::100], top * 3 // 10, top * 9 // 10)
     for same in (True, False):
-        best, scored = bt.search(tree, asked, 10, same)
+        best = bt.Best(len(own), 10)
+        scored = bt.search(tree, asked, best, same)
         assert scored < len(own) * 4000 / 2
         for q in range(len(own)):
             s = weights @ own[q]

@@ -91,9 +91,11 @@ class Queries:
     most: np.ndarray
 
 
-def search(tree: Tree, asked: Queries, k: int, same: bool) -> tuple[Best, int]:
-    """(best, rows scored): each query's k best rows within its window, of its own label (without itself) or of others."""
-    best = Best(len(asked.weights), k)
+def search(tree: Tree, asked: Queries, best: Best, same: bool) -> int:
+    """Offers ``best`` each query's best rows within its window, of its own label (without itself) or of others; returns the rows scored.
+
+    What best holds from other trees prunes this one.
+    """
     low, high = bounds(tree, asked.weights)
     inside = (high >= asked.least[:, None]) & (low <= asked.most[:, None])
     of, to = tree.nodes[:, 3], tree.nodes[:, 4]
@@ -122,4 +124,4 @@ def search(tree: Tree, asked: Queries, k: int, same: bool) -> tuple[Best, int]:
         if len(q):
             names = np.where(fits, tree.ids[begin:end], NOBODY)
             best.offer(q, np.where(fits, score, NONE), names)
-    return best, scored
+    return scored

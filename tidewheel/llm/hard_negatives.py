@@ -6,8 +6,8 @@ best rows of the same label; a negative has to score within a window below a pos
 Rows are sorted by length, label and direction over a range partitioning and cut into parts of
 bounded size, each of which becomes a ball tree (ball_tree.py) in a written table: a label
 with many rows has many trees. Anchors are broadcast a block of bounded bytes at a time, a
-stated set of queries against all rows; each tree gives its k best for each, which a window
-merges. The positives' scores then give the windows of the search for negatives, one for each
+stated set of queries against all rows; each task gives its trees' k best for each, which a
+window merges. The positives' scores then give the windows of the search for negatives, one for each
 anchor and positive score.
 
 Defined results: rows with a null id, label or vector, and those with null or non-finite
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm import ball_tree
-from tidewheel.llm.topk_search import NOBODY, code, stacked, trimmed, whole_numbers
+from tidewheel.llm.topk_search import NOBODY, Best, code, stacked, trimmed, whole_numbers
 from tidewheel.session import table
 from tidewheel.storage import cut
 
@@ -96,18 +96,19 @@ def searched(trees: DataFrame, queries: DataFrame, k: int, same: bool, sent_byte
 
         def answer(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             numbers, weights = sent.value
+            groups = [slice(begin, begin + ASKED) for begin in range(0, len(weights), ASKED)]
+            every = [Best(len(weights[some]), k) for some in groups]
             for batch in batches:
                 for row in batch.to_dict("records"):
                     tree = _tree(row)
                     own = trimmed(weights, row["width"])
-                    for begin in range(0, len(own), ASKED):
-                        some = slice(begin, begin + ASKED)
-                        asked = ball_tree.Queries(own[some], *(numbers[c][some] for c in ("row", "label", "least", "most")))
-                        best, _ = ball_tree.search(tree, asked, k, same)
-                        there = best.id != NOBODY
-                        yield pd.DataFrame({"query": np.repeat(numbers["query"][some], there.sum(1)), "id": best.id[there], "score": best.score[there]})
-
-        # One tree is a few megabytes, so trees are dealt anew by their hash to as many tasks as there are cores.
+                    for some, best in zip(groups, every, strict=True):
+                        ball_tree.search(tree, ball_tree.Queries(own[some], *(numbers[c][some] for c in ("row", "label", "least", "most"))), best, same)
+            for some, best in zip(groups, every, strict=True):
+                there = best.id != NOBODY
+                yield pd.DataFrame({"query": np.repeat(numbers["query"][some], there.sum(1)), "id": best.id[there], "score": best.score[there]})
+
+        # A task goes through its trees one after the other and keeps one list of the best of all.
         part = cut(trees.repartition("ids").mapInPandas(answer, "query long, id long, score long"), "answers")
         found = part if found is None else found.union(part)
     if found is None:
