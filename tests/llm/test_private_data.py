@@ -1,5 +1,8 @@
+import random
 import re
 import string
+import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +180,45 @@ def test_odd_rows(spark):
     assert by_id[4]["n_entities"] == 5_000 and set(by_id[4]["text"].split()) == {by_id[None]["text"]} != {"x@y.example.com"}
     assert by_id[5]["text"] == rows[-1][1] and (by_id[1]["kind"], by_id[1]["spans_"], by_id[1]["late_"]) == ("clash", "x", "y")
     assert pd_.replaced(docs.limit(0)).count() == 0
+
+
+def test_foreign_digits_are_kept_and_never_raise(spark):
+    texts = ["GB٨٢ WEST 1234 5698 7654 32", "١٢.١٢.١.١", "+٤٩ ٣٠ ١٢٣٤٥٦٧", "१२३-४५-६७८९", "٥٥٥-١٢٣-٤٥٦٧ and 555-123-4567", "४५३२०१५११२८३०३६६", "DE٨٩ 3704 0044 0532 0130 00", "a٣b@example.com", "token=abcdef٣٤٥٦", "１２３４５６７８９０"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r["doc_id"]: r for r in pd_.replaced(rows).collect()}
+    kinds = lambda t: [unicodedata.name(c).split(" ")[0] if c.isdecimal() else c if not c.isalnum() else "" for c in t]
+    for k, text in enumerate(texts):
+        assert len(made[k]["text"]) == len(text) and kinds(made[k]["text"]) == kinds(text)
+    for k in (1, 2, 3, 4, 5, 9):
+        assert made[k]["n_entities"] and made[k]["text"] != text
+    arabic, ascii_ = made[4]["text"].split(" and ")
+    assert "".join(str(unicodedata.decimal(c, c)) for c in arabic) == ascii_
+
+
+def test_digits_are_one_entity_whatever_the_kind():
+    said = "Call 555-123-4567 or (555) 123-4567; ref 5551234567."
+    docs = [said[a:b] for a, b, _ in pd_.detect(said)]
+    made = {"".join(c for c in pd_.Surrogates(pd_.KEY).of(k, pd_.canonical(k, said[a:b]), said[a:b], {}) if c.isdigit()) for a, b, k in pd_.detect(said)}
+    assert len(docs) == 3 and len(made) == 1 and made != {"5551234567"}
+
+
+def test_country_codes_stay():
+    for number in ("+49 30 1234567", "+1 (212) 555-0199", "+352 26 12 34", "+7 495 123-45-67", "+44 20 7946 0958"):
+        made = pd_.Surrogates(pd_.KEY).of("phone", pd_.canonical("phone", number), number, {})
+        code = number.split(" ")[0]
+        assert made.split(" ")[0] == code and made != number and [c.isdigit() for c in made] == [c.isdigit() for c in number]
+
+
+def test_many_entities_in_one_text():
+    text = " ".join(f"user{k}@mail{k % 977}.example.com 10.{k % 250}.{k // 250 % 250}.7" for k in range(50_000))
+    began = time.perf_counter()
+    assert len(pd_.detect(text)) == 100_000
+    assert time.perf_counter() - began < 5
+
+
+def test_overlaps_go_to_the_earlier_kind():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["555-123-4567", "a@b.com", " ", "-", "1.2.3.4", "12345", "+49", "x", "."]) for _ in range(rng.randrange(12)))
+        spans = pd_.detect(text)
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(spans, spans[1:]))

@@ -8,8 +8,11 @@ a well-known first name (the lists are short: a name without either is not found
 An entity's surrogate is a keyed function of its kind and canonical form, so an entity
 gets one surrogate everywhere, in the format of each mention: digits for digits,
 letters for letters of the same alphabet with their case, separators as they stand, valid
-check digits where the original's are valid, a first name of the same gender and script,
-and a surname spelled in the same script.
+check digits where the original's are valid, the country codes of telephone numbers and
+accounts, a first name of the same gender and script, and a surname spelled in the same
+script. Digits are an entity whatever they are taken for (the same number may stand as a
+telephone and as a plain number) and in whichever digits they are written; all but e-mail
+addresses and secrets are written in the mention's own.
 
 All but surnames go through a keyed permutation of the strings of their format that
 leaves none in place (a Feistel network, one step on, and back), so two entities never
@@ -28,7 +31,7 @@ The key is the session's ``tidewheel.surrogate.key``; without it, one that is pu
 fit for tests only.
 
 Defined results: a null text stays null with no entities; an empty or clean text stays
-as it is; very long texts are searched whole; of overlapping entities the kind first in
+as it is; very long texts are searched whole, in time proportional to their length; of overlapping entities the kind first in
 PATTERNS wins, then the earlier; an entity whose format has one string only (no letter
 or digit that could change) stays; repeated rows are replaced alike; null and shared
 doc_ids work like any other; an empty table gives an empty table; other columns are kept
@@ -58,12 +61,12 @@ SENT = 100_000
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 
 _UPPER = r"[^\W\d_a-zà-öø-ÿа-я]"
-#: Titles that go before a name, with the gender they tell.
-TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f"}
+#: Titles that go before a name, with the gender they tell, if any.
+TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sir": "m", "Don": "m", "Dr": "", "Prof": "", "Professor": "", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f"}
 #: First names that are recognised and given, by script and gender.
 FIRST = {
-    ("latin", "m"): "James John Robert Michael William David Richard Thomas Peter Paul Daniel Andrew Hans Jürgen Klaus Stefan Pierre Jean Michel Luc Carlos José Miguel Pablo".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Nancy Emma Laura Ursula Monika Petra Sabine Marie Sophie Claire Hélène Carmen Lucía Pilar Isabel".split(),
+    ("latin", "m"): "James John Robert Michael William David Richard Thomas Peter Paul Daniel Andrew Hans Jürgen Klaus Stefan Pierre Jean Michel Luc Carlos José Miguel Pablo Mark Charles George Wolfgang Jens Uwe Matthias Antoine Olivier Javier Diego Wei Ahmed Mohammed Ali".split(),
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Nancy Emma Laura Ursula Monika Petra Sabine Marie Sophie Claire Hélène Carmen Lucía Pilar Isabel Alice Anna Julia Margaret Anja Katrin Heike Camille Nathalie Elena Marta Teresa Mei Fatima Aisha".split(),
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
 }
@@ -82,7 +85,7 @@ PATTERNS = {
         r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?!\w)"
         r"|(?<![^\W_])(?i:password|passwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.!@#$%^&*-]{8,}[A-Za-z0-9])"
     ),
-    "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+    "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"),
     "phone": re.compile(
         r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
@@ -93,6 +96,10 @@ PATTERNS = {
     "number": re.compile(r"(?<!\w)\d{9,}(?!\w)"),
     "person": re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_WORD} )?{_WORD}|(?:{'|'.join(_GENDER)}) {_WORD})(?!\w)"),
 }
+#: Kinds whose entities are their digits, whichever the kind.
+DIGITS = ("phone", "ssn", "card", "number")
+#: Country codes of one and two digits; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 _DIGIT = re.compile(r"\d")
 _NAMED = re.compile(rf"(?<!\w)(?:{'|'.join([*TITLES, *_GENDER])})(?!\w)")
 
@@ -109,12 +116,13 @@ def _luhn_ok(digits: str) -> bool:
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order; earlier kinds win overlaps."""
     numeric, named = bool(_DIGIT.search(text)), bool(_NAMED.search(text))
-    taken: list[tuple[int, int, str]] = []
+    kept: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS.items():
         if not (named if kind == "person" else kind == "secret" or numeric or (kind == "email" and "@" in text)):
             continue
         if kind == "email" and "@" not in text:
             continue
+        taken = []
         for m in pattern.finditer(text):
             start, end = m.span(1) if kind == "secret" and m[1] else m.span()
             found = text[start:end]
@@ -125,18 +133,27 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             if kind == "iban" and not _iban_ok(found):
                 continue
             taken.append((start, end, kind))
-    order = {kind: k for k, kind in enumerate(PATTERNS)}
-    kept: list[tuple[int, int, str]] = []
-    for start, end, kind in sorted(taken, key=lambda t: (order[t[2]], t[0])):
-        if all(end <= s or start >= e for s, e, _ in kept):
-            kept.append((start, end, kind))
-    return sorted(kept)
+        kept = _apart(kept, taken)
+    return kept
+
+
+def _apart(kept: list[tuple[int, int, str]], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans kept so far and those found that overlap none of them, in order; both are in order and without overlaps."""
+    at, free = 0, []
+    for span in found:
+        while at < len(kept) and kept[at][1] <= span[0]:
+            at += 1
+        if at == len(kept) or span[1] <= kept[at][0]:
+            free.append(span)
+    return sorted(kept + free) if free else kept
 
 
 def canonical(kind: str, mention: str) -> str:
     """The entity that a mention names, whatever its separators, case or title."""
-    if kind in ("phone", "ssn", "card", "number"):
-        return "".join(c for c in mention if c.isdigit())
+    if kind in DIGITS:
+        return ("+" if mention[0] == "+" else "") + "".join(str(unicodedata.decimal(c)) for c in mention if c.isdecimal())
+    if kind == "ip":
+        return "".join(str(unicodedata.decimal(c, c)) for c in mention)
     if kind == "iban":
         return mention.replace(" ", "")
     if kind == "email":
@@ -246,17 +263,26 @@ def _checks(country: str, body: str) -> list[str]:
     return [f"{n:02d}" for n in range(100) if _iban_ok(f"{country}{n:02d}{body}")]
 
 
+def _digits(entity: str, attempt: int, key: bytes) -> str:
+    """Other digits, by the digits alone: behind a plus the country's code stays, and of card numbers the last is as far from the valid one as before."""
+    if entity[0] == "+":
+        code = next((c for c in CODES if entity.startswith(c, 1)), entity[1:4])
+        return f"+{code}" + exchanged(_slots("digits", entity[1 + len(code) :]), key, "digits", code, attempt)
+    if not 13 <= len(entity) <= 19:
+        return exchanged(_slots("digits", entity), key, "digits", attempt)
+    body, last = entity[:-1], entity[-1]
+    made = exchanged(_slots("digits", body), key, "card", attempt)
+    return made + str((int(last) - _check_digit(body) + _check_digit(made)) % 10)
+
+
 def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The canonical surrogate of a canonical entity; of a part of a name for the kind ``name``."""
     if kind == "name":
         script = "cyrillic" if re.search("[Ѐ-ӿ]", entity) else "latin"
         stream = _bytes(key, kind, entity, attempt)
         return "".join(SYLLABLES[script][next(stream) % len(SYLLABLES[script])] for _ in range(3 + attempt)).capitalize()
-    if kind == "card":  # the last digit is as far from the valid one as before
-        body, last = entity[:-1], entity[-1]
-        made = exchanged(_slots(kind, body), key, kind, attempt)
-        digit = (int(last) - _check_digit(body) + _check_digit(made)) % 10
-        return made + _char(last)[0][digit]
+    if kind in DIGITS or kind == "digits":
+        return _digits(entity, attempt, key)
     if kind == "iban":
         country, check, body = entity[:2], entity[2:4], entity[4:]
         made = exchanged(_slots(kind, body), key, kind, country, attempt)
@@ -266,9 +292,9 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
 
 
 def parts(kind: str, entity: str) -> list[tuple[str, str]]:
-    """The (kind, entity) that have surrogates of their own: of a person, all words but a known first name."""
+    """The (kind, entity) that have surrogates of their own: of a person, all words but a known first name; digits, whatever they are of."""
     if kind != "person":
-        return [(kind, entity)]
+        return [("digits" if kind in DIGITS else kind, entity)]
     words = entity.split(" ")
     return [("name", w) for w in (words[1:] if len(words) > 1 and words[0] in _GENDER else words)]
 
@@ -278,14 +304,19 @@ def _first_name(name: str, key: bytes) -> str:
     return pool[moved(pool.index(name), len(pool), 1, key, "first", *_GENDER[name])]
 
 
+def _like(made: str, c: str) -> str:
+    """A character, as a digit of the script of c if that is a digit."""
+    return chr(ord(c) - unicodedata.decimal(c) + int(made)) if c.isdecimal() and made.isdecimal() else made
+
+
 def rendered(kind: str, mention: str, made: str) -> str:
     """A canonical surrogate in the format of a mention."""
     if kind == "person":
         title = mention.split(" ")[0]
         return f"{title} {made}" if title.rstrip(".") in TITLES else made
-    if kind in ("phone", "ssn", "card", "number", "iban"):
-        chars = iter(made)
-        return "".join(next(chars) if c.isalnum() else c for c in mention)
+    if kind in DIGITS or kind in ("iban", "ip"):
+        chars = iter(made.lstrip("+").replace(".", ""))
+        return "".join(_like(next(chars), c) if c.isalnum() else c for c in mention)
     if len(made) != len(mention):  # lower-casing lengthened it
         return made
     return "".join(m.upper() if c.isupper() else m for c, m in zip(mention, made, strict=True))
@@ -371,7 +402,7 @@ class Surrogates:
 
     def of(self, kind: str, entity: str, mention: str, late: dict[tuple[str, str], int]) -> str:
         if kind != "person":
-            return rendered(kind, mention, self._part(kind, entity, late))
+            return rendered(kind, mention, self._part(*parts(kind, entity)[0], late))
         words = entity.split(" ")
         first = [_first_name(words[0], self.key)] if len(words) > 1 and words[0] in _GENDER else []
         return rendered(kind, mention, " ".join([*first, *(self._part(k, w, late) for k, w in parts(kind, entity))]))
