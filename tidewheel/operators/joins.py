@@ -20,15 +20,39 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int) -> Dat
 
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, begin: str, end: str, width: int, on: list[str] | None = None) -> DataFrame:
-    """Pairs of points and spans with begin <= at < end, as an equi-join on buckets of time.
-
-    Every span is repeated to the buckets of ``width`` seconds it touches, so a point meets
-    only spans near it, never all. Times are timestamps without zone.
+    """Pairs of points and spans with begin <= at < end, as an equi-join on blocks of time.
+
+    Time is cut into buckets of ``width`` seconds, and those into blocks of 1, 2, 4 ... of
+    them. A span of any length is covered by at most two blocks of each size, and a point asks
+    for its block of every size that some span uses: rows are repeated as often as there are
+    sizes, whatever the spans' lengths, and a point meets a span at one block only. Times are
+    timestamps without zone. Null times, empty spans and spans that end before they begin meet
+    nothing; null values of ``on`` meet nothing.
     """
-    bucket = lambda c: F.floor(_seconds(c) / width)
-    spread = spans.withColumn("bucket_", F.explode(F.sequence(bucket(F.col(begin)), bucket(F.col(end)))))
-    met = points.withColumn("bucket_", bucket(F.col(at))).join(spread, [*(on or []), "bucket_"])
-    return met.where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("bucket_")
+    bucket = lambda c: F.floor(_seconds(F.col(c)) / width)
+    covered = spans.where(F.col(begin) < F.col(end)).withColumns({"lo_": bucket(begin), "hi_": bucket(end)})
+    covered = covered.withColumn("block_", F.explode(_cover(F.col("lo_"), F.col("hi_")))).drop("lo_", "hi_")
+    sizes = [r[0] for r in covered.select("block_.size").distinct().collect()]  # SIZES at most
+    asked = F.array(*[F.struct(F.lit(k).alias("size"), F.shiftright(bucket(at), k).alias("block")) for k in sizes])
+    met = points.withColumn("block_", F.explode(asked if sizes else F.array().cast("array<struct<size:int,block:bigint>>"))).join(covered, [*(on or []), "block_"])
+    return met.where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("block_")
+
+
+#: Sizes of blocks, powers of two: the largest is longer than all time in buckets of a second.
+SIZES = 52
+
+
+def _cover(lo: Column, hi: Column) -> Column:
+    """Blocks (size, block) that cover the buckets lo to hi, each once: of every size those whose double is not covered."""
+    right = lambda c, k: F.call_function("shiftright", c, k)
+
+    def of_size(k: Column) -> Column:
+        first = right(lo + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        last = right(hi + 1, k) - 1
+        block = lambda b: F.struct(k.alias("size"), b.alias("block"))
+        return F.array(F.when((first <= last) & (first % 2 != 0), block(first)), F.when((first <= last) & (last % 2 == 0), block(last)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIZES - 1)), of_size)))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, order: str, values: list[str], width: int) -> DataFrame:
@@ -38,7 +62,14 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, order: str,
     window carries the latest right row forward; what a bucket starts with comes from the
     buckets' own last rows. No pair is formed, and a key with very many rows is spread over
     its buckets. order breaks ties between right rows of one time.
+
+    Left rows with a null key or time find nothing and stay, with null values; right ones
+    are found by none.
     """
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    kinds = {f.name: f.dataType for f in right.schema}
+    apart = left.where(~known).select("*", *[F.lit(None).cast(kinds[v]).alias(v) for v in values])
+    left, right = left.where(known), right.where(known)
     told = F.struct(F.col(at).alias("at_"), F.col(order).alias("order_"), *values)
     empty = F.lit(None).cast(right.select(told.alias("t")).schema["t"].dataType)
     rows = left.select(key, F.col(at).alias("t_"), F.lit(1).alias("side_"), F.struct(*left.columns).alias("row_"), empty.alias("told_"))
@@ -50,7 +81,54 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, order: str,
     ends = ends.select(key, "bucket_", F.last("end_", ignorenulls=True).over(before).alias("carried_"))
     filled = both.withColumn("found_", F.last("told_", ignorenulls=True).over(inside)).join(ends, [key, "bucket_"])
     found = F.coalesce("found_", "carried_")
-    return filled.where("side_ = 1").select("row_.*", *[found[v].alias(v) for v in values])
+    return filled.where("side_ = 1").select("row_.*", *[found[v].alias(v) for v in values]).unionByName(apart)
+
+
+def _bucket(c: Column, edges: list[float]) -> Column:
+    """The number of edges at or below a double, of 2 ** n - 1 ascending ones, by halving."""
+    held = F.lit(edges)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((len(edges) + 1).bit_length() - 1))])
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.element_at(held, found + step) <= c, found + step).otherwise(found))
+
+
+def inequality_join(left: DataFrame, right: DataFrame, less: tuple[str, str], more: tuple[str, str], levels: int = 8) -> DataFrame:
+    """Pairs of rows with left.less[0] < right.less[1] and left.more[0] > right.more[1], without a nested loop.
+
+    Each of the two comparisons is cut into 2 ** levels ranges of about equal numbers of rows.
+    Of two rows in different ranges one is in the lower and one in the upper half of exactly
+    one range of ranges, so each row stands in one such place a level, on the side its value
+    allows, and pairs meet by equality of places: all of them are results, except those of
+    rows in one and the same range, which are compared. A row is repeated (levels / 2 + 1) ** 2
+    times on average, whatever it meets, and work beyond that goes with the result.
+
+    Columns must differ in name; they are numbers or timestamps without zone. Nulls and NaN
+    meet nothing; equal values are neither less nor more.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]}
+    number = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c)).cast("double")
+    sides = [(left, less[0], more[0]), (right, less[1], more[1])]
+    valid = []
+    for df, a, b in sides:
+        there = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"a_": number(a), "b_": -number(b)})
+        valid.append(there.where(~F.isnan("a_") & ~F.isnan("b_")))
+    shares = [k / (1 << levels) for k in range(1, 1 << levels)]
+    both = valid[0].select("a_", "b_").union(valid[1].select("a_", "b_"))
+    edges = both.agg(*[F.percentile_approx(c, shares, 100 << levels).alias(c) for c in ("a_", "b_")]).first()
+
+    def places(c: str, bit: int) -> Column:
+        if not edges[c]:  # no rows
+            return F.array(F.lit(0).cast("long"))
+        bucket = F.col(f"{c}bucket")
+        level = lambda k: F.when(F.shiftright(bucket, k).bitwiseAND(F.lit(1)) == bit, F.lit(k + 1).cast("long") * (1 << 32) + F.shiftright(bucket, k + 1))
+        return F.array_compact(F.array(bucket.cast("long"), *[level(k) for k in range(levels)]))
+
+    placed = []
+    for bit, df in enumerate(valid):
+        df = df.withColumns({f"{c}bucket": _bucket(F.col(c), edges[c] or [0.0]) for c in ("a_", "b_")})
+        df = df.withColumn("x_", F.explode(places("a_", bit))).withColumn("y_", F.explode(places("b_", bit)))
+        placed.append(df.drop("a_", "b_", "a_bucket", "b_bucket"))
+    met = placed[0].join(placed[1], ["x_", "y_"]).where((F.col(less[0]) < F.col(less[1])) & (F.col(more[0]) > F.col(more[1])))
+    return met.select(*left.columns, *right.columns)
 
 
 def _seconds(c: Column) -> Column:
@@ -121,20 +199,28 @@ def interval_totals(points: DataFrame, spans: DataFrame, at: str, value: str, ke
 
     No pair is formed: a span's totals are those up to its end less those up to its begin.
     Points and both ends of spans are ordered within buckets of ``width`` seconds, and what
-    went before a bucket comes from a running sum over buckets, a row each.
+    went before a bucket comes from a running sum over buckets, a row each. Values are summed
+    as decimals of 12 places, so nothing is lost in differences.
+
+    Points with a null time are in no span, spans with a null end have no points. A value that
+    is null, not finite or beyond 1e25 counts as a point and adds nothing.
     """
-    rows = points.select(F.col(at).alias("t_"), F.lit(1).alias("side_"), F.col(value).alias("v_"), F.lit(None).cast(spans.schema[key].dataType).alias(key))
+    exact = F.col(value).cast("double").try_cast("decimal(38,12)")
+    points = points.where(F.col(at).isNotNull())
+    spans = spans.where(F.col(begin) < F.col(end))
+    rows = points.select(F.col(at).alias("t_"), F.lit(1).alias("side_"), exact.alias("v_"), F.lit(None).cast(spans.schema[key].dataType).alias(key))
     for sign, edge in ((-1, begin), (1, end)):  # an end of a span goes before points of its time
-        rows = rows.unionByName(spans.select(F.col(edge).alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast("double").alias("v_"), key).withColumn("sign_", F.lit(sign)), allowMissingColumns=True)
+        rows = rows.unionByName(spans.select(F.col(edge).alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast("decimal(38,12)").alias("v_"), key).withColumn("sign_", F.lit(sign)), allowMissingColumns=True)
     rows = rows.withColumn("bucket_", F.floor(_seconds(F.col("t_")) / width))
     before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.where("side_ = 1").groupBy("bucket_").agg(F.count(F.lit(1)).alias("n_"), F.sum("v_").alias("s_"))
     sums = rows.select("bucket_").distinct().join(sums, "bucket_", "left").select("bucket_", F.sum("n_").over(before).alias("n0_"), F.sum("s_").over(before).alias("s0_"))
     inside = Window.partitionBy("bucket_").orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
-    running = rows.withColumns({"n_": F.count("v_").over(inside), "s_": F.sum("v_").over(inside)}).where("side_ = 0").join(sums, "bucket_")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    running = rows.withColumns({"n_": F.sum("side_").over(inside), "s_": F.sum("v_").over(inside)}).where("side_ = 0").join(sums, "bucket_")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,12)"))
     n, total = F.col("n_") + F.coalesce("n0_", F.lit(0)), zero(F.col("s_")) + zero(F.col("s0_"))
-    return running.groupBy(key).agg(F.sum(n * F.col("sign_")).alias("n"), F.sum(total * F.col("sign_")).alias("total")).where("n > 0")
+    found = running.groupBy(key).agg(F.sum(n * F.col("sign_")).alias("n"), F.sum(F.when(F.col("sign_") > 0, total).otherwise(-total)).cast("double").alias("total"))
+    return found.where("n > 0")
 
 
 def orders_in_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +239,24 @@ def clicks_before_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_join(points, spans, "ts", "begin", "end", 1800, ["user_id"]).select("user_id", "click_id", "event_id")
 
 
+def lines_by_order_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with the order of the same customer during whose time, up to the customer's next order, it was shipped: spans of days to years."""
+    orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    next_ = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate"))
+    spans = orders.groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("during")).select("o_custkey", "during", F.col("o_orderdate").alias("begin"), next_.alias("end"))
+    shipped = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    found = interval_join(shipped, spans, "l_shipdate", "begin", "end", 86400, ["o_custkey"])
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "during")
+
+
+def dearer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dearer than a whole order that came at least six years after they were shipped: a join on two inequalities of two large sides."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.expr("l_shipdate + INTERVAL 6 YEARS").alias("later"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    met = inequality_join(line, orders, ("later", "o_orderdate"), ("l_extendedprice", "o_totalprice"))
+    return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_extendedprice").alias("dearest"), F.min("l_orderkey").alias("first_order"))
+
+
 def shuffled_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join of two large sides where the smaller one's partitions fit in memory: no sort."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
@@ -231,7 +335,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         revenue_by_nation, orders_per_customer, orders_with_returns, orders_without_lines, full_outer, null_safe, hot_key_join,
-        orders_in_campaigns, clicks_before_purchases, shuffled_hash, right_join, theta_join, last_view_before_purchase, lateral_top, above_average, not_in, same_day_pairs,
+        orders_in_campaigns, clicks_before_purchases, lines_by_order_span, dearer_lines, shuffled_hash, right_join, theta_join, last_view_before_purchase, lateral_top, above_average, not_in, same_day_pairs,
     )
 }
 ORACLE_SQL = {
@@ -268,6 +372,13 @@ ORACLE_SQL = {
         SELECT p.user_id, c.event_id AS click_id, p.event_id FROM events c JOIN events p
         ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts < c.ts + INTERVAL 30 MINUTE
         WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
+    "lines_by_order_span": """
+        WITH s AS (SELECT o_custkey, min(o_orderkey) AS during, o_orderdate AS a, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS b FROM orders GROUP BY o_custkey, o_orderdate)
+        SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, during FROM lineitem JOIN orders o ON l_orderkey = o_orderkey
+        JOIN s ON s.o_custkey = o.o_custkey AND l_shipdate >= a AND l_shipdate < b""",
+    "dearer_lines": """
+        SELECT o_orderkey, count(*) AS n_lines, max(l_extendedprice) AS dearest, min(l_orderkey) AS first_order
+        FROM lineitem JOIN orders ON l_shipdate + INTERVAL 6 YEAR < o_orderdate AND l_extendedprice > o_totalprice GROUP BY o_orderkey""",
     "shuffled_hash": """
         SELECT o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
     "right_join": """

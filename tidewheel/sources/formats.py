@@ -1,13 +1,11 @@
-"""Formats and layouts: written to the shared folder and read back, or generated by a source of our own."""
+"""Formats and layouts: written to the shared folder and read back."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tidewheel.session import table
 from tidewheel.storage import shared_folder
@@ -76,64 +74,6 @@ def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-class Squares(DataSource):
-    """Numbers and their squares, a range of them in each partition. Options: rows, partitions."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "squares"
-
-    def schema(self) -> str:
-        return "n bigint, square bigint"
-
-    def reader(self, schema) -> DataSourceReader:
-        return SquaresReader(int(self.options.get("rows", "100")), int(self.options.get("partitions", "4")))
-
-
-class Span(InputPartition):
-    def __init__(self, first: int, end: int):
-        self.first, self.end = first, end
-
-
-class SquaresReader(DataSourceReader):
-    def __init__(self, rows: int, partitions: int):
-        self.rows, self.parts = rows, partitions
-
-    def partitions(self) -> list[InputPartition]:
-        return [Span(self.rows * k // self.parts, self.rows * (k + 1) // self.parts) for k in range(self.parts)]
-
-    def read(self, partition: Span) -> Iterator[tuple[int, int]]:
-        return ((n, n * n) for n in range(partition.first, partition.end))
-
-
-class Discard(DataSource):
-    """A sink that keeps nothing and fails a task whose rows are fewer than the option ``least``: for checks of writers."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "discard"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return DiscardWriter(int(self.options.get("least", "0")))
-
-
-class DiscardWriter(DataSourceWriter):
-    def __init__(self, least: int):
-        self.least = least
-
-    def write(self, iterator) -> WriterCommitMessage:
-        n = sum(1 for _ in iterator)
-        if n < self.least:
-            raise ValueError(f"{n} rows; at least {self.least} are wanted")
-        return WriterCommitMessage()
-
-
-def custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source written in Python, read in parallel."""
-    spark.dataSource.register(Squares)
-    return spark.read.format("squares").option("rows", 1000).option("partitions", 8).load().where("n % 3 = 0")
-
-
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested columns in a file, of which a query reads one field."""
     conv = table(spark, sf_dir, "conversations")
@@ -142,7 +82,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("conv_id", F.size("turns").cast("long").alias("n"), F.array_join("turns.role", ",").alias("roles"))
 
 
-QUERIES = {f"source_{f.__name__}": f for f in (parquet, orc, json, csv, xml, text, partitioned, bucketed, custom, nested)}
+QUERIES = {f"source_{f.__name__}": f for f in (parquet, orc, json, csv, xml, text, partitioned, bucketed, nested)}
 _CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"
 ORACLE_SQL = {f"source_{k}": _CUSTOMERS for k in ("parquet", "orc", "json", "csv", "xml")} | {
     "source_text": """
@@ -152,7 +92,6 @@ ORACLE_SQL = {f"source_{k}": _CUSTOMERS for k in ("parquet", "orc", "json", "csv
         WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""",
     "source_bucketed": """
         SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
-    "source_custom": "SELECT n, n * n AS square FROM range(1000) t(n) WHERE n % 3 = 0",
     "source_nested": """
         SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1""",
 }

@@ -13,12 +13,12 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidewheel.session import table
+from tidewheel.sources import committed
 from tidewheel.storage import shared_folder
 
 
@@ -41,18 +41,21 @@ def run_to_files(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
-def run_by_batch(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+def run_by_batch(stream: DataFrame, keys: list[str], mode: str = "update", place: str | None = None, once: bool = False) -> DataFrame:
     """The latest row of each key that an updating stream has given, by foreachBatch.
 
     Every batch is a folder named by its number, so a batch that runs again replaces itself.
+    A run goes on where the last one of the same place stopped. once: by a single batch, for
+    state that expires by the clock, for whose sake a stream would never be done.
     """
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    place = place or f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    trigger = {"once": True} if once else {"availableNow": True}
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch_", F.lit(number)).write.mode("overwrite").parquet(f"{place}/rows/part={number}")
 
-    query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(**trigger).start()
     query.awaitTermination()
     rows = spark.read.schema(StructType([*stream.schema, StructField("batch_", IntegerType())])).parquet(f"{place}/rows")
     values = [c for c in stream.columns if c not in keys]
@@ -241,69 +244,89 @@ def reminded(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run_to_files(found)
 
 
-class Ticks(DataSource):
-    """A stream of numbers from 0, some at a time. Options: rows (in all), step (a batch)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "ticks"
-
-    def schema(self) -> str:
-        return "n bigint"
+def follow(stream: DataFrame, place: str) -> DataFrame:
+    """Appends what a stream has new to ``place`` by a run that ends there; the next run of the same place goes on. All rows so far."""
+    spark = stream.sparkSession
 
-    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  Spark's name
-        return TicksReader(int(self.options.get("rows", "100")), int(self.options.get("step", "40")))
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
 
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{place}/state").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
-class Stretch(InputPartition):
-    def __init__(self, first: int, end: int):
-        self.first, self.end = first, end
 
+def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream by a source in Python that follows a table's commits: events, committed in two parts, each read by a run of its own."""
+    committed.register(spark)
+    path, place = committed.new_place(spark, "events"), committed.new_place(spark, "followed")
+    events = table(spark, sf_dir, "events")
+    middle = F.col("event_type").isin("click", "view")
+    for part in (events.where(middle), events.where(~middle)):
+        part.write.format("committed").option("path", path).mode("append").save()
+        rows = follow(spark.readStream.format("committed").option("path", path).load(), place)
+    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+
+
+def unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined with the left one kept: clicks with their purchases within an hour, or without any once the watermark has passed that hour."""
+    clicks = event_stream(spark, sf_dir).where("event_type = 'click'").select(F.col("user_id").alias("u"), F.col("event_id").alias("click_id"), F.col("ts").alias("clicked")).withWatermark("clicked", "10 minutes")
+    bought = event_stream(spark, sf_dir).where("event_type = 'purchase'").select("user_id", "event_id", "ts").withWatermark("ts", "10 minutes")
+    soon = F.expr("user_id = u AND ts >= clicked AND ts <= clicked + INTERVAL 1 HOUR")
+    return run_to_files(clicks.join(bought, soon, "left_outer").select("click_id", F.col("event_id").alias("purchase_id")))
 
-class TicksReader(DataSourceStreamReader):
-    """Offsets are the numbers given so far; a stretch reads the same again after a failure."""
 
-    def __init__(self, rows: int, step: int):
-        self.rows, self.step, self.at = rows, step, 0
+class LastPurchases(StatefulProcessor):
+    """The last KEPT purchases of a user as a list, and their number and sum by day as a map, both of which expire."""
 
-    def initialOffset(self) -> dict:  # noqa: N802  Spark's name
-        return {"n": 0}
+    KEPT = 3
 
-    def latestOffset(self) -> dict:  # noqa: N802  Spark's name
-        self.at = min(self.at + self.step, self.rows)
-        return {"n": self.at}
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        middle = (start["n"] + end["n"]) // 2
-        return [Stretch(start["n"], middle), Stretch(middle, end["n"])]
+    def init(self, handle) -> None:
+        self.last = handle.getListState("last", "ts long, event_id long, value double", self.ttl_ms)
+        self.days = handle.getMapState("days", "day int", "n long, top double", self.ttl_ms)
 
-    def read(self, partition: Stretch) -> Iterator[tuple[int]]:
-        return ((n,) for n in range(partition.first, partition.end))
+    def handleInputRows(self, key, rows, timers):  # noqa: N802  Spark's name
+        held = [tuple(r) for r in self.last.get()] if self.last.exists() else []
+        days: dict[int, tuple[int, float]] = {}
+        for batch in rows:
+            held = sorted(held + list(zip(batch["at"].tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True)))[-self.KEPT :]
+            for day, values in batch.groupby("day")["value"]:
+                n, top = days.get(int(day), (0, float("-inf")))
+                days[int(day)] = n + len(values), max(top, float(values.max()))
+        self.last.put(held)
+        for day, (n, top) in days.items():
+            old = self.days.getValue((day,)) if self.days.containsKey((day,)) else (0, float("-inf"))
+            self.days.updateValue((day,), (old[0] + n, max(old[1], top)))
+        every = [(k[0], *v) for k, v in self.days.iterator()]
+        busiest = max(every, key=lambda d: (d[1], -d[0]))
+        yield pd.DataFrame({"user_id": [key[0]], "last": [[e for _, e, _ in reversed(held)]], "total": [float(sum(v for *_, v in held))], "days": [len(every)], "busiest": [busiest[0]], "most": [busiest[1]]})
 
-    def commit(self, end: dict) -> None:
+    def close(self) -> None:
         pass
 
 
-def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream source of our own: numbers by their last digit, when all have come."""
-    spark.dataSource.register(Ticks)
-    stream = spark.readStream.format("ticks").option("rows", 95).option("step", 40).load()
-    counts = stream.groupBy((F.col("n") % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-    place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/ticks-{uuid.uuid4().hex}"
+def purchases_kept(events: DataFrame, ttl_ms: int | None, place: str | None = None) -> DataFrame:
+    """What LastPurchases keeps of each user's purchases in a stream of events, after a run of one batch."""
+    bought = events.where("event_type = 'purchase'").select("user_id", F.unix_micros("ts").alias("at"), "event_id", "value", F.dayofmonth("ts").alias("day"))
+    shape = "user_id long, last array<long>, total double, days int, busiest int, most long"
+    found = bought.groupBy("user_id").transformWithStateInPandas(LastPurchases(ttl_ms), shape, "Update", "ProcessingTime" if ttl_ms else "None")
+    return run_by_batch(found, ["user_id"], place=place, once=True)
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
 
-    query = counts.writeStream.foreachBatch(save).outputMode("complete").option("checkpointLocation", f"{place}/state").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    rows = spark.read.schema("digit long, n long, batch int").parquet(f"{place}/rows")
-    return rows.groupBy("digit").agg(F.max_by("n", "batch").alias("n"))
+def last_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last three purchases, and the day of the month with most, from list and map state that a day without use would clear."""
+    with _rocks_db(spark):
+        rows = purchases_kept(event_stream(spark, sf_dir), 86_400_000)
+    return rows.select("user_id", F.array_join("last", ",").alias("last"), F.round("total", 4).alias("total"), "days", "busiest", "most")
 
 
-QUERIES = {f"stream_{f.__name__}": f for f in (tumbling, hopping, sessions, deduplicated, enriched, paired, stateful, timed_out, running, late_dropped, transformed, reminded, custom_source)}
+QUERIES = {f"stream_{f.__name__}": f for f in (tumbling, hopping, sessions, deduplicated, enriched, paired, stateful, timed_out, running, late_dropped, transformed, reminded, custom_source, unpaired, last_purchases)}
 ORACLE_SQL = {
     "stream_tumbling": """
         SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2
@@ -319,7 +342,21 @@ ORACLE_SQL = {
         WITH p AS (SELECT user_id, epoch_us(ts) // 1000 + 86400000 AS due FROM events WHERE event_type = 'purchase')
         SELECT user_id, due, any_value(k) AS n FROM p JOIN (SELECT user_id, count(*) AS k FROM p GROUP BY 1) USING (user_id)
         WHERE due <= (SELECT max(due) - 86400000 - 60000 FROM p) GROUP BY 1, 2""",
-    "stream_custom_source": "SELECT n % 10 AS digit, count(*) AS n FROM range(95) t(n) GROUP BY 1",
+    "stream_custom_source": "SELECT user_id, event_type, count(*) AS n, max(ts) AS last FROM events GROUP BY ALL",
+    "stream_unpaired": """
+        WITH w AS (
+            SELECT least(max(ts) FILTER (WHERE event_type = 'click'), max(ts) FILTER (WHERE event_type = 'purchase')) AS seen FROM events)
+        SELECT c.event_id AS click_id, p.event_id AS purchase_id
+        FROM (SELECT * FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
+        ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 HOUR
+        WHERE p.event_id IS NOT NULL OR make_timestamp(epoch_us(c.ts) // 1000 * 1000) + INTERVAL 1 HOUR < (SELECT make_timestamp(epoch_us(seen) // 1000 * 1000) - INTERVAL 10 MINUTE FROM w)""",
+    "stream_last_purchases": """
+        WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, CAST(day(ts) AS INTEGER) AS day FROM events WHERE event_type = 'purchase'),
+        d AS (SELECT user_id, day, count(*) AS n FROM p GROUP BY ALL),
+        b AS (SELECT user_id, CAST(count(*) AS INTEGER) AS days, arg_min(day, struct_pack(a := -n, b := day)) AS busiest, max(n) AS most FROM d GROUP BY user_id)
+        SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) FILTER (r <= 3) AS last, round(sum(value) FILTER (r <= 3), 4) AS total,
+               any_value(days) AS days, any_value(busiest) AS busiest, any_value(most) AS most
+        FROM p JOIN b USING (user_id) GROUP BY user_id""",
     "stream_sessions": """
         WITH m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS start FROM events
                    WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
