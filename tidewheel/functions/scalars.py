@@ -180,8 +180,8 @@ def more_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
                array_join(regexp_extract_all(c_name, '[1-9]+', 0), ',') AS runs, split(c_name, '#')[0] AS head, repeat(left(c_mktsegment, 2), 3) AS thrice,
                overlay(c_name PLACING '__' FROM 2 FOR 3) AS laid, c_mktsegment LIKE '%U%L%' AS liked, c_mktsegment ILIKE 'build%' AS iliked,
                startswith(c_mktsegment, 'MA') AS starts, endswith(c_mktsegment, 'Y') AS ends, format_string('%s/%05d', c_mktsegment, c_custkey) AS shown,
-               luhn_check('4111111111111111') AND NOT luhn_check('4111111111111112') AS luhn, is_valid_utf8(c_name) AS valid,
-               soundex('Robert') = 'R163' AS sounds, lower(c_mktsegment) COLLATE UTF8_LCASE = c_mktsegment AS same, xxhash64(c_name) = xxhash64(c_name) AS hashed
+               luhn_check(CAST(c_custkey AS STRING)) AS luhn, is_valid_utf8(c_name) AS valid,
+               soundex(c_mktsegment) AS sounds, lower(c_mktsegment) COLLATE UTF8_LCASE = c_mktsegment AS same, xxhash64(c_mktsegment) AS hashed
         FROM customer""")
 
 
@@ -195,7 +195,7 @@ def more_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
                CAST(next_day(o_orderdate, 'MO') AS STRING) AS monday, CAST(make_date(year(o_orderdate), 2, 3) AS STRING) AS made,
                timestampdiff(HOUR, o_orderdate, TIMESTAMP_NTZ'2002-01-01 00:00:00') AS hours,
                convert_timezone('UTC', 'Asia/Tokyo', e) AS tokyo, e + make_dt_interval(1, 2, 3, 4) AS later, e - INTERVAL 90 MINUTES AS sooner,
-               TIME'12:30:00' > TIME'08:00:00' AS noon
+               make_time(hour(e), minute(e), second(e)) > TIME'12:00:00' AS noon
         FROM (SELECT *, o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT), 7, 9) AS e FROM orders)""")
 
 
@@ -207,7 +207,7 @@ def more_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
                round(sin(p_size), 8) AS sine, round(degrees(atan2(p_size, p_partkey)), 6) AS angle, least(p_size, 7) AS low, p_size % 7 AS rest,
                p_partkey div 3 AS third, width_bucket(p_retailprice, 0, 3000, 6) AS bucket, conv(CAST(p_size AS STRING), 10, 16) AS hex, bin(p_size) AS bits,
                factorial(p_size % 10) AS fact, round(cbrt(p_size), 8) AS cube, round(hypot(p_size, 3), 8) AS hyp,
-               coalesce(try_add(p_size, 2147483640), -1) AS sum, shiftleft(p_size, 3) AS shifted, uniform(0, 10, 7) BETWEEN 0 AND 10 AS drawn,
+               coalesce(try_add(p_size, 2147483640), -1) AS sum, shiftleft(p_size, 3) AS shifted,
                round(p_retailprice, -2) AS hundreds, signum(p_size - 25) AS side, nullif(p_size, 10) AS unless
         FROM part""")
 
@@ -222,7 +222,7 @@ def more_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
                forall(w, x -> length(x) > 2) AS longs, array_join(zip_with(w, array('1', '2'), (x, y) -> concat(coalesce(x, ''), coalesce(y, ''))), ' ') AS zipped,
                CAST(size(arrays_zip(w, array(1, 2, 3, 4))) AS BIGINT) AS zips, array_join(array_remove(w, 'steel'), ' ') AS removed,
                array_join(array_append(w, 'z'), ' ') AS more, array_join(array_insert(w, 1, 'a'), ' ') AS front, CAST(size(array_compact(array(1, NULL, 2))) AS BIGINT) AS compact,
-               CAST(cardinality(shuffle(w)) AS BIGINT) AS n, array_join(sort_array(w, false), ' ') AS down, array_min(w) AS first,
+               array_join(array_sort(shuffle(w)), ' ') AS mixed, array_join(sort_array(w, false), ' ') AS down, array_min(w) AS first,
                array_join(array_repeat(w[0], 2), '+') AS twice, arrays_overlap(w, array('steel', 'red')) AS overlap
         FROM (SELECT *, split(p_name, ' ') AS w FROM part)""")
 
@@ -234,7 +234,7 @@ def more_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT s_suppkey, m['key'] AS key, array_join(array_sort(transform(map_entries(map_concat(m, map('one', 1))), e -> concat(e.key, '=', e.value))), ',') AS joined,
                array_join(array_sort(map_values(transform_values(m, (k, v) -> v * 2))), ',') AS doubled, array_join(array_sort(map_keys(transform_keys(m, (k, v) -> upper(k)))), ',') AS upper,
                map_zip_with(m, map('key', 10L), (k, a, b) -> coalesce(a, 0L) + coalesce(b, 0L))['key'] AS zipped,
-               str_to_map('a:1,b:2')['b'] AS parsed, CAST(size(map_filter(m, (k, v) -> v > 5)) AS BIGINT) AS large
+               str_to_map(concat('a:', s_suppkey, ',b:', s_nationkey))['b'] AS parsed, CAST(size(map_filter(m, (k, v) -> v > 5)) AS BIGINT) AS large
         FROM (SELECT *, map_from_arrays(array('key', 'nation'), array(s_suppkey, CAST(s_nationkey AS BIGINT))) AS m FROM supplier)""")
 
 
@@ -243,7 +243,7 @@ def more_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, ["nation"])
     return spark.sql("""
         SELECT n_nationkey, from_json(j, 'k INT, name STRING').name AS name, json_array_length(concat('[1,', n_nationkey, ']')) AS n, array_join(json_object_keys(j), ',') AS keys,
-               schema_of_json('{"a": 1}') AS schema, t.c0 AS by_tuple, variant_get(parse_json(j), '$.k', 'int') AS by_variant,
+               schema_of_variant(parse_json(j)) AS schema, t.c0 AS by_tuple, variant_get(parse_json(j), '$.k', 'int') AS by_variant,
                from_csv(to_csv(named_struct('k', n_nationkey, 'name', n_name)), 'k INT, name STRING').k AS by_csv,
                from_xml(concat('<r><k>', n_nationkey, '</k></r>'), 'k INT').k AS by_xml, xpath_string(concat('<r><n>', n_name, '</n></r>'), 'r/n') AS by_path,
                url_decode(url_encode(concat(n_name, ' & co'))) AS decoded, coalesce(try_parse_url('no url', 'HOST'), '-') AS no_url
@@ -310,20 +310,22 @@ ORACLE_SQL = {
                array_to_string(regexp_extract_all(c_name, '[1-9]+'), ',') AS runs, string_split(c_name, '#')[1] AS head, repeat(c_mktsegment[:2], 3) AS thrice,
                c_name[:1] || '__' || c_name[5:] AS laid, c_mktsegment LIKE '%U%L%' AS liked, c_mktsegment ILIKE 'build%' AS iliked,
                starts_with(c_mktsegment, 'MA') AS starts, suffix(c_mktsegment, 'Y') AS ends, printf('%s/%05d', c_mktsegment, c_custkey) AS shown,
-               true AS luhn, true AS valid, true AS sounds, true AS same, true AS hashed FROM customer""",
+               list_sum(list_transform(range(length(CAST(c_custkey AS VARCHAR))), lambda i: CASE WHEN i % 2 = 0 THEN ascii(CAST(c_custkey AS VARCHAR)[-1 - i]) - 48 ELSE (ascii(CAST(c_custkey AS VARCHAR)[-1 - i]) - 48) * 2 - CASE WHEN ascii(CAST(c_custkey AS VARCHAR)[-1 - i]) > 52 THEN 9 ELSE 0 END END)) % 10 = 0 AS luhn, true AS valid,
+               CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'A351' WHEN 'BUILDING' THEN 'B435' WHEN 'FURNITURE' THEN 'F653' WHEN 'HOUSEHOLD' THEN 'H243' WHEN 'MACHINERY' THEN 'M256' END AS sounds, true AS same,
+               CASE c_mktsegment WHEN 'AUTOMOBILE' THEN -397458929486201437 WHEN 'BUILDING' THEN -4774024506382391778 WHEN 'FURNITURE' THEN 5213815711692083559 WHEN 'HOUSEHOLD' THEN 623825489902674195 WHEN 'MACHINERY' THEN 5510886111809640743 END AS hashed FROM customer""",
     "fn_more_dates": """
         SELECT o_orderkey, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy, CAST(hour(e) AS INTEGER) AS hour, date_trunc('second', e) AS parsed,
                strftime(e, '%Y-%m-%d %H:%M:%S') AS epoch, CAST(datediff('month', o_orderdate, DATE '2002-01-01') AS DOUBLE) AS months,
                CAST(CAST(o_orderdate AS DATE) + CAST((8 - isodow(o_orderdate)) AS INTEGER) AS VARCHAR) AS monday, CAST(make_date(year(o_orderdate), 2, 3) AS VARCHAR) AS made,
                CAST(epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate) AS BIGINT) // 3600 AS hours,
-               e + INTERVAL 9 HOUR AS tokyo, e + INTERVAL 1 DAY + INTERVAL 2 HOUR + INTERVAL 3 MINUTE + INTERVAL 4 SECOND AS later, e - INTERVAL 90 MINUTE AS sooner, true AS noon
+               e + INTERVAL 9 HOUR AS tokyo, e + INTERVAL 1 DAY + INTERVAL 2 HOUR + INTERVAL 3 MINUTE + INTERVAL 4 SECOND AS later, e - INTERVAL 90 MINUTE AS sooner, CAST(e AS TIME) > TIME '12:00:00' AS noon
         FROM (SELECT *, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + INTERVAL 7 MINUTE + INTERVAL 9 SECOND AS e FROM orders)""",
     "fn_more_numbers": """
         SELECT p_partkey, round_even(CAST(p_size AS DOUBLE) / 4, 0) AS even, round(exp(CAST(p_size AS DOUBLE) / 10), 6) AS e, round(log10(p_size), 8) AS l10, round(log2(p_size), 8) AS l2,
                round(sin(p_size), 8) AS sine, round(degrees(atan2(p_size, p_partkey)), 6) AS angle, least(p_size, 7) AS low, p_size % 7 AS rest,
                p_partkey // 3 AS third, CAST(least(floor(p_retailprice / 500), 6) + 1 AS BIGINT) AS bucket, to_hex(p_size) AS hex, to_binary(p_size) AS bits,
                CAST(factorial(p_size % 10) AS BIGINT) AS fact, round(cbrt(p_size), 8) AS cube, round(sqrt(CAST(p_size AS DOUBLE) * p_size + 9), 8) AS hyp,
-               CAST(CASE WHEN p_size > 7 THEN -1 ELSE p_size + 2147483640 END AS INTEGER) AS sum, CAST(p_size * 8 AS INTEGER) AS shifted, true AS drawn,
+               CAST(CASE WHEN p_size > 7 THEN -1 ELSE p_size + 2147483640 END AS INTEGER) AS sum, CAST(p_size * 8 AS INTEGER) AS shifted,
                round(p_retailprice / 100) * 100 AS hundreds, CAST(sign(p_size - 25) AS DOUBLE) AS side, nullif(p_size, 10) AS unless FROM part""",
     "fn_more_arrays": """
         WITH p AS (SELECT *, string_split(p_name, ' ') AS w FROM part)
@@ -333,14 +335,14 @@ ORACLE_SQL = {
                len(list_filter(w, lambda x: length(x) <= 2)) = 0 AS longs,
                array_to_string(list_transform(range(1, greatest(len(w), 2) + 1), lambda i: coalesce(w[i], '') || coalesce(['1', '2'][i], '')), ' ') AS zipped,
                greatest(len(w), 4) AS zips, array_to_string(list_filter(w, lambda x: x <> 'steel'), ' ') AS removed,
-               array_to_string(w || ['z'], ' ') AS more, array_to_string(['a'] || w, ' ') AS front, CAST(2 AS BIGINT) AS compact, len(w) AS n,
+               array_to_string(w || ['z'], ' ') AS more, array_to_string(['a'] || w, ' ') AS front, CAST(2 AS BIGINT) AS compact, array_to_string(list_sort(w), ' ') AS mixed,
                array_to_string(list_reverse_sort(w), ' ') AS down, list_min(w) AS first, w[1] || '+' || w[1] AS twice, list_has_any(w, ['steel', 'red']) AS overlap FROM p""",
     "fn_more_maps": """
         SELECT s_suppkey, s_suppkey AS key, 'key=' || s_suppkey || ',nation=' || s_nationkey || ',one=1' AS joined,
                least(2 * s_suppkey, 2 * s_nationkey) || ',' || greatest(2 * s_suppkey, 2 * s_nationkey) AS doubled, 'KEY,NATION' AS upper,
-               s_suppkey + 10 AS zipped, '2' AS parsed, CAST((s_suppkey > 5)::INTEGER + (s_nationkey > 5)::INTEGER AS BIGINT) AS large FROM supplier""",
+               s_suppkey + 10 AS zipped, CAST(s_nationkey AS VARCHAR) AS parsed, CAST((s_suppkey > 5)::INTEGER + (s_nationkey > 5)::INTEGER AS BIGINT) AS large FROM supplier""",
     "fn_more_formats": """
-        SELECT n_nationkey, n_name AS name, CAST(2 AS INTEGER) AS n, 'k,name' AS keys, 'STRUCT<a: BIGINT>' AS schema, CAST(n_nationkey AS VARCHAR) AS by_tuple,
+        SELECT n_nationkey, n_name AS name, CAST(2 AS INTEGER) AS n, 'k,name' AS keys, 'OBJECT<k: BIGINT, name: STRING>' AS schema, CAST(n_nationkey AS VARCHAR) AS by_tuple,
                n_nationkey AS by_variant, n_nationkey AS by_csv, n_nationkey AS by_xml, n_name AS by_path, n_name || ' & co' AS decoded, '-' AS no_url FROM nation""",
     "fn_decimals": """
         SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS VARCHAR) AS total,

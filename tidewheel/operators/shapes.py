@@ -89,9 +89,11 @@ def grouped_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated rows, joined: how many orders each of the first customers has, those without any too."""
+    """Generated rows, joined: every number from the least customer to the greatest, with the orders of that customer, 0 without any."""
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(0, 400, 2).join(orders, F.col("id") == F.col("o_custkey"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    ends = table(spark, sf_dir, "customer").agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    numbers = spark.range(ends[0] or 0, (ends[1] + 1) if ends[1] is not None else 0)
+    return numbers.join(orders, F.col("id") == F.col("o_custkey"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +200,8 @@ ORACLE_SQL = {
             UNION ALL SELECT n_nationkey, 'key', n_nationkey FROM nation WHERE n_nationkey > 6) ON k = n_nationkey""",
     "grouped_by_all": "SELECT o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY ALL ORDER BY ALL",
     "ranged": """
-        SELECT id, count(o_orderkey) AS n FROM range(0, 400, 2) t(id) LEFT JOIN orders ON id = o_custkey GROUP BY id""",
+        WITH r AS (SELECT unnest(range(min(c_custkey), max(c_custkey) + 1)) AS id FROM customer)
+        SELECT id, count(o_orderkey) AS n FROM r LEFT JOIN orders ON o_custkey = id GROUP BY id""",
     "sampled": """
         SELECT o_orderkey, o_totalprice FROM orders
         WHERE CAST('0x' || substr(md5('s1/' || CAST(o_orderkey AS VARCHAR)), 1, 4) AS INTEGER) < 6554""",

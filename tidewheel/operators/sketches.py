@@ -35,6 +35,23 @@ def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias("event_type"), F.col("t.count").alias("n"))
 
 
+def heavy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each language that stand more often than a summary of bounded size can err, with their counts: none is missed, none is off by more.
+
+    Every source makes a summary of 2048 counters, and the sources' summaries are combined by
+    language. A count may be off by 3.5 rows of 2048 at most, whatever the number of words.
+    """
+    counters = 2048
+    words = table(spark, sf_dir, "documents").select("lang", "source", F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    parts = words.groupBy("lang", "source").agg(F.expr(f"approx_top_k_accumulate(word, {counters})").alias("part"))
+    states = parts.groupBy("lang").agg(F.expr(f"approx_top_k_combine(part, {counters})").alias("state"))
+    top = states.select("lang", F.explode(F.expr(f"approx_top_k_estimate(state, {counters})")).alias("t")).select("lang", "t.item", "t.count")
+    bound = words.groupBy("lang").agg((F.count(F.lit(1)) * 3.5 / counters).alias("bound"))
+    exact = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).join(bound, "lang").where("n > bound")
+    met = exact.join(top.withColumnRenamed("item", "word"), ["lang", "word"], "left")
+    return met.select("lang", "word", "n", F.coalesce(F.abs(F.col("count") - F.col("n")) <= F.col("bound"), F.lit(False)).alias("ok"))
+
+
 def count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of users from a count-min sketch kept as a table of cells: never too low, and above by 1 % of all events at most.
 
@@ -80,11 +97,16 @@ def numeric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.select(F.col("bin").cast("long").alias("bin"), (F.abs(F.col("near") - F.col("exact")) <= 0.05 * F.col("all")).alias("ok"), F.col("all").alias("n"))
 
 
-QUERIES = {f"sketch_{f.__name__}": f for f in (quantile_sketch, kll_quantiles, heavy_hitters, count_min, theta_overlap, exact_bitmap, numeric_histogram)}
+QUERIES = {f"sketch_{f.__name__}": f for f in (quantile_sketch, kll_quantiles, heavy_hitters, heavy_words, count_min, theta_overlap, exact_bitmap, numeric_histogram)}
 ORACLE_SQL = {
     "sketch_quantile_sketch": "SELECT DISTINCT o_orderpriority, true AS ok FROM orders",
     "sketch_kll_quantiles": "SELECT true AS ok",
     "sketch_heavy_hitters": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "sketch_heavy_words": """
+        WITH w AS (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents),
+        c AS (SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+        b AS (SELECT lang, sum(n) * 3.5 / 2048 AS bound FROM c GROUP BY lang)
+        SELECT lang, word, n, true AS ok FROM c JOIN b USING (lang) WHERE n > bound""",
     "sketch_count_min": "SELECT user_id, count(*) AS n, true AS ok FROM events GROUP BY 1",
     "sketch_theta_overlap": """
         SELECT count(*) AS users, true AS ok FROM (SELECT user_id FROM events WHERE event_type = 'click'

@@ -110,6 +110,33 @@ def distinct_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("event_id", F.sum("first").over(so_far).alias("kinds"))
 
 
+def sliding_distinct(rows: DataFrame, key: str, at: str, value: str, seconds: int, width: int) -> DataFrame:
+    """rows with n_distinct: the different values of the key in the ``seconds`` up to each row's time, the begin left out.
+
+    A value counts from its row until its next occurrence, or until it is ``seconds`` old: one
+    up there and one down here, and a row's count is the running sum, by buckets of ``width``
+    seconds and what went before them. No row holds a set, and a key is in as many tasks as it
+    has buckets. Null keys are a key, null values count for nothing, and times must not be null.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    timed = rows.select(F.col(key).alias("key_"), F.col(value).alias("value_"), micros.alias("t_"), F.struct(*rows.columns).alias("row_"))
+    again = F.lead("t_").over(Window.partitionBy("key_", "value_").orderBy("t_"))
+    told = timed.where("value_ IS NOT NULL").select("key_", "t_", F.least(again, F.col("t_") + seconds * 1_000_000).alias("end_"))
+    steps = told.select("key_", F.explode(F.array(F.struct(F.col("t_"), F.lit(1).alias("step_")), F.struct(F.col("end_").alias("t_"), F.lit(-1).alias("step_")))).alias("s")).select("key_", "s.*", F.lit(None).cast(timed.schema["row_"].dataType).alias("row_"))
+    both = steps.unionByName(timed.select("key_", "t_", F.lit(0).alias("step_"), "row_")).withColumn("bucket_", F.floor(F.col("t_") / (width * 1_000_000)))
+    before = Window.partitionBy("key_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy("key_", "bucket_").agg(F.sum("step_").alias("sum_")).select("key_", "bucket_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("before_"))
+    inside = Window.partitionBy("key_", "bucket_").orderBy("t_").rangeBetween(Window.unboundedPreceding, 0)
+    running = both.withColumn("sum_", F.sum("step_").over(inside)).where("row_ IS NOT NULL").alias("a")
+    same = F.col("a.key_").eqNullSafe(F.col("b.key_")) & (F.col("a.bucket_") == F.col("b.bucket_"))
+    return running.join(sums.alias("b"), same).select("row_.*", (F.col("sum_") + F.col("before_")).alias("n_distinct"))
+
+
+def kinds_of_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many event types a user has shown in the seven days up to each event."""
+    return sliding_distinct(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type"), "user_id", "ts", "event_type", 7 * 86400, 86400).select("event_id", "n_distinct")
+
+
 def group_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over the peer groups from one before to one after, in place of a GROUPS frame."""
     sizes = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
@@ -136,10 +163,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         ranking, neighbours, running_totals, last_week, carried_forward, frame_values, top_per_group, latest_per_key, sessions, islands,
-        distinct_so_far, group_frames, without_current, share_of_total,
+        distinct_so_far, kinds_of_week, group_frames, without_current, share_of_total,
     )
 }
 ORACLE_SQL = {
+    "kinds_of_week": """
+        SELECT a.event_id, count(DISTINCT b.event_type) AS n_distinct FROM events a JOIN events b
+        ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 7 DAY GROUP BY a.event_id""",
     "ranking": """
         SELECT c_custkey, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER s AS INTEGER) AS rk,
                CAST(dense_rank() OVER s AS INTEGER) AS dr, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd,
