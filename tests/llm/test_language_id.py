@@ -101,7 +101,7 @@ def test_letters_are_category_l(text, want):
 def test_a_language_may_have_any_name(spark):
     rows = [(1, "the cat sat", "word"), (2, "der hund", "n"), (3, "le chat", "lang"), (4, "² ½", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    found = li.predict(docs, li.train(docs.withColumnRenamed("doc_id", "key")))
+    found = li.predict(docs, li.train(docs))
     assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {1: "word", 2: "n", 3: "lang", 4: "und"}
 
 
@@ -124,9 +124,23 @@ def test_held_out_accuracy(spark):
 def test_odd_rows(spark):
     rows = [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", "de"), (5, "12 .. !", "en"), (6, "the " * 30_000, None), (None, "und der", None), (1, "the cat sat on the mat", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("clash"), "key": F.lit(0)})
-    model = li.train(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    model = li.train(docs.select("text", "lang"))
     found = [(r["doc_id"], r["lang_pred"]) for r in li.predict(docs, model).collect()]
     assert sorted(found, key=repr) == sorted([(1, "en"), (1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (6, "en"), (None, "de")], key=repr)
     assert li.predict(docs.limit(0), model).count() == 0
-    nothing = li.train(docs.where("lang is null").select(F.col("doc_id").alias("key"), "text", "lang"))
+    nothing = li.train(docs.where("lang is null").select("text", "lang"))
     assert {r["lang_pred"] for r in li.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_the_sample_is_bounded_whatever_the_ids_and_copies(spark, monkeypatch):
+    rows = [(None, f"word{k} und noch {k}", "de") for k in range(400)] + [(7, "the same words", "en")] * 3000 + [(k, f"an other text {k}", "en") for k in range(50)]
+    held = {}
+    monkeypatch.setattr(li, "fit", lambda pieces, words, counts, rounds: held.update(total=counts.sum(0)) or np.ones((pieces.size, counts.shape[1])))
+    model = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=20)
+    assert model.languages == ["de", "en"]
+    assert held["total"][0] == 20 * 3 and 0 < held["total"][1] <= 20 * 4  # texts of three and of three or four words
+
+
+def test_many_languages_in_smaller_batches():
+    words = [b"abc"] * 5000
+    assert max(len(own) for own, _ in li.by_length(words, 200)) * 25 <= max(len(own) for own, _ in li.by_length(words * 30, 1)) * 1.1

@@ -7,8 +7,9 @@ probability is the product over its words, and Bayes' rule with the languages' s
 among the training rows gives the answer.
 
 The piece probabilities are fitted by expectation maximisation with the matching
-backward pass. They are fitted on a bounded sample of labelled rows: about
-``max_rows`` of each language, chosen by a hash of the row. Prediction is a map over
+backward pass. They are fitted on a bounded sample of labelled rows: at most
+``max_rows`` different texts of each language, those of the smallest hashes, so neither
+ids nor copies let more in. Prediction is a map over
 whole texts without any shuffle; each task scores a distinct word once, words of one
 length together in numpy.
 
@@ -33,13 +34,13 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewheel.session import table
 
-#: Rows of each language, about, that the model is fitted on.
+#: Texts of each language, at most, that the model is fitted on.
 MAX_ROWS = 500
 ROUNDS = 4
 #: Added to every piece's expected count.
@@ -47,6 +48,8 @@ SMOOTHING = 0.1
 UNKNOWN = "und"
 #: Words looked up together, characters of distinct words scored together, and distinct words that a task remembers.
 PIECE, SCORED, REMEMBERED = 1 << 19, 1 << 18, 1 << 19
+#: Languages that those numbers are for: with more of them, fewer words at once.
+FEW = 8
 #: Positions between two scalings; the least probability of a character to this power is still a number.
 STRETCH = 32
 
@@ -138,13 +141,13 @@ def vocabulary_pieces(path: str) -> Pieces:
     return Pieces(pieces_of(path))
 
 
-def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[bytes], languages: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word numbers, characters) of words of one length together."""
     parts = sorted(((i, _START + w.decode()) for i, w in enumerate(words)), key=lambda p: len(p[1]))
     lengths = np.fromiter((len(p) for _, p in parts), np.int64, len(parts))
     for n in np.unique(lengths).tolist():
         a, b = np.searchsorted(lengths, [n, n + 1])
-        step = max(1, SCORED // n)
+        step = max(1, SCORED // (n * -(-languages // FEW)))
         for k in range(a, b, step):
             own = parts[k : min(k + step, b)]
             chars = np.frombuffer("".join(p for _, p in own).encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -160,7 +163,7 @@ def _stretches(n: int, reach: int) -> list[tuple[int, int]]:
 def log_chances(pieces: Pieces, chance: np.ndarray, words: list[bytes]) -> np.ndarray:
     """[word, language]: log probability of each word, summed over all cuts into pieces."""
     out = np.zeros((len(words), chance.shape[1]))
-    for own, chars in by_length(words):
+    for own, chars in by_length(words, chance.shape[1]):
         rows, n = chars.shape
         reach = pieces.longest
         # The probability of what stands before each position of the stretch and of the reach before it.
@@ -255,7 +258,7 @@ class Model:
         return answers, scores
 
     def _judge(self, held, answers, scores) -> None:
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > REMEMBERED // -(-len(self.languages) // FEW):
             self.place, self.known = {}, self.known[:0]
         place, before = self.place, len(self.place)
         numbers = np.fromiter((place.setdefault(w, len(place)) for _, words in held for w in words), np.int64)
@@ -271,20 +274,24 @@ class Model:
 
 
 def train(labelled: DataFrame, vocabulary: str | None = None, max_rows: int = MAX_ROWS, rounds: int = ROUNDS) -> Model:
-    """A model from rows (key, text, lang); about max_rows of each language, those of the smallest hashes of the key."""
+    """A model from rows (text, lang): of each language at most max_rows different texts, those of the smallest hashes."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     labelled = labelled.where("lang is not null and text is not null")
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    told = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("text").alias("texts")).collect()
+    rows, texts = ({r["lang"]: r[c] for r in told} for c in ("n", "texts"))
     languages = sorted(rows)
     if not languages:
         return Model([], np.empty(0), None, None)
     spark = labelled.sparkSession
-    parts = spark.createDataFrame([(n, min(1.0, max_rows / rows[n])) for n in languages], "lang string, part double")
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / (1 << 30)
-    sample = labelled.join(F.broadcast(parts), "lang").where(draw < F.col("part")).select("lang", "text")  # parts: a row for each language
+    # Twice as many as are wanted, so that there are enough different ones in all likelihood; the rest is cut off exactly.
+    parts = spark.createDataFrame([(n, min(1.0, 2 * max_rows / max(texts[n], 1))) for n in languages], "lang string, part double")
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 60)) / (1 << 60)
+    drawn = labelled.join(F.broadcast(parts), "lang").where(draw < F.col("part")).select("lang", "text").distinct()  # parts: a row for each language
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")  # 2 * max_rows, about
+    sample = drawn.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +339,7 @@ def held_out(modulus: int = 4, remainder: int = 2) -> Column:
 def op8_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out()).select(F.col("doc_id").alias("key"), "text", "lang"))
+    model = train(docs.where(~held_out()).select("text", "lang"))
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
 
 
