@@ -127,16 +127,17 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, encode=tok
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
     salted = cut(
-        pieces(docs, capacity, end, encode).withColumn("spread", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces"
+        pieces(docs, capacity, end, encode).withColumn("row", F.monotonically_increasing_id()), "pieces"
     )
     salts = max(1, isqrt(salted.count()) // SPREAD)
-    salted = salted.withColumn("salt", F.pmod("spread", F.lit(salts))).drop("spread")
+    # By row, so that equal pieces are dealt to all groups of their length.
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = cut(groups.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))), "groups")
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     plan = spark.sparkContext.broadcast(Plan(counts, capacity))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "salt").orderBy("row")
     ranked = (
         salted.withColumn("inside", F.row_number().over(inside) - 1)
         .join(groups, ["length", "salt"])
