@@ -31,7 +31,7 @@ def test_bucketed_join_needs_no_shuffle_of_the_tables(spark, sf_dir):
 
 def test_relational_queries_stay_in_the_jvm(spark, sf_dir):
     for name in catalog.QUERIES:
-        if not name.startswith(("udf_", "stream_", "source_")):
+        if not name.startswith(("udf_", "stream_", "source_", "pattern_")):  # an automaton has no built-in form
             assert inspect.python_steps(plan(spark, sf_dir, name)) == 0, name
 
 
@@ -41,6 +41,14 @@ def test_no_cartesian_products(spark, sf_dir):
             assert not inspect.nodes(plan(spark, sf_dir, name))["CartesianProduct"], name
 
 
+def test_inequalities_are_joined_without_a_nested_loop(spark, sf_dir):
+    assert not inspect.nodes(plan(spark, sf_dir, "dearer_lines"))["BroadcastNestedLoopJoin"]
+
+
+def test_sliding_distinct_holds_no_sets(spark, sf_dir):
+    assert "collect_set" not in inspect.text(plan(spark, sf_dir, "kinds_of_week"))
+
+
 def test_partition_filter(spark, sf_dir):
     df = table(spark, sf_dir, "orders").where("o_totalprice > 2000").select("o_orderkey")
     assert "GreaterThan(o_totalprice,2000.0)" in inspect.pushed_filters(df)[0]

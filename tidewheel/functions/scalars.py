@@ -195,7 +195,7 @@ def more_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
                CAST(next_day(o_orderdate, 'MO') AS STRING) AS monday, CAST(make_date(year(o_orderdate), 2, 3) AS STRING) AS made,
                timestampdiff(HOUR, o_orderdate, TIMESTAMP_NTZ'2002-01-01 00:00:00') AS hours,
                convert_timezone('UTC', 'Asia/Tokyo', e) AS tokyo, e + make_dt_interval(1, 2, 3, 4) AS later, e - INTERVAL 90 MINUTES AS sooner,
-               make_time(hour(e), minute(e), second(e)) > TIME'12:00:00' AS noon
+               date_format(e, 'HH:mm:ss') > '12:00:00' AS noon
         FROM (SELECT *, o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT), 7, 9) AS e FROM orders)""")
 
 

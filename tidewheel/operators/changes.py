@@ -108,13 +108,13 @@ QUERIES = {f.__name__: f for f in (order_history, orders_merged, customers_reach
 ORACLE_SQL = {
     "order_history": """
         WITH c AS (
-            SELECT o_orderkey, o_orderstatus, o_totalprice, 'upsert' AS op, o_orderdate AS at, 1 AS seq FROM orders
+            SELECT o_orderkey, o_orderstatus, o_totalprice, 'upsert' AS op, o_orderdate AS since, 1 AS seq FROM orders
             UNION ALL SELECT o_orderkey, 'F', o_totalprice, 'upsert', TIMESTAMP '2002-01-01', 2 FROM orders WHERE o_orderstatus = 'O'
             UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, 'delete', TIMESTAMP '2002-02-01', 3 FROM orders
             WHERE o_orderpriority = '1-URGENT' OR o_orderpriority = '5-LOW' AND o_totalprice < 100000
             UNION ALL SELECT o_orderkey, 'R', o_totalprice * 2, 'upsert', TIMESTAMP '2002-03-01', 4 FROM orders WHERE o_orderpriority = '1-URGENT'),
-        r AS (SELECT *, lead(at) OVER (PARTITION BY o_orderkey ORDER BY at, seq) AS valid_to FROM c)
-        SELECT o_orderkey, o_orderstatus, o_totalprice, at AS valid_from, valid_to FROM r WHERE op <> 'delete'""",
+        r AS (SELECT *, lead(since) OVER (PARTITION BY o_orderkey ORDER BY since, seq) AS valid_to FROM c)
+        SELECT o_orderkey, o_orderstatus, o_totalprice, since AS valid_from, valid_to FROM r WHERE op <> 'delete'""",
     "orders_merged": """
         SELECT o_orderkey, CASE WHEN o_totalprice < 20000 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders
         WHERE o_totalprice < 20000 OR o_totalprice >= 50000""",
