@@ -28,11 +28,12 @@ def got(docs, **params):
     return sorted(map(tuple, substring_dedup.remove_repeats(docs, **params).select("doc_id", "n_words", "n_removed", "text").collect()), key=repr)
 
 
+@pytest.mark.parametrize("spread", [False, True])
 @pytest.mark.parametrize(("cells", "hot"), [(None, substring_dedup.HOT), (1 << 16, 3), (None, 2)])
-def test_documents(spark, sf_dir, cells, hot):
+def test_documents(spark, sf_dir, cells, hot, spread):
     docs = table(spark, sf_dir, "documents")
     want = plain([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert got(docs, cells=cells, hot=hot) == want
+    assert got(docs, cells=cells, hot=hot, spread=spread) == want
 
 
 def test_a_window_in_every_document_is_spread(spark, monkeypatch):
@@ -47,6 +48,31 @@ def test_a_window_in_every_document_is_spread(spark, monkeypatch):
     spread = [r["n"] for r in found.groupBy(F.pmod(F.xxhash64("text_key", "place"), F.lit(substring_dedup.SALTS)).alias("s")).agg(F.count("*").alias("n")).collect()]
     assert len(spread) == substring_dedup.SALTS and max(spread) <= 2 * sorted(spread)[len(spread) // 2]
     assert got(docs, hot=100) == plain(rows)
+    assert got(docs, hot=100, spread=True) == plain(rows)
+
+
+def test_a_spread_sketch_does_not_saturate(spark, sf_dir, monkeypatch):
+    """Where the sketch that is broadcast has an eighth of a cell an anchor, as at some 100 GB, it passes nearly all windows;
+    the spread one, taken by default from there on, passes few more than share an anchor."""
+    docs = table(spark, sf_dir, "documents")
+    anchors = Counter()
+    for r in docs.collect():
+        piece = substring_dedup.Piece([(r["text"] or "").encode().split()], 35, 20)
+        anchors.update(piece.runs[piece.anchor_at].tolist())
+    places = Counter()
+    for r in docs.collect():
+        piece = substring_dedup.Piece([(r["text"] or "").encode().split()], 35, 20)
+        places.update(piece.anchors().tolist())
+    least = sum(n for a, n in anchors.items() if places[a] > 1)
+    monkeypatch.setattr(substring_dedup, "RANGE", 1 << 8)
+    few = 1 << (len(places) // 8).bit_length() - 1
+    monkeypatch.setattr(substring_dedup, "MAX_CELLS", few)
+    wide = substring_dedup.suspects(docs, spread=False)[0].count()
+    default = substring_dedup.suspects(docs)[0].count()
+    assert wide > 0.9 * sum(anchors.values())
+    assert least <= default <= least + 0.05 * sum(anchors.values())
+    want = plain([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert got(docs) == want
 
 
 def test_null_and_shared_ids_with_equal_hashes(spark, monkeypatch):
@@ -55,7 +81,8 @@ def test_null_and_shared_ids_with_equal_hashes(spark, monkeypatch):
     rows = [(None, f"{passage} end"), (None, "short"), (7, f"x {passage}"), (7, "one two"), (None, None), (7, "")]
     real = substring_dedup._hashed
     monkeypatch.setattr(substring_dedup, "_hashed", lambda d: real(d).withColumn("text_hash", F.lit(0)))
-    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs) == got(docs, spread=True) == plain(rows)
 
 
 def test_digest(spark, sf_dir):
@@ -68,7 +95,8 @@ def test_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "PIECE", 100)
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 60)))) for i in range(300)]
-    assert got(spark.createDataFrame(rows, "doc_id long, text string"), window=6, anchor=3) == plain(rows, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, window=6, anchor=3) == got(docs, window=6, anchor=3, spread=True) == plain(rows, 6)
 
 
 def test_odd_rows(spark):
@@ -78,5 +106,5 @@ def test_odd_rows(spark):
         (6, " ".join(f"v{i}" for i in range(50))), (6, " ".join(f"v{i}" for i in range(50))), (7, " ".join(f"u{i}" for i in range(36))), (7, "other text"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"place": F.lit("clash"), "n": F.lit(1), "key": F.lit(2)})
-    assert got(docs) == plain(rows)
-    assert got(docs.limit(0)) == []
+    assert got(docs) == got(docs, spread=True) == plain(rows)
+    assert got(docs.limit(0)) == got(docs.limit(0), spread=True) == []

@@ -9,15 +9,21 @@ are summed by ranges of cells, which gives counts that are never too low. Two bi
 cell are kept, "more than once" and "more than HOT times", and broadcast: their size is
 fixed by the parameters.
 
+A corpus too large for the largest sketch that is broadcast (MAX_CELLS) is sketched by
+one row with a cell for every byte of text, spread over the tasks of a shuffle: each task
+sends the cells it meets, with counts, to where their sums are made, and what comes back
+to a text are the places of its anchors in cells that count more than one. A cell sends
+one row for each 2**18 anchors a task meets, however often it occurs.
+
 Second pass. Only windows whose anchor is estimated repeated go on. Windows met twice
 within a task's piece of rows are known to be repeated at once; of the others one row
 a piece goes to an exact grouping by a 96-bit hash of the window, so a window that
 a third of all documents share gives a row for each piece, not for each document.
-None is lost: what the sketch passes by occurs once. A corpus too large for the
-largest sketch makes the sketch pass more windows on; the result stays exact.
+None is lost: what the sketch passes by occurs once.
 
 Since the sketch never counts too low, a window whose anchor is not hot has HOT rows at
-most, and a task can hold them. Windows with hot anchors (a licence line in a very large
+most (of a spread sketch, a two-millionth of the bytes if that is more, so that hot cells
+are a million at most and can be broadcast), and a task can hold them. Windows with hot anchors (a licence line in a very large
 corpus) are counted by partial sums instead, and the repeated ones joined back by salt.
 
 Last, each text's repeated windows meet the documents of that text, and words they cover
@@ -55,6 +61,9 @@ RANGE = 1 << 16
 #: Words worked on at once by a task, and anchors sketched at once.
 PIECE, SKETCHED = 1 << 17, 1 << 18
 
+#: A spread sketch has at most one hot cell for 2**-HOT_SHARE of the bytes over this, as an anchor takes two bytes at least: a million.
+HOT_SHARE = 21
+
 #: Occurrences of an anchor, by the sketch, above which its windows are counted by partial sums; and salts of their join.
 HOT, SALTS = 1 << 16, 64
 
@@ -102,10 +111,14 @@ class Piece:
         self.anchor_at = self.at + choice[self.at]
         self.runs = runs
 
+    def anchor_places(self) -> np.ndarray:
+        """Where anchors start, in the piece, each once."""
+        at = self.anchor_at
+        return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+
     def anchors(self) -> np.ndarray:
         """The hash of each anchor place, once."""
-        at = self.anchor_at
-        return self.runs[at[np.r_[True, at[1:] != at[:-1]]]] if len(at) else self.runs[:0]
+        return self.runs[self.anchor_places()]
 
     def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(run_hashes(self.words, self.window, base)[self.at[chosen]] for base in BASES)
@@ -197,20 +210,99 @@ def _told(bits: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
     return np.logical_and.reduce([row[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1 > 0 for row, c in zip(bits, cells, strict=True)])
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT) -> DataFrame:
-    """(text_key, text_hash, place) of every window that starts anywhere else as well; place counts words from 0."""
-    spark = docs.sparkSession
-    if cells is None:
-        cells = cells_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    more, often = sketch(docs, cells, window, anchor, hot)
-    sent = spark.sparkContext.broadcast((more, often))
+def _same(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of keys; in that order, where a new one starts, and how many equal ones there are."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+    group = np.cumsum(new) - 1
+    return order, new, np.bincount(group)[group] if len(group) else group
+
+
+def spread_sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: int) -> tuple[DataFrame, np.ndarray]:
+    """(text_key, text_hash, anchors): the places in each text of anchors whose cell counts more than one;
+    and, in order, the cells that count more than ``hot``.
+
+    Texts without such an anchor have no row. The table of anchors is written, so counts are made once.
+    """
+    names = ["cell", "text_key", "text_hash", "at", "n"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[tuple]) -> pa.RecordBatch:
+            cell, key, short, at = (np.concatenate(column) for column in zip(*held, strict=True))
+            order, new, count = _same(cell)
+            cell, at = cell[order], at[order]
+            # Later anchors of a cell are known to repeat and not counted again: they go where
+            # a hash of their own leads, and are told apart by a null.
+            return pa.record_batch(
+                [
+                    pa.array(np.where(new, cell, _mixed(cell + at.astype(np.uint64) + np.uint64(1))).view(np.int64)),
+                    pa.array(key[order]),
+                    pa.array(short[order]),
+                    pa.array(at),
+                    pa.array(count.astype(np.int32), mask=~new),
+                ],
+                names,
+            )
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch, first, piece in _pieces(batches, window, anchor):
+            at = piece.anchor_places()
+            doc = piece.doc[at]
+            key, short = (batch.column(name).to_numpy(zero_copy_only=False)[first + doc] for name in ("text_key", "text_hash"))
+            held.append((_mixed(piece.runs[at]) & np.uint64(cells - 1), key, short, (at - piece.begins[doc]).astype(np.int32)))
+            size += len(at)
+            if size >= SKETCHED:
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
+
+    met = _hashed(docs).drop("doc_id").mapInArrow(partial, "cell long, text_key long, text_hash int, at int, n int")
+    counted = met.withColumn("total", F.sum("n").over(Window.partitionBy("cell")))
+    told = counted.where("n is null or total > 1").withColumn("hot", F.when(F.col("total") > hot, F.col("cell")))
+    told = cut(told.select("text_key", "text_hash", "at", "hot"), "anchors")
+    cells_ = [r["hot"] for r in told.where("hot is not null").select("hot").distinct().collect()]
+    places = told.groupBy("text_key", "text_hash").agg(F.collect_set("at").alias("anchors"))  # no more than the text has words
+    return places, np.sort(np.array(cells_, np.int64).view(np.uint64))
+
+
+def suspects(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT, spread: bool | None = None) -> tuple[DataFrame, bool]:
+    """The windows that the sketch estimates repeated: (one, two, text_key, text_hash, place, known, hot); and whether any is hot.
+
+    The sketch is broadcast, or spread over tasks: by default where it would need more than MAX_CELLS cells.
+    """
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if cells is None or spread is None else 0
+    if spread is None:
+        spread = cells is None and n_bytes // 25 >= MAX_CELLS
+    if spread:
+        cells = cells or 1 << min(max(n_bytes, RANGE).bit_length(), 62)
+        asked, often = spread_sketch(docs, cells, window, anchor, max(hot, n_bytes >> HOT_SHARE))
+        sent = docs.sparkSession.sparkContext.broadcast((None, often))
+        source = _hashed(docs).join(asked.hint("shuffle_hash"), ["text_key", "text_hash"]).select("text", "text_key", "text_hash", "anchors")
+        any_hot = len(often) > 0
+    else:
+        cells = cells or cells_for(n_bytes)
+        more, often = sketch(docs, cells, window, anchor, hot)
+        sent = docs.sparkSession.sparkContext.broadcast((more, often))
+        source, any_hot = _hashed(docs), often is not None
+
+    def chosen_of(batch: pa.RecordBatch, first: int, piece: Piece, more: np.ndarray | None, often: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of the piece estimated repeated, by number, and which of them are hot."""
+        if more is None:
+            marked = np.zeros(len(piece.words), bool)
+            for i, begin in enumerate(piece.begins):
+                marked[begin + batch.column("anchors")[first + i].values.to_numpy()] = True
+            chosen = np.flatnonzero(marked[piece.anchor_at])
+            return chosen, np.isin(_mixed(piece.runs[piece.anchor_at[chosen]]) & np.uint64(cells - 1), often)
+        anchors = _cells(piece.runs[piece.anchor_at], cells)
+        chosen = np.flatnonzero(_told(more, anchors))
+        return chosen, _told(often, [c[chosen] for c in anchors]) if often is not None else np.zeros(len(chosen), bool)
+
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more, often = sent.value
         for batch, first, piece in _pieces(batches, window, anchor):
-            anchors = _cells(piece.runs[piece.anchor_at], cells)
-            chosen = np.flatnonzero(_told(more, anchors))
-            is_hot = _told(often, [c[chosen] for c in anchors]) if often is not None else np.zeros(len(chosen), bool)
+            chosen, is_hot = chosen_of(batch, first, piece, more, often)
             one, two = piece.hashes(chosen)
             order = np.lexsort((two, one))
             one, two, at, is_hot = one[order], two[order], piece.at[chosen][order], is_hot[order]
@@ -238,13 +330,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                 ["one", "two", "text_key", "text_hash", "place", "known", "hot"],
             )
 
-    found = _hashed(docs).mapInArrow(suspects, "one long, two int, text_key long, text_hash int, place int, known boolean, hot boolean")
+    return source.mapInArrow(suspected, "one long, two int, text_key long, text_hash int, place int, known boolean, hot boolean"), any_hot
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT, spread: bool | None = None) -> DataFrame:
+    """(text_key, text_hash, place) of every window that starts anywhere else as well; place counts words from 0."""
+    found, any_hot = suspects(docs, window, anchor, cells, hot, spread)
     names = ["text_key", "text_hash", "place"]
     # At most one row a piece of a task has any given hash.
-    counted = found.drop("hot") if often is None else found.where("not hot").drop("hot")
+    counted = found.where("not hot").drop("hot") if any_hot else found.drop("hot")
     counted = counted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))
     usual = counted.where("known or n > 1 and two is not null").select(*names)
-    return usual if often is None else usual.union(_hot(found.where("hot").drop("hot")).select(*names))
+    return usual.union(_hot(found.where("hot").drop("hot")).select(*names)) if any_hot else usual
 
 
 def _hot(found: DataFrame) -> DataFrame:
@@ -261,11 +358,11 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.hash("text").alias("text_hash"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT, spread: bool | None = None) -> DataFrame:
     """(doc_id, text, n_words, n_removed): the words no repeated window covers, joined by one space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     places = (
-        repeated_windows(docs, window, anchor, cells, hot)
+        repeated_windows(docs, window, anchor, cells, hot, spread)
         .groupBy("text_key", "text_hash")
         .agg(F.collect_set("place").alias("places"))  # no more than the text has words
     )
