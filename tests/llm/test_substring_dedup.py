@@ -28,12 +28,11 @@ def got(docs, **params):
     return sorted(map(tuple, substring_dedup.remove_repeats(docs, **params).select("doc_id", "n_words", "n_removed", "text").collect()), key=repr)
 
 
-@pytest.mark.parametrize("spread", [False, True])
-@pytest.mark.parametrize(("cells", "hot"), [(None, substring_dedup.HOT), (1 << 16, 3), (None, 2)])
-def test_documents(spark, sf_dir, cells, hot, spread):
+@pytest.mark.parametrize(("cells", "hot"), [(None, substring_dedup.HOT), (1 << 16, 3), (None, 2), (1, 50)])
+def test_documents(spark, sf_dir, cells, hot):
     docs = table(spark, sf_dir, "documents")
     want = plain([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert got(docs, cells=cells, hot=hot, spread=spread) == want
+    assert got(docs, cells=cells, hot=hot) == want
 
 
 def test_a_window_in_every_document_is_spread(spark, monkeypatch):
@@ -42,37 +41,32 @@ def test_a_window_in_every_document_is_spread(spark, monkeypatch):
     line = " ".join(f"w{i}" for i in range(35))
     rows = [(i, f"a{i} {line} b{i}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = docs.select(F.lit(1).cast("long").alias("one"), F.lit(2).alias("two"), "doc_id", F.xxhash64("text").alias("text_key"), F.hash("text").alias("text_hash"), F.lit(1).alias("place"), F.lit(False).alias("known"))
+    found = docs.select(F.lit(1).cast("long").alias("one"), F.lit(2).alias("two"), "doc_id", F.xxhash64("text").alias("text_key"), F.hash("text").alias("text_hash"), F.lit(64).alias("span"), F.lit(False).alias("known"))
     salted = substring_dedup._hot(found)
     assert salted.count() == 2000
-    spread = [r["n"] for r in found.groupBy(F.pmod(F.xxhash64("text_key", "place"), F.lit(substring_dedup.SALTS)).alias("s")).agg(F.count("*").alias("n")).collect()]
+    spread = [r["n"] for r in found.groupBy(F.pmod(F.xxhash64("text_key", "span"), F.lit(substring_dedup.SALTS)).alias("s")).agg(F.count("*").alias("n")).collect()]
     assert len(spread) == substring_dedup.SALTS and max(spread) <= 2 * sorted(spread)[len(spread) // 2]
     assert got(docs, hot=100) == plain(rows)
-    assert got(docs, hot=100, spread=True) == plain(rows)
 
 
-def test_a_spread_sketch_does_not_saturate(spark, sf_dir, monkeypatch):
-    """Where the sketch that is broadcast has an eighth of a cell an anchor, as at some 100 GB, it passes nearly all windows;
-    the spread one, taken by default from there on, passes few more than share an anchor."""
+def test_what_the_sketch_passes(spark, sf_dir):
+    """Few more windows than share an anchor; all of them where every anchor has the same cell."""
     docs = table(spark, sf_dir, "documents")
-    anchors = Counter()
+    anchors, places = Counter(), Counter()
     for r in docs.collect():
         piece = substring_dedup.Piece([(r["text"] or "").encode().split()], 35, 20)
         anchors.update(piece.runs[piece.anchor_at].tolist())
-    places = Counter()
-    for r in docs.collect():
-        piece = substring_dedup.Piece([(r["text"] or "").encode().split()], 35, 20)
-        places.update(piece.anchors().tolist())
+        places.update(piece.runs[piece.anchor_places()].tolist())
     least = sum(n for a, n in anchors.items() if places[a] > 1)
-    monkeypatch.setattr(substring_dedup, "RANGE", 1 << 8)
-    few = 1 << (len(places) // 8).bit_length() - 1
-    monkeypatch.setattr(substring_dedup, "MAX_CELLS", few)
-    wide = substring_dedup.suspects(docs, spread=False)[0].count()
-    default = substring_dedup.suspects(docs)[0].count()
-    assert wide > 0.9 * sum(anchors.values())
-    assert least <= default <= least + 0.05 * sum(anchors.values())
-    want = plain([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert got(docs) == want
+    windows = F.sum(F.col("span") % substring_dedup.SPAN + 1)
+    passed = substring_dedup.suspects(docs)[0].agg(windows).first()[0]
+    assert least <= passed <= least + 0.05 * sum(anchors.values())
+    assert substring_dedup.suspects(docs, cells=1)[0].agg(windows).first()[0] == sum(anchors.values())
+
+
+def test_cells_grow_with_the_text():
+    for size in (0, 10**6, 10**9, 10**12, 10**14):
+        assert size <= substring_dedup.cells_for(size) <= max(2 * size, substring_dedup.CELLS[0])
 
 
 def test_null_and_shared_ids_with_equal_hashes(spark, monkeypatch):
@@ -82,7 +76,7 @@ def test_null_and_shared_ids_with_equal_hashes(spark, monkeypatch):
     real = substring_dedup._hashed
     monkeypatch.setattr(substring_dedup, "_hashed", lambda d: real(d).withColumn("text_hash", F.lit(0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(docs) == got(docs, spread=True) == plain(rows)
+    assert got(docs) == plain(rows)
 
 
 def test_digest(spark, sf_dir):
@@ -96,7 +90,7 @@ def test_small_pieces(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 60)))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(docs, window=6, anchor=3) == got(docs, window=6, anchor=3, spread=True) == plain(rows, 6)
+    assert got(docs, window=6, anchor=3) == plain(rows, 6)
 
 
 def test_odd_rows(spark):
@@ -106,5 +100,5 @@ def test_odd_rows(spark):
         (6, " ".join(f"v{i}" for i in range(50))), (6, " ".join(f"v{i}" for i in range(50))), (7, " ".join(f"u{i}" for i in range(36))), (7, "other text"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"place": F.lit("clash"), "n": F.lit(1), "key": F.lit(2)})
-    assert got(docs) == got(docs, spread=True) == plain(rows)
-    assert got(docs.limit(0)) == got(docs.limit(0), spread=True) == []
+    assert got(docs) == plain(rows)
+    assert got(docs.limit(0)) == []

@@ -3,27 +3,24 @@
 First pass. Every window is represented by its anchor, the 20-word run in it with the
 smallest hash (the leftmost of equals). Equal windows have equal anchors at equal
 places, so an anchor occurs at least as often as any window it stands for, and far
-fewer anchors than windows need counting. Each task sketches the anchors it meets
-(count-min: several rows of counters, one cell of each row an anchor); the sketches
-are summed by ranges of cells, which gives counts that are never too low. Two bits a
-cell are kept, "more than once" and "more than HOT times", and broadcast: their size is
-fixed by the parameters.
-
-A corpus too large for the largest sketch that is broadcast (MAX_CELLS) is sketched by
-one row with a cell for every byte of text, spread over the tasks of a shuffle: each task
-sends the cells it meets, with counts, to where their sums are made, and what comes back
-to a text are the places of its anchors in cells that count more than one. A cell sends
-one row for each 2**18 anchors a task meets, however often it occurs.
+fewer anchors than windows need counting. Each task sketches the anchors it meets: it
+counts them by cells, numbers that hashes give, and sends the cells met, with their counts,
+to where the sketches are merged by sums, cell by cell. So counts are never too low, and
+too high only where anchors share a cell. The merged sketch has a cell for every byte of
+text, some fifty an anchor, and lies over the tasks of a shuffle; nothing of it is broadcast.
+One row of cells takes the place of several with fewer each. What comes back to a text are
+the places of its anchors in cells that count more than one. However often a cell occurs,
+it sends one row for each 2**18 anchors a task meets.
 
 Second pass. Only windows whose anchor is estimated repeated go on. Windows met twice
-within a task's piece of rows are known to be repeated at once; of the others one row
-a piece goes to an exact grouping by a 96-bit hash of the window, so a window that
+within a task's piece of rows are known to be repeated at once: all but the first go on as
+spans of neighbouring windows; of the others one row a piece goes to an exact grouping by a 96-bit hash of the window, so a window that
 a third of all documents share gives a row for each piece, not for each document.
 None is lost: what the sketch passes by occurs once.
 
 Since the sketch never counts too low, a window whose anchor is not hot has HOT rows at
-most (of a spread sketch, a two-millionth of the bytes if that is more, so that hot cells
-are a million at most and can be broadcast), and a task can hold them. Windows with hot anchors (a licence line in a very large
+most (or a two-millionth of the bytes if that is more, so that hot cells are a million at
+most and can be broadcast), and a task can hold them. Windows with hot anchors (a licence line in a very large
 corpus) are counted by partial sums instead, and the repeated ones joined back by salt.
 
 Last, each text's repeated windows meet the documents of that text, and words they cover
@@ -41,7 +38,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 import xxhash
@@ -53,20 +49,20 @@ from tidewheel.storage import cut
 
 WINDOW = 35
 ANCHOR = 20
-#: Rows of the sketch, and the most cells of a row. A row's two bits a cell are broadcast: 64 MB at most.
-DEPTH = 2
-MAX_CELLS = 1 << 28
-#: Cells in one piece of the sketch, as summed by one group.
-RANGE = 1 << 16
+#: Cells of the sketch, at least and at most.
+CELLS = (1 << 16, 1 << 62)
 #: Words worked on at once by a task, and anchors sketched at once.
 PIECE, SKETCHED = 1 << 17, 1 << 18
 
-#: A spread sketch has at most one hot cell for 2**-HOT_SHARE of the bytes over this, as an anchor takes two bytes at least: a million.
+#: There is at most one hot cell for 2**-HOT_SHARE of the bytes over this, as an anchor takes two bytes at least: a million.
 HOT_SHARE = 21
 
 #: Occurrences of an anchor, by the sketch, above which its windows are counted by partial sums; and salts of their join.
 HOT, SALTS = 1 << 16, 64
 
+#: Neighbouring windows in one row, at most; a span is place * SPAN + windows - 1, and starts no text's set over SPAN times its words.
+SPAN = 64
+
 #: Bases of the two run hashes: any odd numbers.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -116,10 +112,6 @@ class Piece:
         at = self.anchor_at
         return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
 
-    def anchors(self) -> np.ndarray:
-        """The hash of each anchor place, once."""
-        return self.runs[self.anchor_places()]
-
     def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(run_hashes(self.words, self.window, base)[self.at[chosen]] for base in BASES)
 
@@ -139,87 +131,25 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iter
 
 
 def cells_for(n_bytes: int) -> int:
-    """Cells of a row of the sketch for so many bytes of text: about two an anchor, up to MAX_CELLS."""
-    return 1 << min(max(n_bytes // 25, RANGE).bit_length(), MAX_CELLS.bit_length() - 1)
-
-
-def _cells(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The cell of each anchor in each row of the sketch."""
-    return [_mixed(anchors + np.uint64(i)) & np.uint64(cells - 1) for i in range(DEPTH)]
+    """Cells of the sketch for so many bytes of text: one a byte at least, fifty an anchor or so."""
+    return min(max(1 << n_bytes.bit_length(), CELLS[0]), CELLS[1])
 
 
-def sketch(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> tuple[np.ndarray, np.ndarray | None]:
-    """Bits [DEPTH, cells / 8], twice: in which cells the merged sketch counts more than one anchor, and more than ``hot``.
-
-    The second is None where no cell is hot.
-    """
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for depth, cell in enumerate(_cells(anchors, cells)):
-                cell, count = np.unique(cell, return_counts=True)
-                number, first = np.unique(cell // np.uint64(RANGE), return_index=True)
-                # 255 at most a batch: more than the batch has pieces, so still no fewer than the rows of a window.
-                low, count = (cell % np.uint64(RANGE)).astype(np.uint16), np.minimum(count, 255).astype(np.uint8)
-                parts = list(zip(first, np.r_[first[1:], len(cell)], strict=True))
-                yield pa.record_batch(
-                    [
-                        pa.array(np.full(len(number), depth, np.int32)),
-                        pa.array(number.astype(np.int64)),
-                        pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()),
-                        pa.array([count[a:b].tobytes() for a, b in parts], pa.binary()),
-                    ],
-                    ["depth", "range", "cell", "n"],
-                )
-
-        held, size = [], 0
-        for *_, piece in _pieces(batches, window, anchor):
-            held.append(piece.anchors())
-            size += len(held[-1])
-            if size >= SKETCHED:
-                yield from rows(np.concatenate(held))
-                held, size = [], 0
-        if size:
-            yield from rows(np.concatenate(held))
+def _cells(anchors: np.ndarray, cells: int) -> np.ndarray:
+    return _mixed(anchors) & np.uint64(cells - 1)
 
-    names = ["depth", "range", "more", "hot"]
 
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(RANGE, np.uint64)
-        for cell, n in zip(part["cell"], part["n"], strict=True):
-            total[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.uint8)
-        return pd.DataFrame({"depth": part["depth"][:1], "range": part["range"][:1], **{f"over{k}": [np.packbits(total > k, bitorder="little").tobytes() if (total > k).any() else None] for k in (1, hot)}}).set_axis(names, axis=1)
-
-    merged = (
-        docs.select("text")
-        .mapInArrow(partial, "depth int, range long, cell binary, n binary")
-        .groupBy("depth", "range")
-        .applyInPandas(merge, "depth int, range long, more binary, hot binary")
-    )
-    bits = np.zeros((2, DEPTH, cells // RANGE, RANGE // 8), np.uint8)
-    for row in merged.where("more is not null").collect():  # cells / 4 bytes a row of the sketch, whatever the corpus
-        for k, name in enumerate(("more", "hot")):
-            if row[name] is not None:
-                bits[k, row["depth"], row["range"]] = np.frombuffer(row[name], np.uint8)
-    more, hot_ = bits.reshape(2, DEPTH, -1)
-    return more, hot_ if hot_.any() else None
-
-
-def _told(bits: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
-    """For each anchor, given by its cell in each row of the sketch, whether all its bits are set."""
-    return np.logical_and.reduce([row[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1 > 0 for row, c in zip(bits, cells, strict=True)])
-
-
-def _same(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order of keys; in that order, where a new one starts, and how many equal ones there are."""
+def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key, whether it is the first of its equals, and how many of them there are."""
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+    new = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(keys) else np.empty(0, bool)
     group = np.cumsum(new) - 1
-    return order, new, np.bincount(group)[group] if len(group) else group
+    first, count = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
+    first[order], count[order] = new, np.bincount(group)[group] if len(keys) else group
+    return first, count
 
 
-def spread_sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: int) -> tuple[DataFrame, np.ndarray]:
+def sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: int) -> tuple[DataFrame, np.ndarray]:
     """(text_key, text_hash, anchors): the places in each text of anchors whose cell counts more than one;
     and, in order, the cells that count more than ``hot``.
 
@@ -230,15 +160,14 @@ def spread_sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: in
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: list[tuple]) -> pa.RecordBatch:
             cell, key, short, at = (np.concatenate(column) for column in zip(*held, strict=True))
-            order, new, count = _same(cell)
-            cell, at = cell[order], at[order]
+            new, count = _first(cell)
             # Later anchors of a cell are known to repeat and not counted again: they go where
             # a hash of their own leads, and are told apart by a null.
             return pa.record_batch(
                 [
                     pa.array(np.where(new, cell, _mixed(cell + at.astype(np.uint64) + np.uint64(1))).view(np.int64)),
-                    pa.array(key[order]),
-                    pa.array(short[order]),
+                    pa.array(key),
+                    pa.array(short),
                     pa.array(at),
                     pa.array(count.astype(np.int32), mask=~new),
                 ],
@@ -250,7 +179,7 @@ def spread_sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: in
             at = piece.anchor_places()
             doc = piece.doc[at]
             key, short = (batch.column(name).to_numpy(zero_copy_only=False)[first + doc] for name in ("text_key", "text_hash"))
-            held.append((_mixed(piece.runs[at]) & np.uint64(cells - 1), key, short, (at - piece.begins[doc]).astype(np.int32)))
+            held.append((_cells(piece.runs[at], cells), key, short, (at - piece.begins[doc]).astype(np.int32)))
             size += len(at)
             if size >= SKETCHED:
                 yield rows(held)
@@ -267,42 +196,25 @@ def spread_sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: in
     return places, np.sort(np.array(cells_, np.int64).view(np.uint64))
 
 
-def suspects(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT, spread: bool | None = None) -> tuple[DataFrame, bool]:
-    """The windows that the sketch estimates repeated: (one, two, text_key, text_hash, place, known, hot); and whether any is hot.
+def suspects(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT) -> tuple[DataFrame, bool]:
+    """The windows that the sketch estimates repeated: (one, two, text_key, text_hash, span, known, hot); and whether any is hot.
 
-    The sketch is broadcast, or spread over tasks: by default where it would need more than MAX_CELLS cells.
+    One row a window, but for later ones of a piece's equal windows: these have no two, and neighbours share a row.
     """
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if cells is None or spread is None else 0
-    if spread is None:
-        spread = cells is None and n_bytes // 25 >= MAX_CELLS
-    if spread:
-        cells = cells or 1 << min(max(n_bytes, RANGE).bit_length(), 62)
-        asked, often = spread_sketch(docs, cells, window, anchor, max(hot, n_bytes >> HOT_SHARE))
-        sent = docs.sparkSession.sparkContext.broadcast((None, often))
-        source = _hashed(docs).join(asked.hint("shuffle_hash"), ["text_key", "text_hash"]).select("text", "text_key", "text_hash", "anchors")
-        any_hot = len(often) > 0
-    else:
-        cells = cells or cells_for(n_bytes)
-        more, often = sketch(docs, cells, window, anchor, hot)
-        sent = docs.sparkSession.sparkContext.broadcast((more, often))
-        source, any_hot = _hashed(docs), often is not None
-
-    def chosen_of(batch: pa.RecordBatch, first: int, piece: Piece, more: np.ndarray | None, often: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of the piece estimated repeated, by number, and which of them are hot."""
-        if more is None:
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = cells or cells_for(n_bytes)
+    asked, often = sketch(docs, cells, window, anchor, max(hot, n_bytes >> HOT_SHARE))
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+    # With doc_id, which nothing reads here, the texts are shuffled once for this join and the last one.
+    source = _hashed(docs).join(asked.hint("shuffle_hash"), ["text_key", "text_hash"]).select("doc_id", "text", "text_key", "text_hash", "anchors")
+
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, piece in _pieces(batches, window, anchor):
             marked = np.zeros(len(piece.words), bool)
             for i, begin in enumerate(piece.begins):
                 marked[begin + batch.column("anchors")[first + i].values.to_numpy()] = True
             chosen = np.flatnonzero(marked[piece.anchor_at])
-            return chosen, np.isin(_mixed(piece.runs[piece.anchor_at[chosen]]) & np.uint64(cells - 1), often)
-        anchors = _cells(piece.runs[piece.anchor_at], cells)
-        chosen = np.flatnonzero(_told(more, anchors))
-        return chosen, _told(often, [c[chosen] for c in anchors]) if often is not None else np.zeros(len(chosen), bool)
-
-    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        more, often = sent.value
-        for batch, first, piece in _pieces(batches, window, anchor):
-            chosen, is_hot = chosen_of(batch, first, piece, more, often)
+            is_hot = np.isin(_cells(piece.runs[piece.anchor_at[chosen]], cells), sent.value)
             one, two = piece.hashes(chosen)
             order = np.lexsort((two, one))
             one, two, at, is_hot = one[order], two[order], piece.at[chosen][order], is_hot[order]
@@ -314,29 +226,36 @@ def suspects(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells:
             # where a hash of their own leads, and are told apart by a null.
             turn = np.arange(len(at)) - np.flatnonzero(new)[group] if len(at) else at
             one = np.where(new, one, _mixed(one + turn.astype(np.uint64)))
-            # In the order of places a task's rows compress well.
+            # In the order of places a task's rows compress well, and neighbours among later members make spans.
             order = np.argsort(at, kind="stable")
-            row = pa.array(first + doc[order])
+            at, doc, new, is_hot = at[order], doc[order], new[order], is_hot[order]
+            place = at - piece.begins[doc]
+            joins = ~new[1:] & ~new[:-1] & (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1]) & (is_hot[1:] == is_hot[:-1]) & (place[1:] % SPAN > 0)
+            first_of = np.flatnonzero(np.r_[True, ~joins]) if len(at) else np.empty(0, np.int64)
+            n_windows = np.diff(np.r_[first_of, len(at)])
+            order = order[first_of]
+            row = pa.array(first + doc[first_of])
             yield pa.record_batch(
                 [
                     pa.array(one[order].view(np.int64)),
-                    pa.array(two[order].view(np.int64).astype(np.int32), mask=~new[order]),
+                    pa.array(two[order].view(np.int64).astype(np.int32), mask=~new[first_of]),
                     batch.column("text_key").take(row),
                     batch.column("text_hash").take(row),
-                    pa.array((at - piece.begins[doc])[order].astype(np.int32)),
+                    pa.array(place[first_of] * SPAN + n_windows - 1),
                     pa.array(twice[order]),
-                    pa.array(is_hot[order]),
+                    pa.array(is_hot[first_of]),
                 ],
-                ["one", "two", "text_key", "text_hash", "place", "known", "hot"],
+                ["one", "two", "text_key", "text_hash", "span", "known", "hot"],
             )
 
-    return source.mapInArrow(suspected, "one long, two int, text_key long, text_hash int, place int, known boolean, hot boolean"), any_hot
+    return source.mapInArrow(suspected, "one long, two int, text_key long, text_hash int, span long, known boolean, hot boolean"), len(often) > 0
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT, spread: bool | None = None) -> DataFrame:
-    """(text_key, text_hash, place) of every window that starts anywhere else as well; place counts words from 0."""
-    found, any_hot = suspects(docs, window, anchor, cells, hot, spread)
-    names = ["text_key", "text_hash", "place"]
+def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT) -> DataFrame:
+    """(text_key, text_hash, span) of every window that starts anywhere else as well: span // SPAN is the place of the first
+    window of a span, in words from 0, and span % SPAN the number of windows that follow it."""
+    found, any_hot = suspects(docs, window, anchor, cells, hot)
+    names = ["text_key", "text_hash", "span"]
     # At most one row a piece of a task has any given hash.
     counted = found.where("not hot").drop("hot") if any_hot else found.drop("hot")
     counted = counted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))
@@ -349,7 +268,7 @@ def _hot(found: DataFrame) -> DataFrame:
     found = cut(found, "hot")
     again = found.where("two is not null").groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = found.where("not known").withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.lit(SALTS)).cast("int"))
+    salted = found.where("not known").withColumn("salt", F.pmod(F.xxhash64("text_key", "span"), F.lit(SALTS)).cast("int"))
     joined = salted.join(again.withColumn("salt", every), ["one", "two", "salt"], "left_semi")
     return found.where("known").unionByName(joined.drop("salt"))
 
@@ -358,26 +277,26 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.hash("text").alias("text_hash"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT, spread: bool | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, text, n_words, n_removed): the words no repeated window covers, joined by one space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    places = (
-        repeated_windows(docs, window, anchor, cells, hot, spread)
+    spans = (
+        repeated_windows(docs, window, anchor, cells, hot)
         .groupBy("text_key", "text_hash")
-        .agg(F.collect_set("place").alias("places"))  # no more than the text has words
+        .agg(F.collect_set("span").alias("spans"))  # no more than SPAN times the text's words
     )
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, gone = [], [], []
-            for text, places in zip(batch.column("text").cast(pa.binary()), batch.column("places"), strict=True):
+            for text, spans in zip(batch.column("text").cast(pa.binary()), batch.column("spans"), strict=True):
                 words = (text.as_py() or b"").split()
                 total.append(len(words))
-                if places.is_valid:
-                    starts = places.values.to_numpy()
+                if spans.is_valid:
+                    starts, more = np.divmod(spans.values.to_numpy(), SPAN)
                     edges = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edges, starts, 1)
-                    np.add.at(edges, starts + window, -1)
+                    np.add.at(edges, starts + more + window, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
                 gone.append(total[-1] - len(words))
                 kept.append(b" ".join(words))
@@ -386,7 +305,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 ["doc_id", "text", "n_words", "n_removed"],
             )
 
-    joined = _hashed(docs).join(places.hint("shuffle_hash"), ["text_key", "text_hash"], "left").select("doc_id", "text", "places")
+    joined = _hashed(docs).join(spans.hint("shuffle_hash"), ["text_key", "text_hash"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(strip, f"doc_id {kind}, text string, n_words long, n_removed long")
 
 
