@@ -29,9 +29,12 @@ def got(docs, **params):
 
 
 @pytest.mark.parametrize(("cells", "hot"), [(None, substring_dedup.HOT), (1 << 16, 3), (None, 2), (1, 50)])
-def test_documents(spark, sf_dir, cells, hot):
+def test_documents(spark, sf_dir, monkeypatch, cells, hot):
+    if hot < substring_dedup.HOT:  # so small that a window may have more rows
+        monkeypatch.setattr(substring_dedup, "PIECE", 1000)
     docs = table(spark, sf_dir, "documents")
     want = plain([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert substring_dedup.suspects(docs, cells=cells, hot=hot)[1] == (hot < substring_dedup.HOT)
     assert got(docs, cells=cells, hot=hot) == want
 
 

@@ -18,10 +18,10 @@ spans of neighbouring windows; of the others one row a piece goes to an exact gr
 a third of all documents share gives a row for each piece, not for each document.
 None is lost: what the sketch passes by occurs once.
 
-Since the sketch never counts too low, a window whose anchor is not hot has HOT rows at
-most (or a two-millionth of the bytes if that is more, so that hot cells are a million at
-most and can be broadcast), and a task can hold them. Windows with hot anchors (a licence line in a very large
-corpus) are counted by partial sums instead, and the repeated ones joined back by salt.
+A window has no more rows than there are pieces, and no more than the sketch counts of its
+anchor. Where both may be over HOT (beyond some 270 GB of text, and for a line such as a
+licence's), windows are counted by partial sums instead, and the repeated ones joined back
+by salt; their cells, a million at most, are broadcast. All others a task can hold.
 
 Last, each text's repeated windows meet the documents of that text, and words they cover
 are removed. Texts are known by 96 bits of two hashes, so neither null nor shared doc_ids
@@ -54,11 +54,9 @@ CELLS = (1 << 16, 1 << 62)
 #: Words worked on at once by a task, and anchors sketched at once.
 PIECE, SKETCHED = 1 << 17, 1 << 18
 
-#: There is at most one hot cell for 2**-HOT_SHARE of the bytes over this, as an anchor takes two bytes at least: a million.
-HOT_SHARE = 21
-
-#: Occurrences of an anchor, by the sketch, above which its windows are counted by partial sums; and salts of their join.
-HOT, SALTS = 1 << 16, 64
+#: Rows of a window above which it is counted by partial sums, and salts of their join. A cell counts also over
+#: 2**-HOT_SHARE of the bytes to be hot: as an anchor takes two bytes at least, hot cells are a million at most.
+HOT, SALTS, HOT_SHARE = 1 << 20, 64, 21
 
 #: Neighbouring windows in one row, at most; a span is place * SPAN + windows - 1, and starts no text's set over SPAN times its words.
 SPAN = 64
@@ -149,9 +147,9 @@ def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, count
 
 
-def sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: int) -> tuple[DataFrame, np.ndarray]:
+def sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: int | None) -> tuple[DataFrame, np.ndarray]:
     """(text_key, text_hash, anchors): the places in each text of anchors whose cell counts more than one;
-    and, in order, the cells that count more than ``hot``.
+    and, in order, the cells that count more than ``hot``, if that is given.
 
     Texts without such an anchor have no row. The table of anchors is written, so counts are made once.
     """
@@ -189,9 +187,10 @@ def sketch(docs: DataFrame, cells: int, window: int, anchor: int, hot: int) -> t
 
     met = _hashed(docs).drop("doc_id").mapInArrow(partial, "cell long, text_key long, text_hash int, at int, n int")
     counted = met.withColumn("total", F.sum("n").over(Window.partitionBy("cell")))
-    told = counted.where("n is null or total > 1").withColumn("hot", F.when(F.col("total") > hot, F.col("cell")))
+    is_hot = F.lit(False) if hot is None else F.col("total") > hot
+    told = counted.where("n is null or total > 1").withColumn("hot", F.when(is_hot, F.col("cell")))
     told = cut(told.select("text_key", "text_hash", "at", "hot"), "anchors")
-    cells_ = [r["hot"] for r in told.where("hot is not null").select("hot").distinct().collect()]
+    cells_ = [] if hot is None else [r["hot"] for r in told.where("hot is not null").select("hot").distinct().collect()]
     places = told.groupBy("text_key", "text_hash").agg(F.collect_set("at").alias("anchors"))  # no more than the text has words
     return places, np.sort(np.array(cells_, np.int64).view(np.uint64))
 
@@ -203,7 +202,8 @@ def suspects(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells:
     """
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = cells or cells_for(n_bytes)
-    asked, often = sketch(docs, cells, window, anchor, max(hot, n_bytes >> HOT_SHARE))
+    pieces = n_bytes // (2 * PIECE)  # at most, as a word takes two bytes; batches that end early aside
+    asked, often = sketch(docs, cells, window, anchor, max(hot, n_bytes >> HOT_SHARE) if pieces > hot else None)
     sent = docs.sparkSession.sparkContext.broadcast(often)
     # With doc_id, which nothing reads here, the texts are shuffled once for this join and the last one.
     source = _hashed(docs).join(asked.hint("shuffle_hash"), ["text_key", "text_hash"]).select("doc_id", "text", "text_key", "text_hash", "anchors")
