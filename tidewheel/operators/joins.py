@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.session import table, views
+from tidewheel.storage import cut
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int) -> DataFrame:
@@ -127,10 +128,70 @@ def inequality_join(left: DataFrame, right: DataFrame, less: tuple[str, str], mo
         df = df.withColumns({f"{c}bucket": _bucket(F.col(c), edges[c] or [0.0]) for c in ("a_", "b_")})
         df = df.withColumn("x_", F.explode(places("a_", bit))).withColumn("y_", F.explode(places("b_", bit)))
         placed.append(df.drop("a_", "b_", "a_bucket", "b_bucket"))
-    met = placed[0].join(placed[1], ["x_", "y_"]).where((F.col(less[0]) < F.col(less[1])) & (F.col(more[0]) > F.col(more[1])))
+    # Spark takes a side's size from before it was repeated, and would broadcast it by that.
+    met = placed[0].join(placed[1].hint("merge"), ["x_", "y_"]).where((F.col(less[0]) < F.col(less[1])) & (F.col(more[0]) > F.col(more[1])))
     return met.select(*left.columns, *right.columns)
 
 
+def _ranks(values: DataFrame, value: str) -> DataFrame:
+    """(value, rank_): the place of each distinct value in their order, from 0, by a range partitioning."""
+    dealt = cut(values.select(value).distinct().repartitionByRange(value).select(value, F.spark_partition_id().alias("part_")), "ranks")
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("ahead_"))  # a row a partition
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy(value)) - 1
+    return dealt.withColumn("at_", inside).join(parts, "part_").select(value, (F.col("at_") + F.col("ahead_")).alias("rank_"))
+
+
+def inequality_totals(left: DataFrame, right: DataFrame, less: tuple[str, str], more: tuple[str, str], value: str, levels: int = 10) -> DataFrame:
+    """right's rows with n, top and least: how many left rows have left.less[0] < right.less[1] and left.more[0] > right.more[1], their largest left.more[0] and smallest left.value.
+
+    No pair is formed. The first comparison is by ranks of distinct values: of two different
+    ones, one is in the lower and one in the upper half of exactly one block of 2, 4, 8 ...
+    ranks, so a left row stands in the lower halves that it is in and a right row asks those
+    beside its upper ones. There the second comparison is a running total, ordered in 2 **
+    levels ranges; what went before a range comes from the ranges' own totals. Rows equal in
+    both values are one, so a frequent value is no large group. A row is repeated at most as
+    often as there are bits in the number of distinct values.
+
+    Rows of right that no left row goes with are left out. Nulls and NaN go with nothing. What
+    the other side's extremes exclude is left out before anything is repeated.
+    """
+    sides = []
+    for df, a, b in ((left, less[0], more[0]), (right, less[1], more[1])):
+        there = df.withColumns({"x_": F.col(a), "y_": F.col(b)}).where("x_ IS NOT NULL AND y_ IS NOT NULL")
+        for c in ("x_", "y_"):
+            there = there.where(~F.isnan(c)) if dict(there.dtypes)[c] in ("double", "float") else there
+        sides.append(there)
+    low, high = (df.agg(F.min("x_").alias("x0"), F.max("x_").alias("x1"), F.min("y_").alias("y0"), F.max("y_").alias("y1")).first() for df in sides)
+    lefts = sides[0].where((F.col("x_") < F.lit(high["x1"])) & (F.col("y_") > F.lit(high["y0"])))
+    rights = sides[1].where((F.col("x_") > F.lit(low["x0"])) & (F.col("y_") < F.lit(low["y1"])))
+    held = lefts.groupBy("x_", "y_").agg(F.count(F.lit(1)).alias("n_"), F.min(value).alias("least_"))
+    asked = rights.select("x_", "y_").distinct()
+    ranks = cut(_ranks(lefts.select("x_").union(rights.select("x_")), "x_"), "ranks")
+    bits = (ranks.agg(F.max("rank_")).first()[0] or 0).bit_length()
+    shares = [k / (1 << levels) for k in range(1, 1 << levels)]
+    edges = held.select("y_").union(asked.select("y_")).agg(F.percentile_approx(F.col("y_").cast("double"), shares, 100 << levels).alias("e")).first()["e"] or [0.0]
+
+    def placed(df: DataFrame, bit: int) -> DataFrame:
+        rank = F.col("rank_")
+        half = lambda k: F.when(F.shiftright(rank, k).bitwiseAND(F.lit(1)) == bit, F.struct(F.lit(k).alias("size"), F.shiftright(rank, k + 1).alias("block")))
+        halves = F.array_compact(F.array(*[half(k) for k in range(max(bits, 1))]))
+        return df.join(ranks, "x_").withColumns({"range_": _bucket(F.col("y_").cast("double"), edges), "place_": F.explode(halves)})
+
+    totals = (F.sum("n_").alias("n_"), F.max("top_").alias("top_"), F.min("least_").alias("least_"))
+    given = placed(held, 0).groupBy("place_", "range_", "y_").agg(F.sum("n_").alias("n_"), F.max("y_").alias("top_"), F.min("least_").alias("least_"))
+    both = given.withColumn("side_", F.lit(1)).unionByName(placed(asked, 1).select("place_", "range_", "y_", "x_", F.lit(0).alias("side_")), allowMissingColumns=True)
+    both = cut(both, "halves")
+    before = Window.partitionBy("place_").orderBy(F.desc("range_")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = both.groupBy("place_", "range_").agg(*totals).select("place_", "range_", *[f(c).over(before).alias(d) for f, c, d in ((F.sum, "n_", "n0_"), (F.max, "top_", "top0_"), (F.min, "least_", "least0_"))])
+    inside = Window.partitionBy("place_", "range_").orderBy(F.desc("y_"), "side_").rowsBetween(Window.unboundedPreceding, 0)
+    running = both.withColumns({"n_": F.sum("n_").over(inside), "top_": F.max("top_").over(inside), "least_": F.min("least_").over(inside)}).where("side_ = 0")
+    met = running.join(ranges, ["place_", "range_"]).groupBy("x_", "y_").agg(
+        F.sum(F.coalesce("n_", F.lit(0)) + F.coalesce("n0_", F.lit(0))).alias("n"), F.max(F.greatest("top_", "top0_")).alias("top"), F.min(F.least("least_", "least0_")).alias("least")
+    )
+    return rights.join(met.where("n > 0"), ["x_", "y_"]).select(*right.columns, "n", "top", "least")
+
+
 def _seconds(c: Column) -> Column:
     return F.unix_timestamp(c.cast("timestamp"))
 
@@ -250,11 +311,11 @@ def lines_by_order_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dearer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines dearer than a whole order that came at least six years after they were shipped: a join on two inequalities of two large sides."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.expr("l_shipdate + INTERVAL 6 YEARS").alias("later"))
+    """Lines dearer than a whole order that came at least six years after they were shipped: totals of two large sides over two inequalities."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", F.expr("l_shipdate + INTERVAL 6 YEARS").alias("later"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    met = inequality_join(line, orders, ("later", "o_orderdate"), ("l_extendedprice", "o_totalprice"))
-    return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_extendedprice").alias("dearest"), F.min("l_orderkey").alias("first_order"))
+    met = inequality_totals(line, orders, ("later", "o_orderdate"), ("l_extendedprice", "o_totalprice"), "l_orderkey")
+    return met.groupBy("o_orderkey").agg(F.sum("n").alias("n_lines"), F.max("top").alias("dearest"), F.min("least").alias("first_order"))
 
 
 def shuffled_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
