@@ -127,3 +127,22 @@ def test_hot_key_and_nothing(spark):
     assert {r["n"] for r in found.collect()} == {k + j for k, said in plain(own, pattern, False) for j in range(len(said))}
     assert Matcher(df.limit(0), ["key"], ["n"], conditions, pattern).apart().count() == 0
     assert Matcher(df, ["key"], ["n"], conditions | {"A": F.lit(None).cast("boolean")}, pattern).every().count() == 0
+
+
+def test_matches_that_end_with_a_partition(spark):
+    """Ends at the last row that a partition has of a key that goes on in the next one."""
+    own = [frozenset({"AC"[k % 2], "ANY"}) for k in range(2000)]
+    df = spark.createDataFrame([(1, k, sorted(r)) for k, r in enumerate(own)], "key int, n int, met array<string>").repartition(4)
+    conditions = {c: F.array_contains("met", c) for c in NAMES}
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        for pattern in (seq("A", "C"), seq("C", "A")):
+            m = Matcher(df, ["key"], ["n"], conditions, pattern, piece_bits=4)
+            said = plain(own, pattern, True)
+            assert sorted((r["n"], r["n_rows"]) for r in m.every().collect()) == [(k, 2) for k, _ in said]
+            assert {r["n"] for r in m.apart().collect()} == {k + j for k, own_ in plain(own, pattern, False) for j in range(len(own_))}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)

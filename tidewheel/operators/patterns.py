@@ -230,12 +230,14 @@ class Matcher:
 
         def resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             front: list[int] = []
+            first = 0
 
             def keep(row: dict, new: bool) -> dict:
-                nonlocal front
-                behind = [row["last_"] if None in options else NONE for options in choices] if new else front
-                # An end in front of a piece's first row is that of the piece before, which has the place before or an earlier one.
+                nonlocal front, first
+                # An end in front of the next piece's first row is this piece's last, whose place may be an earlier one, of another partition.
+                behind = [row["last_"] if None in options else NONE for options in choices] if new else [row["last_"] if NONE < e < first else e for e in front]
                 front = [next((e for e in (t if t >= 0 else behind[-2 - t] for t in tries) if e != NONE), NONE) for tries in row["front_"]]
+                first = row["first_"]
                 return {c: row[c] for c in ("key_", "piece_", "first_", "last_")} | {"behind_": behind, "front_": front}
 
             yield from _grouped(batches, keep)
