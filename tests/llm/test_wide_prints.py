@@ -130,3 +130,25 @@ def test_texts_on_both_sides_of_the_bound(spark, sf_dir):
     rows = [(1, " ".join(base), None, None, None), (2, " ".join(near), None, None, None), (3, " ".join(far), None, None, None)]
     kept = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SHAPE), sf_dir)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_every_pair_of_a_hot_shard_is_searched(spark):
+    """Pairs that are near only each other, in one shard that is cut: each is linked, in whatever parts its two are."""
+    rng = np.random.default_rng(3)
+    chosen = wide_prints.bands(400)
+    same = np.unique(chosen[0])
+    rows = []
+    for k in range(200):
+        bits = rng.integers(0, 2, wide_prints.BITS).astype(np.uint8)
+        bits[same] = 0  # band 0 is one shard of all
+        twin = bits.copy()
+        free = np.setdiff1d(np.arange(wide_prints.TREE), same)
+        for band in chosen[1:]:  # in no other band together
+            if (bits[band] == twin[band]).all() and len(own := np.intersect1d(band, free)):
+                twin[own[0]] ^= 1
+        rows += [(2 * k, np.packbits(b, bitorder="little").tobytes()) if b is bits else (2 * k + 1, np.packbits(b, bitorder="little").tobytes()) for b in (bits, twin)]
+    together = {k for k in range(200) if np.unpackbits(np.frombuffer(rows[2 * k][1], np.uint8)[:16] ^ np.frombuffer(rows[2 * k + 1][1], np.uint8)[:16]).sum() <= wide_prints.RADIUS}
+    assert len(together) > 20
+    found = wide_prints.components(wide_prints.candidates(spark.createDataFrame(rows, "node long, print binary"), hot=16))
+    root = {r["node"]: r["root"] for r in found.collect()}
+    assert all(root.get(2 * k) == root.get(2 * k + 1) is not None for k in together)

@@ -20,9 +20,9 @@ products of their incidence matrices of shared shingles, and of the pairs found
 gives stars again. So no pair of a group goes uncompared, none is written out, and a group of
 g texts costs g * g / BLOCK rows of shuffle at most.
 
-Shards of more than HOT texts (groups of very many near copies) are cut by salt, and every
-part gets the same ANCHORS of the shard's texts, so that the parts of a group hang together;
-other bands cut them elsewhere.
+Shards of more than HOT texts (groups of very many near copies) are cut by salt into parts of
+about HOT / 2, and every two parts meet in a tree of their own, so no pair of a shard goes
+unsearched: a shard of g texts is 2 g * g / HOT rows of shuffle.
 
 Texts of equal fingerprints are in one candidate group, and compared like others. A text
 without words, or null, has one shingle, the empty one. A text of fewer than five words has
@@ -56,8 +56,8 @@ RADIUS = 32
 BANDS, BAND, LEAST = 64, 14, 1 << 22
 #: Probability that a bit of two texts of similarity 0.8 is the same.
 SAME = 0.848
-#: Texts of a shard above which it is cut, and those that every part of it gets.
-HOT, ANCHORS = 1024, 64
+#: Texts of a shard above which it is cut.
+HOT = 1024
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 13
 #: Texts and shingles of a block of a candidate group, and shingles that stand in a matrix at once.
@@ -201,15 +201,14 @@ def candidates(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     rows = dealt.withColumn("salt", F.lit(0).cast("long"))
     if not large.isEmpty():
         salts = F.ceil(F.col("n") / (hot // 2))
-        salted = cut(dealt.join(large, "shard").withColumn("salt", F.pmod(F.xxhash64("node", "shard"), salts)), "hot-members")
-        by_hash = F.min_by(F.struct("node", "p0", "p1"), F.xxhash64("node"))
-        # A part of the first salt's texts, by hash, is what all parts get: one of each of ANCHORS hash classes.
-        anchors = salted.where("salt = 0").groupBy("shard", F.pmod(F.xxhash64("shard", "node"), F.lit(ANCHORS)).alias("k")).agg(by_hash.alias("m"), F.max("n").alias("n"))
-        anchors = anchors.select("shard", F.explode(F.sequence(F.lit(1).cast("long"), salts - 1)).alias("salt"), "m.*")
-        rows = rows.join(large, "shard", "left_anti").select(*names).union(salted.select(*names)).union(anchors.select(*names))
+        part = F.pmod(F.xxhash64("node", "shard"), F.col("salts"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+        salted = dealt.join(large.select("shard", salts.alias("salts")), "shard").withColumn("part", part).withColumn("other", other)
+        meeting = F.least("part", "other") * F.col("salts") + F.greatest("part", "other")
+        rows = rows.join(large, "shard", "left_anti").select(*names).union(salted.withColumn("salt", meeting).select(*names))
     dealt_out = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node")
     # All heads of a text hang together by it: each but the least is linked to that one, so equal links fall together.
-    heads = dealt_out.mapInPandas(shard_links, "a long, b long").groupBy("b").agg(F.collect_set("a").alias("heads"))  # one a band at most, or part of one
+    heads = dealt_out.mapInPandas(shard_links, "a long, b long").groupBy("b").agg(F.collect_set("a").alias("heads"))  # one a band at most, or a meeting of two parts of one
     least = F.array_min("heads")
     ways = F.transform(F.filter("heads", lambda h: h != least), lambda h: F.struct(least.alias("a"), h.alias("b")))
     return heads.select(F.explode(F.concat(F.array(F.struct(least.alias("a"), F.col("b").alias("b"))), ways)).alias("w")).select("w.a", "w.b").distinct()
