@@ -197,22 +197,36 @@ class UserTotals(StatefulProcessor):
 
 
 class Reminders(StatefulProcessor):
-    """For each user, a timer a day of event time after each purchase; it fires with the purchases so far."""
+    """For each user, a reminder a day of event time after each purchase; it is due with the purchases so far.
+
+    What is due is one list in the user's state, in order, and a timer stands for its first only:
+    a timer for each purchase is a call to the state store and a frame of one row for each.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.n = handle, handle.getValueState("n", "n long")
+        self.handle, self.state = handle, handle.getValueState("state", "n long, due array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
-        n = self.n.get()[0] if self.n.exists() else 0
+        n, due = self.state.get() or (0, [])
+        first, due = due[0] if due else None, set(due)
         for batch in rows:
             n += len(batch)
-            for at in batch["ts"]:
-                self.handle.registerTimer(at.value // 10**6 + 86_400_000)
-        self.n.update((n,))
+            due.update(at.value // 10**6 + 86_400_000 for at in batch["ts"])
+        if due and (first is None or min(due) < first):
+            self.handle.registerTimer(min(due))
+        self.state.update((n, sorted(due)))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        yield pd.DataFrame({"user_id": [key[0]], "due": [expiredTimerInfo.getExpiryTimeInMs()], "n": [self.n.get()[0]]})
+        n, due = self.state.get()
+        passed = timerValues.getCurrentWatermarkInMs()
+        now = [at for at in due if at <= passed]
+        later = due[len(now) :]
+        if now:  # a timer of what an earlier one has found due finds nothing
+            self.state.update((n, later))
+            if later:
+                self.handle.registerTimer(later[0])
+            yield pd.DataFrame({"user_id": key[0], "due": now, "n": n})
 
     def close(self) -> None:
         pass
