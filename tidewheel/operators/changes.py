@@ -56,14 +56,15 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     Each round joins only the nodes that the last one found (semi-naive evaluation), and what
     it finds new is a written table, so a lost executor costs no earlier round. A node with very
-    many edges skews only a join that Spark can split. Null nodes reach nothing.
+    many edges skews only a join that Spark can split. No round broadcasts: edges and nodes would
+    pass the driver once a round, and small files are large tables. Null nodes reach nothing.
     """
     edges = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
     delta = cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)), "reached")
     every = delta
     while not delta.isEmpty():
-        near = delta.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.col("hops") + 1).toDF("node", "hops").distinct()
-        delta = cut(near.join(every.select("node"), "node", "left_anti"), "reached")
+        near = delta.join(edges.hint("merge"), F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.col("hops") + 1).toDF("node", "hops").distinct()
+        delta = cut(near.join(every.select("node").hint("merge"), "node", "left_anti"), "reached")
         every = every.unionByName(delta)
     return every
 
